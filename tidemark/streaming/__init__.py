@@ -1,0 +1 @@
+"""Reserved: the data model is batch only, so there are no streaming operators."""
