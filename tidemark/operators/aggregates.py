@@ -29,3 +29,20 @@ def profile(df: DataFrame, key: str, x: str, lower: float, upper: float) -> Data
     pct = percentile_columns(base, [key], x, {"p01": 0.01, "p50": 0.5, "p99": 0.99}, levels=2)
     pct = pct.select(key, *[F.round(c, 8).alias(c) for c in ("p01", "p50", "p99")])
     return shape.join(pct, key)
+
+
+def event_rate(df: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
+    """Rows, events and event rate in percent per group."""
+    n, e = F.count("*"), F.sum(label)
+    return df.groupBy(*keys).agg(
+        n.alias("n_rows"), e.cast("long").alias("n_events"), F.round(100.0 * e / n, 6).alias("rate_pct")
+    )
+
+
+def weighted_return(series: DataFrame, by: str, date: str, ret: str, cap: str) -> DataFrame:
+    """Value-weighted return per date; the weight is the previous row's cap."""
+    lagged = series.withColumn("_w", F.lag(cap).over(Window.partitionBy(by).orderBy(date)))
+    ok = lagged.where(F.col(ret).isNotNull() & (F.col("_w") > 0))
+    return ok.groupBy(date).agg(
+        (F.sum(F.col("_w") * F.col(ret)) / F.sum("_w")).alias("vwret"), F.count("*").alias("n")
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["scans", "rows"]
+MODULES = ["scans", "rows", "joins"]
 
 
 class Book(dict):
