@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["scans", "rows", "joins"]
+MODULES = ["scans", "rows", "joins", "reports"]
 
 
 class Book(dict):
