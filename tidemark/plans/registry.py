@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["scans", "rows", "joins", "reports"]
+MODULES = ["scans", "rows", "joins", "reports", "timeplits"]
 
 
 class Book(dict):
