@@ -26,7 +26,7 @@ def profile(df: DataFrame, key: str, x: str, lower: float, upper: float) -> Data
         F.count_if(F.col(x) < lower).alias("n_below"),
         F.count_if(F.col(x) > upper).alias("n_above"),
     )
-    pct = percentile_columns(base, [key], x, {"p01": 0.01, "p50": 0.5, "p99": 0.99}, levels=2)
+    pct = percentile_columns(base, [key], x, {"p01": 0.01, "p50": 0.5, "p99": 0.99})
     pct = pct.select(key, *[F.round(c, 8).alias(c) for c in ("p01", "p50", "p99")])
     return shape.join(pct, key)
 
@@ -80,14 +80,14 @@ def correlations(df: DataFrame, cols: Sequence[str], threshold: float = 0.7) ->
     return long.withColumn("above", (F.abs("r") > threshold).cast("int"))
 
 
-def ranked_by_group(df: DataFrame, keys: Sequence[str], x: str, group: str, levels: int = 2) -> DataFrame:
+def ranked_by_group(df: DataFrame, keys: Sequence[str], x: str, group: str) -> DataFrame:
     """Distinct values with their pooled average rank and the count in each of two groups."""
     vals = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(
         F.count("*").alias("n"), F.count_if(F.col(group) == 1).alias("n1")
     )
     from tidemark.operators.ranks import cumulate
 
-    cum = cumulate(vals, list(keys), x, {"_upto": "n"}, levels=levels)
+    cum = cumulate(vals, list(keys), x, {"_upto": "n"})
     return cum.withColumn("rank", F.col("_upto") - (F.col("n") - 1) / F.lit(2.0)).withColumn("n0", F.col("n") - F.col("n1"))
 
 
@@ -102,7 +102,7 @@ def group_tests(df: DataFrame, key: str, x: str, group: str) -> DataFrame:
         *[stat(F.avg, g).alias(f"mean_{g}") for g in (0, 1)],
         *[stat(F.stddev_samp, g).alias(f"sd_{g}") for g in (0, 1)],
     )
-    pct = percentile_columns(known, [key, group], x, {"p10": 0.1, "median": 0.5, "p90": 0.9}, levels=2)
+    pct = percentile_columns(known, [key, group], x, {"p10": 0.1, "median": 0.5, "p90": 0.9})
     wide = pct.groupBy(key).agg(
         *[F.max(F.when(F.col(group) == g, F.col(c))).alias(f"{c}_{g}") for g in (0, 1) for c in ("p10", "median", "p90")]
     )
@@ -174,8 +174,8 @@ def tertile_grid(df: DataFrame, a: str, b: str, score: str) -> DataFrame:
 
     known = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     third = {"e1": 1 / 3, "e2": 2 / 3}
-    ea = percentile_columns(known, [], a, third, levels=2).toDF("a1", "a2")
-    eb = percentile_columns(known, [], b, third, levels=2).toDF("b1", "b2")
+    ea = percentile_columns(known, [], a, third).toDF("a1", "a2")
+    eb = percentile_columns(known, [], b, third).toDF("b1", "b2")
     cut = known.join(F.broadcast(ea), F.lit(True)).join(F.broadcast(eb), F.lit(True))
     cut = cut.withColumn("bin_a", right_closed_bin(a, [F.col("a1"), F.col("a2")]))
     cut = cut.withColumn("bin_b", right_closed_bin(b, [F.col("b1"), F.col("b2")]))
@@ -197,8 +197,8 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     ok = F.col(x).isNotNull() & F.col(y).isNotNull() & (F.abs(x) < float("inf")) & (F.abs(y) < float("inf"))
     known = df.where(ok).select(F.col(x).alias("x"), F.col(y).alias("y"))
     pairs = known.groupBy("x", "y").agg(F.count("*").alias("w"))
-    rx = average_ranks(known, [], "x", levels=2).select("x", F.col("avg_rank").alias("rx"))
-    ry = average_ranks(known, [], "y", levels=2).select("y", F.col("avg_rank").alias("ry"))
+    rx = average_ranks(known, [], "x").select("x", F.col("avg_rank").alias("rx"))
+    ry = average_ranks(known, [], "y").select("y", F.col("avg_rank").alias("ry"))
     j = pairs.join(rx, "x").join(ry, "y")
     s = lambda e: F.sum(F.col("w") * e)
     n = F.sum("w")
@@ -215,7 +215,7 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 def label_histogram(df: DataFrame, x: str, label: str, bins: int = 35) -> DataFrame:
     """Density per label group on equal bins between the pooled 1st and 99th percentile."""
     known = df.where(F.col(x).isNotNull())
-    lim = percentile_columns(known, [], x, {"lo": 0.01, "hi": 0.99}, levels=2)
+    lim = percentile_columns(known, [], x, {"lo": 0.01, "hi": 0.99})
     j = known.join(F.broadcast(lim), F.lit(True)).withColumn("_v", F.greatest("lo", F.least("hi", F.col(x))))
     pos = F.least(F.floor((F.col("_v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
     cnt = j.groupBy(label, pos.alias("bin")).agg(F.count("*").alias("n"), F.first((F.col("hi") - F.col("lo")) / bins).alias("_w"))

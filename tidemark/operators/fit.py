@@ -15,7 +15,7 @@ from tidemark.operators.ranks import percentile_columns
 
 def clip_bounds(train: DataFrame, keys: list[str] | None = None, lo: float = 0.01, hi: float = 0.99) -> DataFrame:
     """Training percentiles per feature (or per feature and fold/year)."""
-    return percentile_columns(train, keys or ["feature"], "value", {"lower": lo, "upper": hi}, levels=2)
+    return percentile_columns(train, keys or ["feature"], "value", {"lower": lo, "upper": hi})
 
 
 def clip_long(df: DataFrame, bounds: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -56,14 +56,14 @@ def fill_tables(
     keys = [*ex, "feature", sector, period]
     known = train.where(F.col(sector).isNotNull())
     n = known.groupBy(*keys).agg(support.alias("_n"))
-    cells = percentile_columns(known, keys, "value", {"med": 0.5}, levels=1)
+    cells = percentile_columns(known, keys, "value", {"med": 0.5})
     cell = cells.join(n.where(F.col("_n") >= minimum), keys).select(*keys, F.col("med").alias("cell_median"))
     by_sector = cell.groupBy(*ex, "feature", sector).agg(F.median("cell_median").alias("sector_median"))
     return {
         "cell": cell,
         "sector": by_sector,
-        "period": percentile_columns(train, [*ex, "feature", period], "value", {"period_median": 0.5}, levels=2),
-        "overall": percentile_columns(train, [*ex, "feature"], "value", {"overall_median": 0.5}, levels=2),
+        "period": percentile_columns(train, [*ex, "feature", period], "value", {"period_median": 0.5}),
+        "overall": percentile_columns(train, [*ex, "feature"], "value", {"overall_median": 0.5}),
     }
 
 

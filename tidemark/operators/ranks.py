@@ -1,12 +1,11 @@
 """Exact order statistics without a single-task sort.
 
 A running total, rank or percentile over one huge group would put that group in
-one task. Here each group is cut into order-preserving *cells* (a fixed number
-of equal-width slices between the group's minimum and maximum, refined once more
-inside every slice). Cell totals are a small map-side-combined aggregate, their
-prefix sums give each cell its offset, and the window only ever sorts one cell.
-All bounds are minima, maxima and counts, so every branch of the plan assigns
-a row to the same cell whatever the task order.
+one task. Here every value falls into an order-preserving *cell*: a log-linear
+slice with ``2**bits`` slices per power of two, a pure function of the value, so
+all branches and retries agree on it. Cell totals are a small map-side-combined
+aggregate (a double spans at most 4,200 powers of two with its sign), their prefix
+sums give each cell its offset, and a window only ever sorts one cell.
 """
 
 from __future__ import annotations
@@ -14,77 +13,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CELLS = 1024
+BITS = 12
 
 
-def join_stats(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
-    """Attach per-group statistics; with no keys the statistics are one row.
+def cell(x: str | Column, bits: int = BITS) -> Column:
+    """Cell number (long), weakly increasing in ``x``; NULL for NULL.
 
-    ``keys`` are report dimensions (model, feature, split ...), so ``stats``
-    holds at most CELLS rows per dimension value and is small by construction.
+    Continuous across powers of two, so a rounding error in log2 cannot break order.
     """
-    if keys:
-        return df.join(F.broadcast(stats), keys)
-    return df.join(F.broadcast(stats), F.lit(True))
-
-
-def add_cells(
-    df: DataFrame,
-    keys: list[str],
-    x: str,
-    levels: int = 1,
-    bounds: tuple[float, float] | None = None,
-    cells: int = CELLS,
-) -> DataFrame:
-    """Add ``_cell`` (long), monotone in ``x`` within each group of ``keys``."""
-
-    def slot(lo: Column, hi: Column) -> Column:
-        width = F.nullif(hi - lo, F.lit(0.0))
-        pos = F.floor((F.col(x).cast("double") - lo) / width * cells)
-        return F.coalesce(F.greatest(F.least(pos, F.lit(cells - 1)), F.lit(0)), F.lit(0)).cast("long")
-
-    if bounds is not None:
-        out = df.withColumn("_cell", slot(F.lit(float(bounds[0])), F.lit(float(bounds[1]))))
-    else:
-        edge = df.groupBy(*keys).agg(
-            F.min(F.col(x).cast("double")).alias("_lo"), F.max(F.col(x).cast("double")).alias("_hi")
-        )
-        out = join_stats(df, edge, keys).withColumn("_cell", slot(F.col("_lo"), F.col("_hi")))
-        out = out.drop("_lo", "_hi")
-    for _ in range(levels - 1):
-        edge = out.groupBy(*keys, "_cell").agg(
-            F.min(F.col(x).cast("double")).alias("_lo"), F.max(F.col(x).cast("double")).alias("_hi")
-        )
-        out = out.join(F.broadcast(edge), [*keys, "_cell"])
-        out = out.withColumn("_cell", F.col("_cell") * cells + slot(F.col("_lo"), F.col("_hi")))
-        out = out.drop("_lo", "_hi")
-    return out
+    v = (F.col(x) if isinstance(x, str) else x).cast("double")
+    size = F.least(F.abs(v), F.lit(1.7e308))
+    slices = F.lit(float(2**bits))
+    octave = F.floor(F.log2(size))
+    code = (octave + 1100) * 2**bits + F.floor(size / F.pow(F.lit(2.0), octave.cast("double")) * slices) - 2**bits + 1
+    signed = F.when(v > 0, code).when(v < 0, -code).when(v == 0, 0)
+    return signed.cast("long")
 
 
 def cumulate(
-    df: DataFrame,
-    keys: list[str],
-    x: str,
-    sums: dict[str, str],
-    desc: bool = False,
-    levels: int = 1,
-    bounds: tuple[float, float] | None = None,
-    cell_keys: list[str] | None = None,
+    df: DataFrame, keys: list[str], x: str, sums: dict[str, str], desc: bool = False, bits: int = BITS
 ) -> DataFrame:
     """Running sums over distinct ``x`` inside ``keys`` (inclusive of the row).
 
     ``sums`` maps new column name to the column to add up. ``df`` must hold one
-    row per (keys, x). ``cell_keys`` (default ``keys``) are the dimensions that
-    share cell bounds; pass the bounded subset when ``keys`` contains replicates.
+    row per (keys, x).
     """
-    celled = add_cells(df, keys if cell_keys is None else cell_keys, x, levels, bounds)
+    celled = df.withColumn("_cell", cell(x, bits))
     order = F.col("_cell").desc() if desc else F.col("_cell").asc()
     before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     totals = celled.groupBy(*keys, "_cell").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
     offsets = totals.select(
-        *keys,
-        "_cell",
-        *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums],
+        *keys, "_cell", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums]
     )
     order = F.col(x).desc() if desc else F.col(x).asc()
     inside = Window.partitionBy(*keys, "_cell").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -94,73 +53,55 @@ def cumulate(
     return out.drop("_cell", *[f"_o_{n}" for n in sums])
 
 
-def average_ranks(df: DataFrame, keys: list[str], x: str, levels: int = 1) -> DataFrame:
+def average_ranks(df: DataFrame, keys: list[str], x: str) -> DataFrame:
     """One row per distinct value: count, and rank with ties averaged."""
     grouped = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count("*").alias("n_tied"))
-    cum = cumulate(grouped, keys, x, {"_upto": "n_tied"}, levels=levels)
+    cum = cumulate(grouped, keys, x, {"_upto": "n_tied"})
     return cum.withColumn("avg_rank", F.col("_upto") - (F.col("n_tied") - 1) / F.lit(2.0)).drop("_upto")
 
 
-def percentiles(
-    df: DataFrame,
-    keys: list[str],
-    x: str,
-    probs: list[float],
-    levels: int = 1,
-) -> DataFrame:
+def percentiles(df: DataFrame, keys: list[str], x: str, probs: list[float], bits: int = BITS) -> DataFrame:
     """Exact linear-interpolation percentiles: one row per (keys, prob).
 
-    Two scans: a cell histogram locates the cells that hold the wanted ranks,
-    then only the rows of those cells are counted by value.
+    Two scans: a cell histogram locates the cells that hold the wanted ranks (at
+    most two per probability), then only the rows of those cells are counted by value.
     """
-    base = df.select(*keys, F.col(x).cast("double").alias("_x")).where(
-        F.col("_x").isNotNull() & ~F.isnan("_x")
-    )
-    celled = add_cells(base, keys, "_x", levels)
+    base = df.select(*keys, F.col(x).cast("double").alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    celled = base.withColumn("_cell", cell("_x", bits))
     hist = celled.groupBy(*keys, "_cell").agg(F.count("*").alias("_n"))
     w_all = Window.partitionBy(*keys)
     w_up = w_all.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     hist = hist.withColumn("_before", F.coalesce(F.sum("_n").over(w_up), F.lit(0)))
     hist = hist.withColumn("_total", F.sum("_n").over(w_all))
-    wanted = F.array(*[F.struct(F.lit(float(p)).alias("p"), (F.lit(float(p)) * (F.col("_total") - 1)).alias("pos")) for p in probs])
-    ranks = F.flatten(
-        F.transform(
-            wanted,
-            lambda s: F.array(
-                F.struct(s.p.alias("p"), F.floor(s.pos).alias("r"), (1 - (s.pos - F.floor(s.pos))).alias("wt")),
-                F.struct(s.p.alias("p"), F.ceil(s.pos).alias("r"), (s.pos - F.floor(s.pos)).alias("wt")),
-            ),
-        )
-    )
+
+    def wanted(p: float) -> list[Column]:
+        pos = F.lit(float(p)) * (F.col("_total") - 1)
+        low, frac = F.floor(pos), pos - F.floor(pos)
+        make = lambda rank, wt: F.struct(F.lit(float(p)).alias("p"), rank.alias("r"), wt.alias("wt"))
+        return [make(low, 1 - frac), make(F.ceil(pos), frac)]
+
+    ranks = F.array(*[w for p in probs for w in wanted(p)])
     inside = F.filter(ranks, lambda s: (s.r >= F.col("_before")) & (s.r < F.col("_before") + F.col("_n")))
     target = hist.select(*keys, "_cell", "_before", inside.alias("_want")).where(F.size("_want") > 0)
-    rows = celled.join(F.broadcast(target), [*keys, "_cell"])
-    vals = rows.groupBy(*keys, "_cell", "_x").agg(
-        F.count("*").alias("_n"), F.first("_before").alias("_before"), F.first("_want").alias("_want")
-    )
+    # bounded: two cells per probability and report group
+    rows = celled.join(F.broadcast(target.select(*keys, "_cell")), [*keys, "_cell"], "left_semi")
+    vals = rows.groupBy(*keys, "_cell", "_x").agg(F.count("*").alias("_n"))
     w_in = Window.partitionBy(*keys, "_cell").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    vals = vals.withColumn("_end", F.col("_before") + F.sum("_n").over(w_in))
-    hits = vals.select(*keys, "_x", "_n", "_end", F.explode("_want").alias("_w")).where(
-        (F.col("_w.r") >= F.col("_end") - F.col("_n")) & (F.col("_w.r") < F.col("_end"))
-    )
-    return hits.groupBy(*keys, F.col("_w.p").alias("prob")).agg(
-        F.sum(F.col("_w.wt") * F.col("_x")).alias("value")
-    )
+    vals = vals.withColumn("_upto", F.sum("_n").over(w_in)).join(F.broadcast(target), [*keys, "_cell"])
+    hits = vals.select(*keys, "_x", "_n", (F.col("_before") + F.col("_upto")).alias("_end"), F.explode("_want").alias("_w"))
+    hits = hits.where((F.col("_w.r") >= F.col("_end") - F.col("_n")) & (F.col("_w.r") < F.col("_end")))
+    return hits.groupBy(*keys, F.col("_w.p").alias("prob")).agg(F.sum(F.col("_w.wt") * F.col("_x")).alias("value"))
 
 
-def percentile_columns(
-    df: DataFrame, keys: list[str], x: str, named: dict[str, float], levels: int = 1
-) -> DataFrame:
+def percentile_columns(df: DataFrame, keys: list[str], x: str, named: dict[str, float]) -> DataFrame:
     """``percentiles`` turned into one row per group with named columns."""
-    long = percentiles(df, keys, x, sorted(set(named.values())), levels)
+    long = percentiles(df, keys, x, sorted(set(named.values())))
     return long.groupBy(*keys).agg(
         *[F.max(F.when(F.col("prob") == F.lit(float(p)), F.col("value"))).alias(n) for n, p in named.items()]
     )
 
 
-def dense_index(df: DataFrame, key: str, name: str = "idx", levels: int = 1) -> DataFrame:
+def dense_index(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
     """Zero-based position of each distinct numeric ``key`` in key order."""
     uniq = df.select(key).distinct().withColumn("_one", F.lit(1))
-    return cumulate(uniq, [], key, {name: "_one"}, levels=levels).select(
-        key, (F.col(name) - 1).cast("long").alias(name)
-    )
+    return cumulate(uniq, [], key, {name: "_one"}).select(key, (F.col(name) - 1).cast("long").alias(name))

@@ -92,7 +92,7 @@ def hash_rank(df: DataFrame, keys: Sequence[str], seed: int | str, name: str = "
     """1-based position of each distinct key in seeded random order."""
     ids = df.select(*keys).distinct().withColumn("_h", unit_hash(seed, *keys))
     groups = ids.groupBy("_h").agg(F.count("*").alias("_n"))
-    upto = cumulate(groups, [], "_h", {"_upto": "_n"}, bounds=(0, HASH_RANGE))
+    upto = cumulate(groups, [], "_h", {"_upto": "_n"}, bits=16)
     tie = F.row_number().over(Window.partitionBy("_h").orderBy(*keys))  # hash collisions only
     return ids.withColumn("_tie", tie).join(upto, "_h").select(
         *keys, (F.col("_upto") - F.col("_n") + F.col("_tie")).alias(name)

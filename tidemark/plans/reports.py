@@ -418,7 +418,7 @@ def q_label_histogram(spark, d):
 @BOOK.query(P + "SELECT fyear, round(avg(lt),6) AS mean, round(median(lt),6) AS median FROM panel GROUP BY 1")
 def q_over_time(spark, d):
     p = R.panel(spark, d)
-    med = percentile_columns(p, ["fyear"], "lt", {"median": 0.5}, levels=2)
+    med = percentile_columns(p, ["fyear"], "lt", {"median": 0.5})
     return p.groupBy("fyear").agg(r(F.avg("lt"), 6).alias("mean")).join(med, "fyear").withColumn("median", r("median", 6))
 
 
