@@ -173,10 +173,10 @@ def tertile_grid(df: DataFrame, a: str, b: str, score: str) -> DataFrame:
     from tidemark.functions.expr import right_closed_bin
 
     known = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    third = {"e1": 1 / 3, "e2": 2 / 3}
-    ea = percentile_columns(known, [], a, third).toDF("a1", "a2")
-    eb = percentile_columns(known, [], b, third).toDF("b1", "b2")
-    cut = known.join(F.broadcast(ea), F.lit(True)).join(F.broadcast(eb), F.lit(True))
+    long = known.select(F.explode(F.array(*[F.struct(F.lit(n).alias("f"), F.col(c).alias("v")) for n, c in (("a", a), ("b", b))])).alias("x"))
+    edge = percentile_columns(long.select("x.f", "x.v"), ["f"], "v", {"e1": 1 / 3, "e2": 2 / 3})
+    edges = edge.agg(*[F.max(F.when(F.col("f") == n, F.col(f"e{i}"))).alias(f"{n}{i}") for n in ("a", "b") for i in (1, 2)])
+    cut = known.join(F.broadcast(edges), F.lit(True))
     cut = cut.withColumn("bin_a", right_closed_bin(a, [F.col("a1"), F.col("a2")]))
     cut = cut.withColumn("bin_b", right_closed_bin(b, [F.col("b1"), F.col("b2")]))
     cell = cut.groupBy("bin_a", "bin_b").agg(F.count("*").alias("n"), F.avg(score).alias("mean_score"))

@@ -31,19 +31,22 @@ def cell(x: str | Column, bits: int = BITS) -> Column:
 
 
 def cumulate(
-    df: DataFrame, keys: list[str], x: str, sums: dict[str, str], desc: bool = False, bits: int = BITS
+    df: DataFrame, keys: list[str], x: str, sums: dict[str, str], desc: bool = False, bits: int = BITS,
+    totals: bool = False,
 ) -> DataFrame:
     """Running sums over distinct ``x`` inside ``keys`` (inclusive of the row).
 
     ``sums`` maps new column name to the column to add up. ``df`` must hold one
-    row per (keys, x).
+    row per (keys, x). ``totals`` also adds each group's total as ``<name>_all``.
     """
     celled = df.withColumn("_cell", cell(x, bits))
     order = F.col("_cell").desc() if desc else F.col("_cell").asc()
     before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    totals = celled.groupBy(*keys, "_cell").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
-    offsets = totals.select(
-        *keys, "_cell", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums]
+    per_cell = celled.groupBy(*keys, "_cell").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    whole = Window.partitionBy(*keys)
+    offsets = per_cell.select(
+        *keys, "_cell", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums],
+        *[F.sum(f"_t_{n}").over(whole).alias(f"{n}_all") for n in sums if totals],
     )
     order = F.col(x).desc() if desc else F.col(x).asc()
     inside = Window.partitionBy(*keys, "_cell").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -77,8 +80,8 @@ def percentiles(df: DataFrame, keys: list[str], x: str, probs: list[float], bits
     def wanted(p: float) -> list[Column]:
         pos = F.lit(float(p)) * (F.col("_total") - 1)
         low, frac = F.floor(pos), pos - F.floor(pos)
-        make = lambda rank, wt: F.struct(F.lit(float(p)).alias("p"), rank.alias("r"), wt.alias("wt"))
-        return [make(low, 1 - frac), make(F.ceil(pos), frac)]
+        make = lambda rank: F.struct(F.lit(float(p)).alias("p"), rank.alias("r"), frac.alias("frac"))
+        return [make(low), make(F.ceil(pos))]
 
     ranks = F.array(*[w for p in probs for w in wanted(p)])
     inside = F.filter(ranks, lambda s: (s.r >= F.col("_before")) & (s.r < F.col("_before") + F.col("_n")))
@@ -90,7 +93,12 @@ def percentiles(df: DataFrame, keys: list[str], x: str, probs: list[float], bits
     vals = vals.withColumn("_upto", F.sum("_n").over(w_in)).join(F.broadcast(target), [*keys, "_cell"])
     hits = vals.select(*keys, "_x", "_n", (F.col("_before") + F.col("_upto")).alias("_end"), F.explode("_want").alias("_w"))
     hits = hits.where((F.col("_w.r") >= F.col("_end") - F.col("_n")) & (F.col("_w.r") < F.col("_end")))
-    return hits.groupBy(*keys, F.col("_w.p").alias("prob")).agg(F.sum(F.col("_w.wt") * F.col("_x")).alias("value"))
+    return hits.groupBy(*keys, F.col("_w.p").alias("prob")).agg(between("_x", F.max("_w.frac")).alias("value"))
+
+
+def between(x: str, frac: Column) -> Column:
+    """Interpolate from the smaller to the larger neighbour; exact when they are equal."""
+    return F.min(x) + frac * (F.max(x) - F.min(x))
 
 
 def percentile_columns(df: DataFrame, keys: list[str], x: str, named: dict[str, float]) -> DataFrame:
@@ -105,3 +113,36 @@ def dense_index(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
     """Zero-based position of each distinct numeric ``key`` in key order."""
     uniq = df.select(key).distinct().withColumn("_one", F.lit(1))
     return cumulate(uniq, [], key, {name: "_one"}).select(key, (F.col(name) - 1).cast("long").alias(name))
+
+
+def row_number(df: DataFrame, keys: list[str], x: str, tie: str, desc: bool = False, name: str = "rn") -> DataFrame:
+    """Exact row number by (x, tie) inside ``keys``; ``tie`` is numeric and unique per (keys, x)."""
+    grouped = df.groupBy(*keys, x).agg(F.count("*").alias("_n"))
+    upto = cumulate(grouped, keys, x, {"_upto": "_n"}, desc=desc).withColumn("_start", F.col("_upto") - F.col("_n"))
+    inner = cumulate(df.withColumn("_one", F.lit(1)), [*keys, x], tie, {"_in": "_one"}).drop("_one")
+    return inner.join(upto.drop("_n", "_upto"), [*keys, x]).withColumn(name, F.col("_start") + F.col("_in")).drop("_start", "_in")
+
+
+def quantile_grid(df: DataFrame, keys: list[str], x: str, m: int) -> DataFrame:
+    """The m+1 evenly spaced percentiles per group: rows (keys, j, value), j = 0..m.
+
+    Every distinct value emits only the grid positions whose neighbours it is.
+    """
+    grouped = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count("*").alias("_n"))
+    cum = cumulate(grouped, keys, x, {"_upto": "_n"}, totals=True)
+    last = cum.withColumns({"_a": F.col("_upto") - F.col("_n"), "_b": F.col("_upto") - 1, "_d": F.col("_upto_all") - 1})
+    a, b, d = F.col("_a"), F.col("_b"), F.col("_d")
+    one = d == 0
+    low_from = F.when(one, 0).otherwise(F.expr(f"(_a * {m} + _d - 1) div greatest(_d, 1)"))
+    low_to = F.when(one, m).otherwise(F.expr(f"((_b + 1) * {m} + _d - 1) div greatest(_d, 1) - 1"))
+    high_from = F.when(one | (a == 0), 0).otherwise(F.expr(f"((_a - 1) * {m}) div greatest(_d, 1) + 1"))
+    high_to = F.when(one, m).otherwise(F.expr(f"(_b * {m}) div greatest(_d, 1)"))
+    pos = F.col("j") * d / F.lit(float(m))
+
+    def side(lo, hi):
+        hi = F.least(hi, F.lit(m)).cast("long")
+        part = last.where(lo <= hi).withColumn("j", F.explode(F.sequence(lo.cast("long"), hi)))
+        return part.select(*keys, "j", F.col(x).alias("_v"), (pos - F.floor(pos)).alias("_frac"))
+
+    both = side(low_from, low_to).unionByName(side(high_from, high_to))
+    return both.groupBy(*keys, "j").agg(between("_v", F.max("_frac")).alias("value"))

@@ -15,6 +15,7 @@ from tidemark.functions.expr import unit_hash
 from tidemark.operators import fit
 from tidemark.operators.filters import coverage
 from tidemark.operators.ranks import cumulate
+from tidemark.sources.tables import fitted
 
 HASH_RANGE = 2**32
 
@@ -71,9 +72,10 @@ def fold_preprocess(
     melt = lambda df: df.selectExpr(
         "fold", "role", *keys, sector, f"stack({len(features)}, {pairs}) AS (feature, value)"
     )
-    bounds = fit.clip_bounds(melt(folds).where("role = 'train'"), ["fold", "feature"])
+    bounds = fitted(fit.clip_bounds(melt(folds).where("role = 'train'"), ["fold", "feature"]))
     clipped = fit.clip_long(melt(covered), bounds, ["fold", "feature"])
     tables = fit.fill_tables(clipped.where("role = 'train'"), sector, period, extra=["fold"])
+    tables = {name: fitted(t) for name, t in tables.items()}
     return fit.fill(clipped, tables, sector, period, binary, extra=["fold"])
 
 

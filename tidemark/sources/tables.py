@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -111,11 +112,22 @@ def append_ledger(df: DataFrame, path: str) -> None:
     df.withColumn("logged_at", F.current_timestamp()).write.mode("append").parquet(path)
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """The cluster's shared checkpoint folder; ``fallback`` only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or fallback
+def use_checkpoint_dir(spark: SparkSession) -> None:
+    """Point checkpoints at the shared folder named in spark.checkpoint.dir.
+
+    A temporary folder is used only in local mode with nothing configured (tests).
+    """
+    if spark.sparkContext.getCheckpointDir() is not None:
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        raise ValueError("set spark.checkpoint.dir to a shared folder")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
+        folder = tempfile.mkdtemp(prefix="tidemark-")
+    spark.sparkContext.setCheckpointDir(folder)
+
+
+def fitted(df: DataFrame) -> DataFrame:
+    """Materialise a small fitted table so later plans read it instead of refitting."""
+    use_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
