@@ -25,11 +25,11 @@ Z975 = 1.959963984540054
 
 def multiplicities(df: DataFrame, block: str, reps: int, seed: int | str) -> DataFrame:
     """(rep, block, w): how often each block is drawn, blocks drawn with replacement."""
-    idx = dense_index(df, block)
-    size = idx.agg(F.count("*").alias("_e"))
+    idx = dense_index(df, block, size="_e")
     reps_col = F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))
-    slots = idx.select("idx", reps_col.alias("rep")).join(F.broadcast(size), F.lit(True))
+    slots = idx.select("idx", "_e", reps_col.alias("rep"))
     pick = slots.select("rep", (unit_hash(seed, "rep", "idx") % F.col("_e")).alias("idx"))
+    idx = idx.drop("_e")
     return pick.groupBy("rep", "idx").agg(F.count("*").alias("w")).join(idx, "idx").select("rep", block, "w")
 
 
@@ -78,8 +78,8 @@ def paired_test(draws: DataFrame, obs: DataFrame, value: str, pairs: Sequence[tu
     """Percentile interval, null-recentred and equal-tailed p-values, SE and normal p."""
     boot = pair_diffs(draws, value, pairs, ["rep"])
     truth = pair_diffs(obs.withColumn("_k", F.lit(0)), value, pairs, ["_k"]).select("a", "b", F.col("diff").alias("delta"))
-    centre = boot.groupBy("a", "b").agg(F.avg("diff").alias("_mean"))
-    j = boot.join(F.broadcast(truth), ["a", "b"]).join(F.broadcast(centre), ["a", "b"])  # one row per pair
+    centred = boot.withColumn("_mean", F.avg("diff").over(Window.partitionBy("a", "b")))  # reps rows per pair
+    j = centred.join(F.broadcast(truth), ["a", "b"])
     cut = F.percentile("diff", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
     far = F.abs(F.col("diff") - F.col("_mean")) >= F.abs("delta")
     opposite = F.when(F.col("delta") >= 0, F.col("diff") <= 0).otherwise(F.col("diff") >= 0)
@@ -162,28 +162,30 @@ def romano_wolf(boot: DataFrame, truth: DataFrame, hypothesis: Sequence[str]) ->
     the hypotheses of one report within a rep.
     """
     h = list(hypothesis)
-    se = boot.groupBy(*h).agg(F.stddev_samp("diff").alias("se"))
-    t = truth.join(se, h).withColumn("t_stat", F.abs("delta") / F.when(F.col("se") > 0, F.col("se")))
-    t = t.withColumn("_r", F.row_number().over(Window.orderBy(F.col("t_stat").desc_nulls_last(), *h)))
-    j = boot.join(F.broadcast(t), h)
-    c = j.withColumn("_c", F.abs(F.col("diff") - F.col("delta")) / F.when(F.col("se") > 0, F.col("se")))
-    tail = Window.partitionBy("rep").orderBy(F.col("_r").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    reach = c.withColumn("_max", F.max("_c").over(tail)).groupBy(*h, "_r").agg(F.avg((F.col("_max") >= F.col("t_stat")).cast("int")).alias("_p"))
-    up = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)
-    adj = reach.withColumn("p_adjusted", F.max("_p").over(up))
-    return t.join(adj.select(*h, "p_adjusted"), h).drop("_r")
+    j = boot.withColumn("se", F.stddev_samp("diff").over(Window.partitionBy(*h))).join(F.broadcast(truth), h)
+    scale = F.when(F.col("se") > 0, F.col("se"))
+    j = j.withColumns({"t_stat": F.abs("delta") / scale, "_c": F.abs(F.col("diff") - F.col("delta")) / scale})
+    tail = Window.partitionBy("rep").orderBy(F.col("t_stat").asc_nulls_first(), *[F.col(c).desc() for c in h])
+    top = j.withColumn("_max", F.max("_c").over(tail.rowsBetween(Window.unboundedPreceding, 0)))
+    one = top.groupBy(*h).agg(
+        F.max("delta").alias("delta"), F.max("se").alias("se"), F.max("t_stat").alias("t_stat"),
+        F.avg((F.col("_max") >= F.col("t_stat")).cast("int")).alias("_p"),
+    )
+    down = Window.orderBy(F.col("t_stat").desc_nulls_last(), *h).rowsBetween(Window.unboundedPreceding, 0)
+    return one.withColumn("p_adjusted", F.max("_p").over(down)).drop("_p")  # one row per hypothesis
 
 
 def max_statistic(draws: DataFrame, obs: DataFrame, value: str, baseline: str) -> DataFrame:
     """One-sided test that the best challenger beats the baseline."""
     def gaps(df, keys):
-        base = df.where(F.col("model") == baseline).select(*keys, F.col(value).alias("_base"))
-        return df.where(F.col("model") != baseline).join(base, list(keys)).withColumn("gap", F.col(value) - F.col("_base"))
+        base = F.max(F.when(F.col("model") == baseline, F.col(value))).over(Window.partitionBy(*keys))  # models of one rep
+        gap = F.col(value) - F.col("_base")
+        return df.withColumn("_base", base).where(F.col("model") != baseline).withColumn("gap", gap)
 
     o = gaps(obs.withColumn("_k", F.lit(0)), ["_k"]).agg(F.max("gap").alias("observed"), F.max_by("model", "gap").alias("best_model"))
     g = gaps(draws, ["rep"])
-    centre = g.groupBy("model").agg(F.avg("gap").alias("_mean"))
-    top = g.join(F.broadcast(centre), "model").groupBy("rep").agg(F.max(F.col("gap") - F.col("_mean")).alias("_top"))
+    centred = g.withColumn("_mean", F.avg("gap").over(Window.partitionBy("model")))  # reps rows per model
+    top = centred.groupBy("rep").agg(F.max(F.col("gap") - F.col("_mean")).alias("_top"))
     j = top.join(F.broadcast(o), F.lit(True))
     return j.groupBy("observed", "best_model").agg(F.avg((F.col("_top") >= F.col("observed")).cast("int")).alias("p_value"))
 

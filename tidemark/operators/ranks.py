@@ -109,10 +109,13 @@ def percentile_columns(df: DataFrame, keys: list[str], x: str, named: dict[str,
     )
 
 
-def dense_index(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
-    """Zero-based position of each distinct numeric ``key`` in key order."""
+def dense_index(df: DataFrame, key: str, name: str = "idx", size: str | None = None) -> DataFrame:
+    """Zero-based position of each distinct numeric ``key`` in key order; ``size`` also
+    names a column holding the number of keys."""
     uniq = df.select(key).distinct().withColumn("_one", F.lit(1))
-    return cumulate(uniq, [], key, {name: "_one"}).select(key, (F.col(name) - 1).cast("long").alias(name))
+    cum = cumulate(uniq, [], key, {name: "_one"}, totals=size is not None)
+    extra = [F.col(f"{name}_all").cast("long").alias(size)] if size else []
+    return cum.select(key, (F.col(name) - 1).cast("long").alias(name), *extra)
 
 
 def row_number(df: DataFrame, keys: list[str], x: str, tie: str, desc: bool = False, name: str = "rn") -> DataFrame:

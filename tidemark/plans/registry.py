@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["scans", "rows", "joins", "reports", "timeplits", "scoring", "resampling"]
+MODULES = ["scans", "rows", "joins", "reports", "timeplits", "scoring", "resampling", "explain"]
 
 
 class Book(dict):
