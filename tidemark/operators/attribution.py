@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.expr import right_closed_bin
 from tidemark.operators.inference import multiplicities
 from tidemark.operators.ranks import percentile_columns
+from tidemark.sources.tables import fitted
 
 # ---- fixed values: expected direction of each predictor and support regions ----
 EXPECTED_SIGN = {
@@ -155,6 +156,7 @@ def dependence_bins(attr: DataFrame) -> DataFrame:
     edges = third.join(F.broadcast(fixed), "feature", "left").select(
         "feature", F.coalesce("f1", "t1").alias("e1"), F.coalesce("f2", "t2").alias("e2")
     )
+    edges = fitted(edges)  # one row per feature
     known = attr.where(F.col("value").isNotNull() & F.col("attr").isNotNull())
     binned = known.join(F.broadcast(edges), "feature").withColumn("region", right_closed_bin("value", [F.col("e1"), F.col("e2")]))
     cell = binned.groupBy("feature", "region").agg(F.count("*").alias("n"), F.avg("value").alias("mean_value"), F.avg("attr").alias("mean_attr"))

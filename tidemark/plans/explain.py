@@ -36,8 +36,11 @@ def attributions(spark, d):
     bend = F.element_at(F.create_map(*[F.lit(v) for kv in BEND.items() for v in kv]), F.col("feature"))
     slope = F.element_at(F.create_map(*[F.lit(v) for kv in COEF.items() for v in kv]), F.col("feature"))
     z = F.col("attr") / slope
-    bent = line.withColumn("attr", F.col("attr") + bend * z * z).withColumn("model", F.lit("bent"))
-    return line.unionByName(bent)
+    both = F.array(F.struct(F.lit("line").alias("model"), F.col("attr").alias("attr")),
+                   F.struct(F.lit("bent").alias("model"), (F.col("attr") + bend * z * z).alias("attr")))
+    return line.select("entity", "fyear", "feature", "value", F.explode(both).alias("b")).select(
+        "entity", "fyear", "feature", "value", "b.model", "b.attr"
+    )
 
 
 def ranking(spark, d):

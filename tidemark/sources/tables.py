@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -128,6 +129,10 @@ def use_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def fitted(df: DataFrame) -> DataFrame:
-    """Materialise a small fitted table so later plans read it instead of refitting."""
-    use_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write a small fitted table to the checkpoint folder and read it back, so later
+    plans scan it instead of refitting (one computation, and it survives lost executors)."""
+    spark = df.sparkSession
+    use_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/fitted-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
