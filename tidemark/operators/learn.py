@@ -40,9 +40,12 @@ def class_weights(df: DataFrame, y: str) -> DataFrame:
 
 
 def balanced(df: DataFrame, y: str, positive_only: bool = False) -> DataFrame:
-    cw = class_weights(df, y)
-    w = F.when(F.col(y) == 1, F.col("positive_weight")).otherwise(1.0) if positive_only else F.col("weight")
-    return df.join(F.broadcast(cw.select(y, w.alias("w"))), y)  # two rows
+    """Add the class weight ``w``; the two class counts are read once."""
+    n = df.agg(F.count_if(F.col(y) == 0), F.count_if(F.col(y) == 1)).first()
+    if not n[0] or not n[1]:
+        raise ValueError("training rows need both classes")
+    zero, one = (1.0, n[0] / n[1]) if positive_only else ((n[0] + n[1]) / (2.0 * n[0]), (n[0] + n[1]) / (2.0 * n[1]))
+    return df.withColumn("w", F.when(F.col(y) == 1, one).otherwise(zero))
 
 
 def _assemble(features: Sequence[str], scale: bool):
@@ -58,7 +61,7 @@ def fit_logistic(train: DataFrame, features, y="y", c: float = 1.0, max_iter: in
     """Ridge logistic; C on the summed weighted loss is regParam 1 / (C * sum of weights)."""
     data = _ready(train, features)
     data = data.withColumn("w", F.col(weighted)) if weighted else balanced(data, y)
-    total = data.agg(F.sum("w")).first()[0]
+    total = data.agg(F.sum("w")).first()[0] if weighted else data.count()  # balanced weights add up to n
     lr = LogisticRegression(labelCol=y, weightCol="w", elasticNetParam=0.0, regParam=1.0 / (c * total), maxIter=max_iter, standardization=False)
     return Pipeline(stages=[*_assemble(features, True), lr]).fit(data)
 
