@@ -15,7 +15,7 @@ from tidemark.functions.expr import unit_hash
 from tidemark.operators import fit
 from tidemark.operators.filters import coverage
 from tidemark.operators.ranks import cumulate
-from tidemark.sources.tables import fitted
+from tidemark.sources.tables import fitted, staged
 
 HASH_RANGE = 2**32
 
@@ -68,6 +68,7 @@ def fold_preprocess(
     """Clip, coverage filter and fill, fitted on each fold's training rows – all folds
     in one pass because ``fold`` is part of every group key. Returns long rows."""
     pairs = ", ".join(f"'{f}', {f}" for f in features)
+    folds = staged(folds.select("fold", "role", *dict.fromkeys([*keys, sector, period, *features])))
     covered = folds.where(coverage(features) >= min(min_present, len(features)))
     melt = lambda df: df.selectExpr(
         "fold", "role", *keys, sector, f"stack({len(features)}, {pairs}) AS (feature, value)"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["scans", "rows", "joins", "reports", "timeplits", "scoring", "resampling", "explain", "learning"]
+MODULES = ["scans", "rows", "joins", "reports", "timeplits", "scoring", "resampling", "explain", "learning", "endtoend"]
 
 
 class Book(dict):

@@ -128,11 +128,16 @@ def use_checkpoint_dir(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(folder)
 
 
-def fitted(df: DataFrame) -> DataFrame:
-    """Write a small fitted table to the checkpoint folder and read it back, so later
-    plans scan it instead of refitting (one computation, and it survives lost executors)."""
+def staged(df: DataFrame) -> DataFrame:
+    """Write a stage's table to the checkpoint folder and read it back, so the many fits
+    that follow scan columns instead of repeating the joins; it survives lost executors."""
     spark = df.sparkSession
     use_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/fitted-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def fitted(df: DataFrame) -> DataFrame:
+    """The same for a small fitted table (bounds, fill values, edges): scanned, not refitted."""
+    return staged(df)
