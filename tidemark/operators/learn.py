@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.expr import unit_hash
 from tidemark.operators import metrics as M
 from tidemark.operators.inference import multiplicities
-from tidemark.sources.tables import fitted
+from tidemark.sources.tables import fitted, staged
 
 
 def class_weights(df: DataFrame, y: str) -> DataFrame:
@@ -127,7 +127,7 @@ def search(
         done = {(r["candidate"], r["fold"]) for r in spark.read.schema(schema).parquet(store).select("candidate", "fold").collect()}
     except AnalysisException:  # no table yet
         done = set()
-    folds = folds.persist()
+    folds = staged(folds.select("fold", "role", y, *features))
 
     def one(job):
         i, fold = job
@@ -140,7 +140,6 @@ def search(
 
     with ThreadPoolExecutor(threads) as pool:
         list(pool.map(one, [w for w in wanted if w not in done]))
-    folds.unpersist()
     table = spark.read.schema(schema).parquet(store).where(F.col("candidate") < len(candidates))
     return table.groupBy("candidate").agg(F.avg("ap").alias("mean_ap"), F.count("*").alias("n_folds"))
 
@@ -150,7 +149,6 @@ def run_variants(variants: dict[str, tuple[DataFrame, Sequence[str]]], learners:
     long metric table keyed by (variant, model)."""
     out = None
     for name, (df, features) in variants.items():
-        df = df.persist()
         for model_name, fit in learners.items():
             model = fit(df.where("split = 'train'"), features, y=y)
             tag = lambda split: score(model, df.where(F.col("split") == split), features, model_name).select(
@@ -158,7 +156,6 @@ def run_variants(variants: dict[str, tuple[DataFrame, Sequence[str]]], learners:
             )
             one = fitted(evaluate(tag("val"), tag("test"), ["variant", "model"]))  # one row
             out = one if out is None else out.unionByName(one)
-        df.unpersist()
     return out
 
 

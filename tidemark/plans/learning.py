@@ -12,6 +12,7 @@ from tidemark.operators.reporting import advantage_table
 from tidemark.plans import roles as R
 from tidemark.plans.registry import Book
 from tidemark.plans.scoring import PLATT, SC
+from tidemark.sources.tables import staged
 
 BOOK = Book()
 KEYS = ["entity", "fyear"]
@@ -32,7 +33,7 @@ def frame(spark, d):
 
 
 def fit_and_evaluate(spark, d, name, fit):
-    df = frame(spark, d).persist()
+    df = staged(frame(spark, d))
     model = fit(df.where("split = 'train'"))
     part = lambda s: L.score(model, df.where(F.col("split") == s), R.FEATURES, name)
     return L.evaluate(part("val"), part("test"))
@@ -92,7 +93,7 @@ def q_platt(spark, d):
 @BOOK.query("WITH " + R.FEATURES_SQL + """, c AS (SELECT count(*) FILTER (label=0) AS n0, count(*) FILTER (label=1) AS n1 FROM features WHERE split='train')
 SELECT 0 AS y, n0 AS n_original, 0::BIGINT AS n_synthetic, n0 AS n_after FROM c UNION ALL SELECT 1, n1, n0-n1, n0 FROM c""")
 def q_smote_counts(spark, d):
-    train = frame(spark, d).where("split = 'train'").withColumn("rowkey", F.col("entity") * 10000 + F.col("fyear"))
+    train = staged(frame(spark, d)).where("split = 'train'").withColumn("rowkey", F.col("entity") * 10000 + F.col("fyear"))
     made = synthetic_minority(train, "rowkey", "y", R.FEATURES).groupBy("y").agg(F.count("*").alias("n_synthetic"))
     n = train.groupBy("y").agg(F.count("*").alias("n_original")).join(F.broadcast(made), "y", "left")
     extra = F.coalesce("n_synthetic", F.lit(0))
@@ -102,7 +103,7 @@ def q_smote_counts(spark, d):
 @BOOK.query()
 def q_variants(spark, d):
     """Full, reduced-feature and industry-filtered refits."""
-    df = frame(spark, d)
+    df = staged(frame(spark, d))
     variants = {
         "full": (df, R.FEATURES),
         "reduced": (df, R.FEATURES[:3]),
@@ -115,7 +116,7 @@ def q_variants(spark, d):
 @BOOK.query()
 def q_leakage(spark, d):
     """Chronological, entity-random and contaminated designs x seeds x models."""
-    df = frame(spark, d).persist()
+    df = staged(frame(spark, d))
     learners = {k: FAST[k] for k in ("logistic", "forest")}
     chrono = df.withColumn("role", F.when(F.col("split") == "train", "train").when(F.col("split") == "test", "test"))
     designs = [("chronological", (1, 2), chrono)]
@@ -124,20 +125,18 @@ def q_leakage(spark, d):
         designs.append(("contaminated", (seed,), S.contaminated_design(df, "entity", "fyear", 2000, 0.8, seed)))
     rows = []
     for design, seeds, x in designs:
-        x = x.select("role", "y", *R.FEATURES).persist()
+        x = staged(x.select("role", "y", *R.FEATURES))
         train, test = x.where("role = 'train'"), x.where("role = 'test'")
         parts = [L.score(fit(train, R.FEATURES), test, R.FEATURES, name).select("model", "y", "score") for name, fit in learners.items()]
         c = M.curve(M.compress(parts[0].unionByName(parts[1]), ["model"]), ["model"])
         for row in c.groupBy("model").agg(M.average_precision().alias("ap")).collect():  # one row per model
             rows += [(row["model"], design, seed, row["ap"]) for seed in seeds]
-        x.unpersist()
-    df.unpersist()
     results = spark.createDataFrame(rows, "model string, design string, seed int, pr_auc double")
     return advantage_table(results, "logistic", "chronological")
 
 
 def _forest(spark, d):
-    df = frame(spark, d).persist()
+    df = staged(frame(spark, d))
     return df, FAST["forest"](df.where("split = 'train'"), R.FEATURES)
 
 
@@ -155,7 +154,7 @@ def q_shapley(spark, d):
 
 @BOOK.query()
 def q_refit_stability(spark, d):
-    train = frame(spark, d).where("split = 'train'")
+    train = staged(frame(spark, d)).where("split = 'train'")
     return L.refit_stability(train, R.FEATURES, "entity", FAST["forest"], reps=3)
 
 
