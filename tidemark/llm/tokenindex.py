@@ -1,8 +1,9 @@
 """Token-id shards with a minimal perfect hash index from document keys to offsets.
 
-A shard is two files. ``.ids`` is nothing but the documents' ids, little-endian unsigned 32-bit, in ascending
-key order. ``.mph`` starts with four little-endian unsigned 64-bit numbers (fixed mark, keys n, buckets b,
-ids in the shard), then b signed 32-bit displacements, then for each of n slots a 32-bit fingerprint of the
+A shard is three files. ``.ids`` is nothing but the documents' ids in ascending key order, little-endian unsigned
+numbers of 2 bytes (4 for a vocabulary of over 65,536 ids). ``.rows`` has the number of ids of each row (64 bits).
+``.mph`` starts with five little-endian unsigned 64-bit numbers (fixed mark, keys n, buckets b, ids in the
+shard, bytes of an id), then b signed 32-bit displacements, then for each of n slots a 32-bit fingerprint of the
 key, the first id's place in the shard (64 bits) and the number of ids (64 bits), each as one array, then the
 keys in ascending order with their slots (64 and 32 bits).
 """
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import filesystem, shared_folder, slices, stage
-from tidemark.llm.tokens import encoded, vocabulary
+from tidemark.llm.tokens import encoded, encoder, vocabulary
 
 MARK = 0x3158444E49524B54
 #: Stands for a null key in a shard.
@@ -94,12 +95,12 @@ class PerfectHash:
         return np.where(self.fingerprint[slot] == (h >> np.uint64(32)).astype(np.uint32), slot, -1)
 
 
-def _packed(keys: np.ndarray, starts: np.ndarray, counts: np.ndarray, total: int) -> bytes:
+def _packed(keys: np.ndarray, starts: np.ndarray, counts: np.ndarray, total: int, width: int) -> bytes:
     """The index file of a shard whose keys are distinct."""
     mph, slot = PerfectHash.build(keys)
     place, length = np.zeros(len(keys), "<u8"), np.zeros(len(keys), "<u8")
     place[slot], length[slot] = starts, counts
-    head = np.array([MARK, len(keys), len(mph.displacement), total], "<u8")
+    head = np.array([MARK, len(keys), len(mph.displacement), total, width], "<u8")
     return b"".join(x.tobytes() for x in (head, mph.displacement.astype("<i4"), mph.fingerprint.astype("<u4"), place, length, keys.astype("<i8"), slot.astype("<u4")))
 
 
@@ -110,10 +111,10 @@ class Shard:
         fs, at = filesystem(path)
         with fs.open_input_stream(f"{at}.mph") as f:
             raw = f.read()
-        mark, n, b, self.total = (int(x) for x in np.frombuffer(raw, "<u8", 4))
+        mark, n, b, self.total, self.width = (int(x) for x in np.frombuffer(raw, "<u8", 5))
         if mark != MARK:
             raise ValueError(f"{path} is not an index")
-        at_byte = 32
+        at_byte = 40
 
         def column(kind: str, count: int) -> np.ndarray:
             nonlocal at_byte
@@ -131,8 +132,11 @@ class Shard:
         slot = int(self.mph.lookup(np.array([key], np.int64))[0])
         if slot < 0:
             return None
-        self.ids.seek(4 * int(self.place[slot]))
-        return np.frombuffer(self.ids.read(4 * int(self.length[slot])), "<u4")
+        return self.read(int(self.place[slot]), int(self.length[slot]))
+
+    def read(self, start: int, length: int) -> np.ndarray:
+        self.ids.seek(self.width * start)
+        return np.frombuffer(self.ids.read(self.width * length), f"<u{self.width}")
 
 
 def write(docs: DataFrame, folder: str, file: str | None = None, end: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -146,6 +150,8 @@ def write(docs: DataFrame, folder: str, file: str | None = None, end: int = 2, k
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        width = 2 if max(encoder(file).tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else 4
+
         shard, path = TaskContext.get().partitionId(), None
         keys, counts, held, out = [], [], 0, None
         for part in slices(batches, text, 4 << 20):
@@ -157,7 +163,7 @@ def write(docs: DataFrame, folder: str, file: str | None = None, end: int = 2, k
             keys.append(part.column(key).cast(pa.int64()).fill_null(NULL_KEY).to_numpy(zero_copy_only=False))
             for ids in encoded(part.column(text).to_pylist(), file, end):
                 counts.append(len(ids))
-                out.write(ids.astype("<u4").tobytes())
+                out.write(ids.astype(f"<u{width}").tobytes())
         if out is None:
             return
         out.close()
@@ -166,7 +172,7 @@ def write(docs: DataFrame, folder: str, file: str | None = None, end: int = 2, k
         # rows that repeat a key: the index leads to the first and covers all of them
         first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
         with fs.open_output_stream(f"{at}.mph") as f:
-            f.write(_packed(k[first], starts[first], np.add.reduceat(n, first), int(n.sum())))
+            f.write(_packed(k[first], starts[first], np.add.reduceat(n, first), int(n.sum()), width))
         with fs.open_output_stream(f"{at}.rows") as f:  # ids of each row, to tell repeated keys apart
             f.write(n.astype("<u8").tobytes())
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([path]), pa.array([int(n.sum())], pa.int64())], names=["shard", "path", "ids"])
@@ -198,12 +204,11 @@ def read(spark: SparkSession, shards: DataFrame, key: str = "doc_id") -> DataFra
                         raise ValueError(f"{path}: a key is not in its index")
                     out: list[tuple] = []
                     for k, start, length in zip(keys.tolist(), shard.place[slot].tolist(), shard.length[slot].tolist()):
-                        shard.ids.seek(4 * start)
-                        raw = shard.ids.read(4 * length)
+                        ids = shard.read(start, length).astype("<u4")
                         row, done = int(np.searchsorted(row_starts, start)), 0
                         while done < length:
                             c = int(n[row])
-                            out.append((None if k == NULL_KEY else k, base + start + done, c, zlib.crc32(raw[4 * done : 4 * (done + c)])))
+                            out.append((None if k == NULL_KEY else k, base + start + done, c, zlib.crc32(ids[done : done + c].tobytes())))
                             row, done = row + 1, done + c
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=[key, "start", "n_tokens", "ids_crc32"])
 
