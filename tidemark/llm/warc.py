@@ -82,11 +82,14 @@ class Writer:
         import zstandard
 
         held, self.held = self.held or [], None
-        trained = None
-        try:
-            trained = zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, sum(map(len, held)) // 8)), held)
-        except zstandard.ZstdError:  # too little to learn from: no dictionary, no leading frame
-            pass
+        trained, size = None, min(DICTIONARY_BYTES, max(1024, sum(map(len, held)) // 8))
+        cut = [x[at : at + 512] for x in held for at in range(0, len(x), 512)]
+        for samples in (held, cut):  # few records are cut into pieces, since training wants many samples
+            try:
+                trained = zstandard.train_dictionary(size, samples)
+                break
+            except zstandard.ZstdError:  # too little to learn from: no dictionary, no leading frame
+                pass
         if trained is not None:
             data = trained.as_bytes()
             self._put(DICTIONARY_FRAME.to_bytes(4, "little") + len(data).to_bytes(4, "little") + data)
