@@ -82,22 +82,22 @@ def learn(docs: DataFrame, rows: int = SAMPLE, bits: int = BITS, key: str = "doc
     """Fit on at most ``rows`` labelled rows of folds 1 to 4: the first by hash, languages in equal shares as far as they have rows.
 
     Keys and labels are chosen first; texts are read for the chosen alone and reach the driver as bits."""
-    known = docs.where((fold(key) != 0) & F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(label).alias("l"))
+    known = docs.select(F.col(key).alias("k"), F.col(label).alias("l"), F.col(text).alias("x")).where((fold("k") != 0) & F.col("l").isNotNull() & F.col("x").isNotNull())
     shares = known.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
-    chosen = known.join(shares, "l").orderBy(hash01("k") * F.col("n"), "k").limit(rows).select("k").distinct()
-    taken = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull()).join(F.broadcast(chosen), F.col(key) == F.col("k"), "left_semi").select(key, label, text)
+    chosen = known.select("k", "l").join(shares, "l").orderBy(hash01("k") * F.col("n"), "k").limit(rows).select("k").distinct()
+    taken = known.join(F.broadcast(chosen), "k", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text):
+        for part in slices(batches, "x"):
             packed = []
-            for x in part.column(text).to_pylist():
+            for x in part.column("x").to_pylist():
                 row = np.zeros(1 << bits, np.uint8)
                 mark_grams(row, x)
                 packed.append(np.packbits(row).tobytes())
-            yield pa.RecordBatch.from_arrays([part.column(key), part.column(label), pa.array(packed, pa.binary())], names=["k", "l", "bits"])
+            yield pa.RecordBatch.from_arrays([part.column("k"), part.column("l"), pa.array(packed, pa.binary())], names=["k", "l", "bits"])
 
     kind = docs.schema[key].dataType.simpleString()
-    got = taken.mapInArrow(run, f"k {kind}, l string, bits binary").orderBy(F.xxhash64("k"), "l", "bits").limit(rows).collect()
+    got = taken.select("k", "l", "x").mapInArrow(run, f"k {kind}, l string, bits binary").orderBy(F.xxhash64("k"), "l", "bits").limit(rows).collect()
     return fit([np.frombuffer(r["bits"], np.uint8) for r in got], [r["l"] for r in got])
 
 

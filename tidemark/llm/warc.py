@@ -153,7 +153,7 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", html: str = "html
                     path, n = f"{folder}/part-{uuid.uuid4().hex}.warc.zst", 0
                     fs, at = filesystem(path)
                     fs.create_dir(at.rpartition("/")[0], recursive=True)
-                    writer = Writer(fs.open_output_stream(at), sample)
+                    writer = Writer(fs.open_output_stream(at, compression=None), sample)
                 writer.add(record(row[key], row["url"], row["html"].encode("utf-8", "surrogatepass"), row["digest"], row["size"], row["refers_to"]))
                 n += 1
                 if writer.written > file_bytes:
@@ -180,7 +180,7 @@ def read(spark: SparkSession, archives: DataFrame, key: str = "page_id", payload
             for path in batch.column("path").to_pylist():
                 fs, at = filesystem(path)
                 out, held = [], 0
-                with fs.open_input_stream(at) as f:
+                with fs.open_input_stream(at, compression=None) as f:
                     for raw in records(f):
                         h, payload = parse(raw)
                         kind, digest = h["WARC-Type"], h["WARC-Payload-Digest"].removeprefix("sha256:")
