@@ -64,7 +64,7 @@ def pieces(docs: DataFrame, file: str | None = None, end: int = 1, capacity: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text, 4 << 20):
             out: list[tuple] = []
-            for k, row, ids in zip(part.column(key).to_pylist(), part.column("row").to_pylist(), encoded(part.column(text).to_pylist(), file, end)):
+            for k, row, ids in zip(part.column(key).to_pylist(), part.column("row").to_pylist(), encoded(part.column(text), file, end)):
                 for n, at in enumerate(range(0, len(ids), capacity)):
                     p = ids[at : at + capacity]
                     out.append((k, row, n, at, len(p), zlib.crc32(p.astype("<u4").tobytes()), *([p.astype(np.int32)] if with_ids else [])))

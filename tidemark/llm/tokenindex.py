@@ -161,7 +161,7 @@ def write(docs: DataFrame, folder: str, file: str | None = None, end: int = 2, k
                 fs.create_dir(at.rpartition("/")[0], recursive=True)
                 out = fs.open_output_stream(f"{at}.ids")
             keys.append(part.column(key).cast(pa.int64()).fill_null(NULL_KEY).to_numpy(zero_copy_only=False))
-            for ids in encoded(part.column(text).to_pylist(), file, end):
+            for ids in encoded(part.column(text), file, end):
                 counts.append(len(ids))
                 out.write(ids.astype(f"<u{width}").tobytes())
         if out is None:

@@ -11,11 +11,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Pieces that a worker remembers, and characters of text that it cuts at once.
-REMEMBER, AT_ONCE = 900_000, 4 << 20
-#: Begins the special tokens, which the library takes out of a text first.
-_SPECIAL = "<|"
+#: Pieces that a worker remembers.
+REMEMBER = 700_000
+#: Texts that are encoded as a whole: the beginning of a special token, which the library takes out first, the cutting mark, and
+#: (if white space makes tokens) blanks in a row or of another kind than spaces and line feeds.
+_UNSURE_DROPPED = r"<\||\x00"
+_UNSURE = _UNSURE_DROPPED + r"|[ \n][ \n]|[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 class Encoder(dict):
@@ -54,44 +58,34 @@ class Encoder(dict):
             self.used = end
             self.update(zip(some, range(first, first + len(some))))
 
-    def cut(self, text: str) -> list[str] | None:
-        """Pieces whose ids in a row are the text's; None if white space or marks make that uncertain."""
-        if _SPECIAL in text or "\x00" in text:
-            return None
+    def _cut(self, texts: pa.Array) -> pa.ListArray:
+        """The pieces of each text."""
         if self.dropped:
-            return text.replace("\n", " ").split(" ")
-        if len(text.split()) != text.count(" ") + text.count("\n") + 1:  # more than one blank in a row, at an end, or another kind
-            return None
-        return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
-
-    def all(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """The ids of each text; null counts as empty."""
-        at = 0
-        while at < len(texts):
-            to, size = at, 0
-            while to < len(texts) and (to == at or size < AT_ONCE):
-                size += len(texts[to] or "")
-                to += 1
-            cuts = [self.cut(x) if x else [] for x in texts[at:to]]
-            if len(self) > REMEMBER:
-                self.reset()
-            seen: set[str] = set()
-            for pieces in cuts:
-                seen.update(pieces or ())
-            if new := [x for x in seen if x not in self]:
-                self._learn(new)
-            for text, pieces in zip(texts[at:to], cuts):
-                if pieces is None:
-                    yield self.whole(text)
-                    continue
-                k = np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
-                first = self.begin[k]
-                n = self.begin[k + 1] - first
-                yield self.flat[np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
-            at = to
+            return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        return pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, " ", "\x00 "), "\n", "\x00\n\x00"), "\x00")
+
+    def all(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text; null counts as empty. A batch's pieces are numbered by Arrow, so only its distinct ones are looked up."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        unsure = pc.match_substring_regex(texts, _UNSURE_DROPPED if self.dropped else _UNSURE)
+        cuts = self._cut(pc.if_else(unsure, "", texts))
+        told = cuts.flatten().dictionary_encode()
+        pieces = told.dictionary.to_pylist()
+        if len(self) > REMEMBER:
+            self.reset()
+        if new := [x for x in pieces if x not in self]:
+            self._learn(new)
+        k = np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))[told.indices.to_numpy()]
+        first = self.begin[k]
+        n = self.begin[k + 1] - first
+        ends = np.cumsum(n)
+        ids = self.flat[np.repeat(first - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        ends = np.concatenate([[0], ends])[cuts.offsets.to_numpy() - cuts.offsets[0].as_py()]
+        for i, whole in enumerate(unsure.to_pylist()):
+            yield self.whole(texts[i].as_py()) if whole else ids[ends[i] : ends[i + 1]]
 
     def __call__(self, text: str | None) -> np.ndarray:
-        return next(self.all([text]))
+        return next(self.all(pa.array([text], pa.string())))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -111,7 +105,7 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def encoded(texts: list[str | None], file: str, end: int) -> Iterator[np.ndarray]:
+def encoded(texts: pa.Array, file: str, end: int) -> Iterator[np.ndarray]:
     """Ids of each text with the ``end`` id appended."""
     for ids in encoder(file).all(texts):
         yield np.append(ids, np.uint32(end))
