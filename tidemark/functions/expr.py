@@ -164,6 +164,14 @@ def weakness_covariates(df: DataFrame) -> DataFrame:
     )
 
 
+def correlation(x: str | Column, y: str | Column) -> Column:
+    """Pearson correlation over complete pairs; NULL (never an error) if either side is constant or there are no pairs."""
+    x, y = col(x), col(y)
+    both = x.isNotNull() & y.isNotNull()
+    only = lambda c: F.when(both, c)
+    return F.covar_pop(only(x), only(y)) / F.nullif(F.stddev_pop(only(x)) * F.stddev_pop(only(y)), F.lit(0.0))
+
+
 def unit_hash(seed: int | str, *parts: str | Column) -> Column:
     """Deterministic 32-bit draw from (seed, parts): same value on every engine."""
     text = F.concat_ws("|", F.lit(str(seed)), *[col(p).cast("string") for p in parts])

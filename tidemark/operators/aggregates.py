@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.expr import correlation
 from tidemark.operators.ranks import average_ranks, percentile_columns
 
 
@@ -73,11 +74,11 @@ def attrition(df: DataFrame, entity: str, steps: Sequence[tuple[str, Column]]) -
 
 
 def correlations(df: DataFrame, cols: Sequence[str], threshold: float = 0.7) -> DataFrame:
-    """Pairwise-complete Pearson correlations, one aggregation for all pairs."""
+    """Pairwise-complete Pearson correlations, one aggregation for all pairs; NULL for a constant column."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    cells = [F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.corr(a, b).alias("r")) for a, b in pairs]
+    cells = [F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), correlation(a, b).alias("r")) for a, b in pairs]
     long = df.agg(F.explode(F.array(*cells)).alias("c")).select("c.*")
-    return long.withColumn("above", (F.abs("r") > threshold).cast("int"))
+    return long.withColumn("above", F.coalesce(F.abs("r") > threshold, F.lit(False)).cast("int"))
 
 
 def ranked_by_group(df: DataFrame, keys: Sequence[str], x: str, group: str) -> DataFrame:
@@ -92,7 +93,10 @@ def ranked_by_group(df: DataFrame, keys: Sequence[str], x: str, group: str) -> D
 
 
 def group_tests(df: DataFrame, key: str, x: str, group: str) -> DataFrame:
-    """Moments and percentiles per group, Welch t and rank-sum z with two-sided p."""
+    """Moments and percentiles per group, Welch t and rank-sum z with two-sided p.
+
+    rank_z is the plain statistic; rank_pvalue corrects for ties and continuity. What an empty or
+    single-member group leaves undefined is NULL."""
     from tidemark.functions.normal import student_to_normal, two_sided_p
 
     known = df.where(F.col(x).isNotNull())
@@ -106,16 +110,23 @@ def group_tests(df: DataFrame, key: str, x: str, group: str) -> DataFrame:
     wide = pct.groupBy(key).agg(
         *[F.max(F.when(F.col(group) == g, F.col(c))).alias(f"{c}_{g}") for g in (0, 1) for c in ("p10", "median", "p90")]
     )
-    u = ranked_by_group(known, [key], x, group).groupBy(key).agg(F.sum(F.col("n0") * F.col("rank")).alias("_r0"))
-    n0, n1 = F.col("n_0"), F.col("n_1")
-    v0, v1 = F.pow("sd_0", F.lit(2)) / n0, F.pow("sd_1", F.lit(2)) / n1
-    dof = F.pow(v0 + v1, F.lit(2)) / (v0 * v0 / (n0 - 1) + v1 * v1 / (n1 - 1))
+    tied = F.col("n").cast("double")
+    u = ranked_by_group(known, [key], x, group).groupBy(key).agg(
+        F.sum(F.col("n0") * F.col("rank")).alias("_r0"), F.sum(tied * tied * tied - tied).alias("_ties")
+    )
+    n0, n1 = F.col("n_0").cast("double"), F.col("n_1").cast("double")  # their product passes a long at 3e9 rows
+    some = lambda c: F.nullif(c, F.lit(0.0))
+    v0, v1 = F.pow("sd_0", F.lit(2)) / some(n0), F.pow("sd_1", F.lit(2)) / some(n1)
+    dof = F.pow(v0 + v1, F.lit(2)) / some(v0 * v0 / some(n0 - 1) + v1 * v1 / some(n1 - 1))
     out = mom.join(wide, key).join(u, key)
-    out = out.withColumn("t_stat", (F.col("mean_0") - F.col("mean_1")) / F.sqrt(v0 + v1))
+    out = out.withColumn("t_stat", (F.col("mean_0") - F.col("mean_1")) / some(F.sqrt(v0 + v1)))
     out = out.withColumn("t_pvalue", two_sided_p(student_to_normal(F.col("t_stat"), dof)))
     stat_u = F.col("_r0") - n0 * (n0 + 1) / 2
-    out = out.withColumn("rank_z", (stat_u - n0 * n1 / 2) / F.sqrt(n0 * n1 * (n0 + n1 + 1) / 12.0))
-    return out.withColumn("rank_pvalue", two_sided_p(F.col("rank_z"))).drop("_r0")
+    off, total = stat_u - n0 * n1 / 2, n0 + n1
+    out = out.withColumn("rank_z", off / some(F.sqrt(n0 * n1 * (total + 1) / 12.0)))
+    spread = F.sqrt(n0 * n1 / 12.0 * (total + 1 - F.col("_ties") / some(total * (total - 1))))
+    corrected = F.greatest(F.abs(off) - 0.5, F.lit(0.0)) / some(spread)
+    return out.withColumn("rank_pvalue", two_sided_p(corrected)).drop("_r0", "_ties")
 
 
 def balance(df: DataFrame, key: str, x: str, group: str, flag: float = 0.10) -> DataFrame:
@@ -141,9 +152,12 @@ def balance(df: DataFrame, key: str, x: str, group: str, flag: float = 0.10) ->
         *[F.sum(F.col(f"n{g}") * F.col("rank")).alias(f"s{g}") for g in (0, 1)],
         *[F.sum(F.col(f"n{g}") * F.col("rank") * F.col("rank")).alias(f"q{g}") for g in (0, 1)],
     )
-    mean = {g: F.col(f"s{g}") / F.col(f"c{g}") / F.col("_n") for g in (0, 1)}
+    some = lambda c: F.nullif(c.cast("double"), F.lit(0.0))
+    size = {g: some(F.col(f"c{g}")) for g in (0, 1)}
+    all_rows = F.col("_n").cast("double")
+    mean = {g: F.col(f"s{g}") / size[g] / all_rows for g in (0, 1)}
     var = {
-        g: (F.col(f"q{g}") - F.col(f"s{g}") * F.col(f"s{g}") / F.col(f"c{g}")) / (F.col(f"c{g}") - 1) / (F.col("_n") * F.col("_n"))
+        g: (F.col(f"q{g}") - F.col(f"s{g}") * F.col(f"s{g}") / size[g]) / some(size[g] - 1) / (all_rows * all_rows)
         for g in (0, 1)
     }
     out = base.join(tot, key).select(
@@ -205,7 +219,7 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 
     def weighted(a, b):
         cov = s(a * b) - s(a) * s(b) / n
-        return cov / F.sqrt((s(a * a) - s(a) * s(a) / n) * (s(b * b) - s(b) * s(b) / n))
+        return cov / F.nullif(F.sqrt((s(a * a) - s(a) * s(a) / n) * (s(b * b) - s(b) * s(b) / n)), F.lit(0.0))
 
     return j.agg(
         n.alias("n"), weighted(F.col("x"), F.col("y")).alias("pearson"), weighted(F.col("rx"), F.col("ry")).alias("spearman")
@@ -217,7 +231,8 @@ def label_histogram(df: DataFrame, x: str, label: str, bins: int = 35) -> DataFr
     known = df.where(F.col(x).isNotNull())
     lim = percentile_columns(known, [], x, {"lo": 0.01, "hi": 0.99})
     j = known.join(F.broadcast(lim), F.lit(True)).withColumn("_v", F.greatest("lo", F.least("hi", F.col(x))))
-    pos = F.least(F.floor((F.col("_v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
+    width = F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))  # equal values fall into bin 0, without a density
+    pos = F.least(F.coalesce(F.floor((F.col("_v") - F.col("lo")) / width * bins), F.lit(0)), F.lit(bins - 1))
     cnt = j.groupBy(label, pos.alias("bin")).agg(F.count("*").alias("n"), F.first((F.col("hi") - F.col("lo")) / bins).alias("_w"))
     total = F.sum("n").over(Window.partitionBy(label))  # at most ``bins`` rows per group
-    return cnt.withColumn("density", F.col("n") / (total * F.col("_w"))).drop("_w")
+    return cnt.withColumn("density", F.col("n") / F.nullif(total * F.col("_w"), F.lit(0.0))).drop("_w")

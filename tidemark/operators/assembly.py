@@ -66,7 +66,7 @@ def build_features(panel: DataFrame, sector: str, profile: Profile = CORRECTED,
     clean = staged(purge_earlier(staged(cut.select(*keep)), "split", "fdate", profile.horizon_days))
     need = profile.min_coverage if min_coverage is None else min_coverage
     bounds = fitted(fit.clip_bounds(melt(clean.where("split = 'train'"), names, sector)))
-    covered = FL.min_coverage(clean, names, need)
+    covered = FL.min_coverage(clean, names, need, lower_to_present=True)
     clipped = fit.clip_long(melt(covered, names, sector), bounds)
     tables = fit.fill_tables(clipped.where("split = 'train'"), sector, "fyear", profile.peer_minimum, profile.peer_rule)
     tables = {n: fitted(t) for n, t in tables.items()}

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.expr import right_closed_bin
+from tidemark.functions.expr import correlation, right_closed_bin
 from tidemark.operators.inference import multiplicities
 from tidemark.operators.ranks import percentile_columns
 from tidemark.sources.tables import fitted
@@ -53,13 +53,18 @@ def top_features(ranking: DataFrame, k: int, always: Sequence[str]) -> DataFrame
 
 
 def directions(attr: DataFrame, ambiguous: float = 0.1) -> DataFrame:
-    """Correlation of value and attribution, its sign, and the verdict against theory."""
+    """Correlation of value and attribution, its sign, and the verdict against theory.
+
+    An undefined correlation, or one over fewer than ten finite rows, counts as 0; 0 counts as positive."""
     spark = attr.sparkSession
     signs = spark.createDataFrame(list(EXPECTED_SIGN.items()), "feature string, expected string")
+    finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c).cast("double"))
+    enough = F.count(F.when(finite("value").isNotNull() & finite("attr").isNotNull(), 1)) >= 10
+    r = F.when(enough, F.coalesce(correlation(finite("value"), finite("attr")), F.lit(0.0))).otherwise(0.0)
     d = attr.groupBy("model", "feature").agg(
-        F.corr("value", "attr").alias("r"), F.avg("attr").alias("mean_attr"), F.avg(F.abs("attr")).alias("mean_abs")
+        r.alias("r"), F.avg("attr").alias("mean_attr"), F.avg(F.abs("attr")).alias("mean_abs")
     )
-    d = d.withColumn("observed", F.when(F.col("r") > 0, "+").otherwise("-"))
+    d = d.withColumn("observed", F.when(F.col("r") >= 0, "+").otherwise("-"))
     d = d.withColumn("rank", F.rank().over(Window.partitionBy("model").orderBy(F.col("mean_abs").desc())))
     j = d.join(F.broadcast(signs), "feature", "left")
     same = F.col("observed") == F.col("expected")
@@ -70,7 +75,7 @@ def directions(attr: DataFrame, ambiguous: float = 0.1) -> DataFrame:
 def sign_compare(attr: DataFrame) -> DataFrame:
     """Sign of the mean attribution against the sign of the correlation."""
     sign = lambda c: F.when(F.col(c) > 0, "+").when(F.col(c) < 0, "-").otherwise("0")
-    d = attr.groupBy("model", "feature").agg(F.avg("attr").alias("mean_attr"), F.corr("value", "attr").alias("r"))
+    d = attr.groupBy("model", "feature").agg(F.avg("attr").alias("mean_attr"), correlation("value", "attr").alias("r"))
     d = d.withColumns({"mean_sign": sign("mean_attr"), "corr_sign": sign("r")})
     return d.withColumn("agree", (F.col("mean_sign") == F.col("corr_sign")).cast("int"))
 

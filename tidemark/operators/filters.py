@@ -20,10 +20,10 @@ def outside_ranges(code: str, ranges: Sequence[tuple[int, int]]) -> Column:
 
 
 def filing_lag(df: DataFrame, period_end: str, filed: str, limit: int, source: str | None = None) -> DataFrame:
-    """Drop missing or fallback filing dates and lags above ``limit`` days."""
+    """Drop missing or fallback filing dates and lags above ``limit`` days. A date of unknown source is a filed one."""
     out = df.where(F.col(filed).isNotNull())
     if source:
-        out = out.where(~F.col(source).startswith("fallback"))
+        out = out.where(~F.coalesce(F.col(source).startswith("fallback"), F.lit(False)))
     lag = F.datediff(filed, period_end)
     checked = F.when(lag < 0, F.raise_error(F.lit("filing date before period end")).cast("int")).otherwise(lag)
     return out.withColumn("lag_days", checked).where(F.col("lag_days") <= limit)
@@ -36,9 +36,11 @@ def coverage(cols: Sequence[str]) -> Column:
     return total
 
 
-def min_coverage(df: DataFrame, cols: Sequence[str], k: int) -> DataFrame:
+def min_coverage(df: DataFrame, cols: Sequence[str], k: int, lower_to_present: bool = False) -> DataFrame:
+    """Rows with at least ``k`` of ``cols`` known; an absent column counts as missing. With ``lower_to_present``
+    no more columns are asked for than there are."""
     present = [c for c in cols if c in df.columns]
-    return df.where(coverage(present) >= min(k, len(present)))
+    return df.where(coverage(present) >= (min(k, len(present)) if lower_to_present else k))
 
 
 def min_consecutive(df: DataFrame, entity: str, period: str, m: int = 2) -> DataFrame:

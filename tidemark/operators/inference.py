@@ -109,7 +109,8 @@ def normal_interval(df: DataFrame, estimate: str, se: str) -> DataFrame:
 def delong(wide: DataFrame, models: Sequence[str]) -> DataFrame:
     """DeLong test for every model pair from placement values.
 
-    Rows collapse to distinct score pairs; placements come from each model's curve.
+    Rows collapse to distinct score pairs; placements come from each model's curve. With fewer than two
+    rows of a class there is no variance: z is 0 and p is 1.
     """
     cells = F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("score")) for m in models])
     long = wide.select("y", F.explode(cells).alias("x")).select("y", "x.*")
@@ -131,13 +132,13 @@ def delong(wide: DataFrame, models: Sequence[str]) -> DataFrame:
     j = joint.join(one, ["a", "sa"]).join(two, ["b", "sb"])
 
     def cov(w, x, y):
-        n, x, y, w = F.sum(w), F.col(x), F.col(y), F.col(w)
-        return (F.sum(w * x * y) - F.sum(w * x) * F.sum(w * y) / n) / (n - 1)
+        n, x, y, w = F.nullif(F.sum(w).cast("double"), F.lit(0.0)), F.col(x), F.col(y), F.col(w)
+        return (F.sum(w * x * y) - F.sum(w * x) * F.sum(w * y) / n) / F.nullif(n - 1, F.lit(0.0))
 
     def var_delta(w, x, y):
-        return (cov(w, x, x) + cov(w, y, y) - 2 * cov(w, x, y)) / F.sum(w)
+        return (cov(w, x, x) + cov(w, y, y) - 2 * cov(w, x, y)) / F.nullif(F.sum(w).cast("double"), F.lit(0.0))
 
-    mean = lambda x: F.sum(F.col("p") * F.col(x)) / F.sum("p")
+    mean = lambda x: F.sum(F.col("p") * F.col(x)) / F.nullif(F.sum("p"), F.lit(0))
     out = j.groupBy("a", "b").agg(
         mean("a10").alias("auc_a"), mean("b10").alias("auc_b"), (var_delta("p", "a10", "b10") + var_delta("q", "a01", "b01")).alias("_var")
     )

@@ -6,6 +6,8 @@ Learners are MLlib's; the driver only loops over model fits. Frames are wide
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.expr import unit_hash
 from tidemark.operators import metrics as M
+from tidemark.operators.guards import content_hash
 from tidemark.operators.inference import multiplicities
 from tidemark.sources.tables import fitted, staged
 
@@ -116,18 +119,26 @@ def search(
 ) -> DataFrame:
     """Mean average precision of each candidate over purged folds.
 
-    ``folds`` has (fold, role, features, y). Finished (candidate, fold) pairs are rows of
-    the Parquet table ``store``; a restart fits only what is missing. Fits run on driver
+    ``folds`` has (fold, role, features, y). Finished work is rows of the Parquet table ``store``, keyed by what
+    it was made from: the learner and its parameters, the features and the content of the folds; a restart fits only
+    what is missing, and nothing made from other data or parameters is taken for it. Fits run on driver
     threads, each one a distributed MLlib job.
     """
     spark = folds.sparkSession
-    schema = "ap double, candidate int, fold int"
+    schema = "ap double, work string, fold int"
+    folds = staged(folds.select("fold", "role", y, *features))
+    content = content_hash(folds, ["fold", "role", y, *features]).first()
+    code = getattr(fit, "__code__", None)
+    learner = [getattr(fit, "__module__", ""), getattr(fit, "__qualname__", repr(fit)), *([code.co_code.hex(), repr(code.co_consts), repr(code.co_names)] if code else [])]
+    work = [
+        hashlib.sha256(json.dumps([*learner, c, list(features), y, *map(str, content)], sort_keys=True, default=str).encode()).hexdigest()
+        for c in candidates
+    ]
     wanted = [(i, r["fold"]) for i in range(len(candidates)) for r in folds.select("fold").distinct().orderBy("fold").collect()]
     try:
-        done = {(r["candidate"], r["fold"]) for r in spark.read.schema(schema).parquet(store).select("candidate", "fold").collect()}
+        done = {(r["work"], r["fold"]) for r in spark.read.schema(schema).parquet(store).select("work", "fold").collect()}
     except AnalysisException:  # no table yet
         done = set()
-    folds = staged(folds.select("fold", "role", y, *features))
 
     def one(job):
         i, fold = job
@@ -136,11 +147,12 @@ def search(
         s = score(model, part.where("role = 'val'"), features, str(i))
         ap = M.curve(M.compress(s, ["model"]), ["model"]).agg(M.average_precision()).first()[0]
         row = spark.createDataFrame([(float(ap) if ap is not None else None,)], "ap double").coalesce(1)
-        row.write.mode("overwrite").parquet(f"{store}/candidate={i}/fold={fold}")
+        row.write.mode("overwrite").parquet(f"{store}/work={work[i]}/fold={fold}")
 
     with ThreadPoolExecutor(threads) as pool:
-        list(pool.map(one, [w for w in wanted if w not in done]))
-    table = spark.read.schema(schema).parquet(store).where(F.col("candidate") < len(candidates))
+        list(pool.map(one, {(work[i], f): (i, f) for i, f in wanted if (work[i], f) not in done}.values()))
+    named = spark.createDataFrame(list(enumerate(work)), "candidate int, work string")
+    table = spark.read.schema(schema).parquet(store).join(F.broadcast(named), "work")  # a row per candidate
     return table.groupBy("candidate").agg(F.avg("ap").alias("mean_ap"), F.count("*").alias("n_folds"))
 
 

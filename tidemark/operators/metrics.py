@@ -18,8 +18,12 @@ WILSON_Z = 1.959963984540054
 
 
 def compress(scored: DataFrame, keys: Sequence[str], weight: str | None = None) -> DataFrame:
+    """A missing or NaN score has no place in a ranking and raises."""
     w = F.col(weight) if weight else F.lit(1)
-    return scored.groupBy(*keys, "score").agg(F.sum(F.col("y") * w).alias("p"), F.sum(w).alias("n"))
+    score = F.col("score")
+    missing = score.isNull() | F.isnan(score.cast("double"))
+    known = F.when(missing, F.raise_error(F.lit("a score is missing or NaN")).cast(scored.schema["score"].dataType)).otherwise(score)
+    return scored.groupBy(*keys, known.alias("score")).agg(F.sum(F.col("y") * w).alias("p"), F.sum(w).alias("n"))
 
 
 def curve(grouped: DataFrame, keys: Sequence[str], bits: int = 12) -> DataFrame:
@@ -36,13 +40,13 @@ def curve_points(c: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def average_precision() -> Column:
-    return F.sum(F.col("p") * F.col("tp") / F.nullif(F.col("m"), F.lit(0.0))) / F.nullif(F.max("pos"), F.lit(0.0))
+    return F.sum(F.col("p") * F.col("tp").cast("double") / F.nullif(F.col("m"), F.lit(0.0))) / F.nullif(F.max("pos"), F.lit(0.0))
 
 
 def roc_auc() -> Column:
     neg_here = F.col("n") - F.col("p")
     wins = F.sum(F.col("p") * (F.col("neg") - (F.col("m") - F.col("tp")) + neg_here / 2.0))
-    return wins / F.nullif(F.max("pos") * F.max("neg"), F.lit(0.0))
+    return wins / F.nullif(F.max("pos").cast("double") * F.max("neg"), F.lit(0.0))
 
 
 def ks_statistic() -> Column:
@@ -201,34 +205,40 @@ def logit_map(grouped: DataFrame, x: Column, iterations: int = 25, offset: bool
 
     Each step is one aggregation over the compressed table for all models at once;
     only two coefficients per model come back. With ``offset`` the slope is fixed
-    at 1 and only the intercept is fitted. Returns (model, a, b).
+    at 1 and only the intercept is fitted. Returns (model, a, b). A model whose fit does not
+    exist (one class, one distinct score, classes that a cut separates) or does not settle
+    within ``iterations`` steps has NULL coefficients.
     """
     spark = grouped.sparkSession
     data = grouped.select("model", "p", "n", x.cast("double").alias("x")).persist()
     coef = {r["model"]: (0.0, 1.0 if offset else 0.0) for r in data.select("model").distinct().collect()}
+    settled: set = set()
     for _ in range(iterations):
-        table = spark.createDataFrame([(m, a, b) for m, (a, b) in coef.items()], "model string, a double, b double")
+        table = spark.createDataFrame([(m, a, b) for m, (a, b) in coef.items() if m not in settled], "model string, a double, b double")
         q = 1 / (1 + F.exp(-(F.col("a") + F.col("b") * F.col("x"))))
         w, res = F.col("n") * q * (1 - q), F.col("p") - F.col("n") * q
         sums = data.join(F.broadcast(table), "model").groupBy("model").agg(
             F.sum(res).alias("g0"), F.sum(res * F.col("x")).alias("g1"), F.sum(w).alias("h00"),
             F.sum(w * F.col("x")).alias("h01"), F.sum(w * F.col("x") * F.col("x")).alias("h11"),
         ).collect()
-        moved = 0.0
         for s in sums:
             a, b = coef[s["model"]]
             det = s["h00"] * s["h11"] - s["h01"] ** 2
+            if not s["h00"] > 1e-9 or not (offset or det > 1e-12 * s["h00"] * s["h11"]):
+                continue  # flat: no finite solution in sight
             if offset:
                 da, db = s["g0"] / s["h00"], 0.0
             else:
                 da = (s["h11"] * s["g0"] - s["h01"] * s["g1"]) / det
                 db = (s["h00"] * s["g1"] - s["h01"] * s["g0"]) / det
             coef[s["model"]] = (a + da, b + db)
-            moved = max(moved, abs(da), abs(db))
-        if moved < 1e-12:
+            if max(abs(da), abs(db)) < 1e-9 * max(1.0, abs(a), abs(b)):
+                settled.add(s["model"])
+        if len(settled) == len(coef):
             break
     data.unpersist()
-    return spark.createDataFrame([(m, a, b) for m, (a, b) in coef.items()], "model string, a double, b double")
+    out = [(m, *(ab if m in settled else (None, None))) for m, ab in coef.items()]
+    return spark.createDataFrame(out, "model string, a double, b double")
 
 
 def apply_logit_map(scored: DataFrame, fitted: DataFrame) -> DataFrame:

@@ -34,11 +34,13 @@ def nearest_event(
     payload: Sequence[str] = (),
     forward: bool = True,
     keep: str = "min",
+    known: str | None = None,
 ) -> DataFrame:
     """First event at or after (or last at or before) each distinct anchor.
 
     Returns (by, at, when, payload); NULL where there is none. Ties at one instant
-    keep the smallest (``keep="max"``: largest) payload.
+    keep the smallest (``keep="max"``: largest) payload. ``known`` names a payload column:
+    the struct column ``_known`` is the nearest event in which it is not NULL.
     """
     by = list(by)
     body = F.struct(F.col(when).alias("t"), *[F.col(c).alias(c) for c in payload])
@@ -49,25 +51,25 @@ def nearest_event(
     side_e = events.where(F.col(when).isNotNull()).select(
         *by, F.col(when).alias("_t"), body.alias("_hit"), F.lit(0).alias("_is_anchor")
     )
-    best = F.min("_hit") if keep == "min" else F.max("_hit")
+    hits = {"": F.col("_hit")} | ({"_known": F.when(F.col(f"_hit.{known}").isNotNull(), F.col("_hit"))} if known else {})
+    best = F.min if keep == "min" else F.max
     merged = side_a.unionByName(side_e).groupBy(*by, "_t").agg(
-        best.alias("_hit"), F.max("_is_anchor").alias("_is_anchor")
+        *[best(h).alias(f"_hit{n}") for n, h in hits.items()], F.max("_is_anchor").alias("_is_anchor")
     )
     merged = merged.withColumn("_slot", time_cell(merged, "_t"))
     order = F.col("_t").desc() if forward else F.col("_t").asc()
     inside = Window.partitionBy(*by, "_slot").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    per_cell = merged.groupBy(*by, "_slot").agg((F.min("_hit") if forward else F.max("_hit")).alias("_cell_hit"))
+    end = F.min if forward else F.max
+    per_cell = merged.groupBy(*by, "_slot").agg(*[end(f"_hit{n}").alias(f"_cell{n}") for n in hits])
     order = F.col("_slot").desc() if forward else F.col("_slot").asc()
     across = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_cell.select(*by, "_slot", F.last("_cell_hit", ignorenulls=True).over(across).alias("_carry"))
-    found = (
-        merged.withColumn("_near", F.last("_hit", ignorenulls=True).over(inside))
-        .where("_is_anchor = 1")
-        .join(carried, [*by, "_slot"])
-        .withColumn("_best", F.coalesce("_near", "_carry"))
-    )
+    carried = per_cell.select(*by, "_slot", *[F.last(f"_cell{n}", ignorenulls=True).over(across).alias(f"_carry{n}") for n in hits])
+    near = merged.withColumns({f"_near{n}": F.last(f"_hit{n}", ignorenulls=True).over(inside) for n in hits})
+    found = near.where("_is_anchor = 1").join(carried, [*by, "_slot"])
+    found = found.withColumns({f"_best{n}": F.coalesce(f"_near{n}", f"_carry{n}") for n in hits})
     return found.select(
-        *by, F.col("_t").alias(at), F.col("_best.t").alias(when), *[F.col(f"_best.{c}").alias(c) for c in payload]
+        *by, F.col("_t").alias(at), F.col("_best.t").alias(when), *[F.col(f"_best.{c}").alias(c) for c in payload],
+        *([F.col("_best_known").alias("_known")] if known else []),
     )
 
 
@@ -84,11 +86,13 @@ def forward_label(
     """Label rows whose closed window [anchor, anchor + reach] holds an event.
 
     ``reach`` is an interval literal such as ``"365 DAYS"``. Adds the label, the
-    first event time and (with ``code``) its code, NULL outside the window.
+    first event time and (with ``code``) the first code that is not NULL in the window
+    (which may belong to a later event); NULL outside the window.
     """
     payload = [code] if code else []
-    nxt = nearest_event(rows, events, by, anchor, when, payload)
-    inside = F.col(f"_e.{when}") <= window_end(f"_r.{anchor}", reach, rows.schema[anchor].dataType)
+    nxt = nearest_event(rows, events, by, anchor, when, payload, known=code)
+    last = window_end(f"_r.{anchor}", reach, rows.schema[anchor].dataType)
+    inside = F.col(f"_e.{when}") <= last
     cond = F.col(f"_r.{anchor}") == F.col(f"_e.{anchor}")
     for c in by:
         cond = cond & (F.col(f"_r.{c}") == F.col(f"_e.{c}"))
@@ -97,7 +101,7 @@ def forward_label(
         "_r.*",
         F.coalesce(inside, F.lit(False)).cast("int").alias(label),
         F.when(inside, F.col(f"_e.{when}")).alias(when),
-        *[F.when(inside, F.col(f"_e.{c}")).alias(c) for c in payload],
+        *[F.when(F.col("_e._known.t") <= last, F.col(f"_e._known.{c}")).alias(c) for c in payload],
     )
 
 
@@ -115,14 +119,23 @@ def unique_forward_label(
     reach: str,
     row_key: Sequence[str],
     label: str = "label",
+    code: str | None = None,
 ) -> DataFrame:
-    """Each event labels only the latest row whose window reaches it."""
+    """Each event labels only the latest row whose window reaches it.
+
+    Adds the first assigned event's time, the label and (with ``code``) the first code that is not NULL
+    among the assigned events; events at one instant give their smallest code."""
     row_key = list(row_key)
     prev = nearest_event(
         events, rows.select(*by, *row_key, anchor), by, when, anchor, row_key, forward=False, keep="max"
     )
     reached = prev.where(F.col(when) <= window_end(anchor, reach, rows.schema[anchor].dataType))
-    first = reached.groupBy(*by, anchor, *row_key).agg(F.min(when).alias(when))
+    took = [F.min(when).alias(when)]
+    if code:
+        codes = events.where(F.col(when).isNotNull()).groupBy(*by, when).agg(F.min(code).alias(code))
+        reached = reached.join(codes, [*by, when])
+        took.append(F.min(F.when(F.col(code).isNotNull(), F.struct(when, code)))[code].alias(code))
+    first = reached.groupBy(*by, anchor, *row_key).agg(*took)
     joined = rows.join(first, [*by, anchor, *row_key], "left")
     return joined.withColumn(label, F.col(when).isNotNull().cast("int"))
 

@@ -66,7 +66,7 @@ def q_top_features(spark, d):
 
 SIGNS = "(VALUES ('tlta','+'),('nita','-'),('wcta','-'),('clca','+'),('cashta','-'),('ocf_ta','-')) sg(feature, expected)"
 DIR = IMP + f""", dd AS (SELECT model, feature, corr(value,attr) AS r, avg(attr) AS mean_attr, avg(abs(attr)) AS mean_abs FROM attr GROUP BY 1,2),
-dv AS (SELECT dd.*, expected, CASE WHEN r>0 THEN '+' ELSE '-' END AS observed, rank() OVER (PARTITION BY model ORDER BY mean_abs DESC) AS rank FROM dd LEFT JOIN {SIGNS} USING (feature)),
+dv AS (SELECT dd.*, expected, CASE WHEN r>=0 THEN '+' ELSE '-' END AS observed, rank() OVER (PARTITION BY model ORDER BY mean_abs DESC) AS rank FROM dd LEFT JOIN {SIGNS} USING (feature)),
 vd AS (SELECT *, CASE WHEN observed<>expected THEN 'Inconsistent' WHEN abs(r)>0.1 THEN 'Consistent' ELSE 'Ambiguous' END AS verdict FROM dv)"""
 
 

@@ -72,7 +72,7 @@ def q_search(spark, d):
     from tidemark.sources.tables import use_checkpoint_dir
 
     use_checkpoint_dir(spark)
-    store = f"{spark.sparkContext.getCheckpointDir()}/search-{spark.sparkContext.applicationId}-{abs(hash(d)) % 10**6}"
+    store = f"{spark.sparkContext.getCheckpointDir()}/search-{spark.sparkContext.applicationId}"
     folds = S.purge_folds(S.rolling_folds(frame(spark, d).where("split = 'train'"), "fyear", 3), "fdate", 200)
     out = L.search(folds, R.FEATURES, [{"c": 0.1}, {"c": 10.0}], FAST["logistic"], store)
     return out.withColumn("best", (F.col("mean_ap") == F.max("mean_ap").over(_all())).cast("int"))

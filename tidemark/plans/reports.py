@@ -168,13 +168,16 @@ s AS (SELECT feature, count(*) FILTER (label=0) AS n_0, count(*) FILTER (label=1
  quantile_cont(value,0.1) FILTER (label=0) AS p10_0, quantile_cont(value,0.5) FILTER (label=0) AS median_0, quantile_cont(value,0.9) FILTER (label=0) AS p90_0,
  quantile_cont(value,0.1) FILTER (label=1) AS p10_1, quantile_cont(value,0.5) FILTER (label=1) AS median_1, quantile_cont(value,0.9) FILTER (label=1) AS p90_1 FROM k GROUP BY 1),
 z AS (SELECT s.*, (mean_0-mean_1)/sqrt(sd_0*sd_0/n_0+sd_1*sd_1/n_1) AS t_stat, pow(sd_0*sd_0/n_0+sd_1*sd_1/n_1,2)/(pow(sd_0*sd_0/n_0,2)/(n_0-1)+pow(sd_1*sd_1/n_1,2)/(n_1-1)) AS dof,
- (r0 - n_0*(n_0+1)/2.0::DOUBLE - n_0*n_1/2.0::DOUBLE)/sqrt(n_0*n_1*(n_0+n_1+1)/12.0::DOUBLE) AS rank_z FROM s JOIN (SELECT feature, sum(rk) FILTER (label=0) AS r0 FROM rk GROUP BY 1) USING (feature))"""
+ (r0 - n_0*(n_0+1)/2.0::DOUBLE - n_0*n_1/2.0::DOUBLE)/sqrt(n_0*n_1*(n_0+n_1+1)/12.0::DOUBLE) AS rank_z,
+ greatest(abs(r0 - n_0*(n_0+1)/2.0::DOUBLE - n_0*n_1/2.0::DOUBLE)-0.5,0)/sqrt(n_0*n_1/12.0::DOUBLE*(n_0+n_1+1-ties/((n_0+n_1)::DOUBLE*(n_0+n_1-1)))) AS rank_c
+ FROM s JOIN (SELECT feature, sum(rk) FILTER (label=0) AS r0 FROM rk GROUP BY 1) USING (feature)
+ JOIN (SELECT feature, sum(c::DOUBLE*c*c-c) AS ties FROM (SELECT feature, value, count(*) AS c FROM k GROUP BY 1,2) GROUP BY 1) USING (feature))"""
 TZ = "(sign(t_stat)*(8*dof+1)/(8*dof+3)*sqrt(dof*ln(1+t_stat*t_stat/dof)))"
 
 
 @BOOK.query(FLG + GT + f""" SELECT feature, n_0, n_1, round(mean_0,6) AS mean_0, round(mean_1,6) AS mean_1, round(sd_0,6) AS sd_0, round(sd_1,6) AS sd_1, round(p10_0,6) AS p10_0,
  round(median_0,6) AS median_0, round(p90_0,6) AS p90_0, round(p10_1,6) AS p10_1, round(median_1,6) AS median_1, round(p90_1,6) AS p90_1, round(t_stat,5) AS t_stat,
- round({two_sided_p_sql(TZ)},6) AS t_pvalue, round(rank_z,5) AS rank_z, round({two_sided_p_sql('rank_z')},6) AS rank_pvalue FROM z""")
+ round({two_sided_p_sql(TZ)},6) AS t_pvalue, round(rank_z,5) AS rank_z, round({two_sided_p_sql('rank_c')},6) AS rank_pvalue FROM z""")
 def q_group_tests(spark, d):
     out = A.group_tests(R.feature_long(spark, d), "feature", "value", "label")
     six = [c for c in out.columns if c not in ("feature", "n_0", "n_1", "t_stat", "rank_z")]

@@ -165,9 +165,14 @@ def q_purge_check(spark, d):
     return G.purge_check(R.features(spark, d), "split", "fdate", 365)
 
 
-@BOOK.query(P + f" SELECT count(*) AS n, CAST(sum(h) AS BIGINT) AS hash_sum, bit_xor(h) AS hash_xor FROM (SELECT {hash_sql('content', 'entity', 'fyear', 'n_orders', 'n_lines', 'label', chr(99)+'oalesce(segment,'+chr(39)+'?'+chr(39)+')')} AS h FROM panel)")
+HASHED = ["entity", "fyear", "n_orders", "n_lines", "label", "segment"]
+WRITTEN = "||".join(f"coalesce(length(CAST({c} AS VARCHAR))||':'||CAST({c} AS VARCHAR),'-')" for c in HASHED)
+
+
+@BOOK.query(P + f""" SELECT count(*) AS n, CAST(sum(CAST(h AS HUGEINT)) AS VARCHAR) AS hash_sum, bit_xor(h) AS hash_xor FROM (
+  SELECT CAST(CAST('0x'||substr(md5({WRITTEN}),1,15) AS UBIGINT) AS BIGINT) AS h FROM panel)""")
 def q_content_hash(spark, d):
-    return G.content_hash(R.panel(spark, d), ["entity", "fyear", "n_orders", "n_lines", "label", "segment"])
+    return G.content_hash(R.panel(spark, d), HASHED)
 
 
 @BOOK.query("WITH " + R.FLONG_SQL + """, s AS (SELECT feature, avg(value) FILTER (split='train') AS m0, avg(value) FILTER (split='test') AS m1, stddev_pop(value) FILTER (split='train') AS sd FROM flong GROUP BY 1)
