@@ -178,6 +178,18 @@ def unit_hash(seed: int | str, *parts: str | Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
+def draw_hash(seed: int | str, *parts: str | Column) -> Column:
+    """Deterministic 60-bit draw, so that a remainder reaches every key of a large table."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[col(p).cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
+def draw_sql(seed: int | str, *parts: str) -> str:
+    """The same draw as DuckDB text."""
+    args = ", ".join([f"'{seed}'", *[f"CAST({p} AS VARCHAR)" for p in parts]])
+    return f"CAST(CAST('0x'||substr(md5(concat_ws('|',{args})),1,15) AS UBIGINT) AS BIGINT)"
+
+
 def hash_sql(seed: int | str, *parts: str) -> str:
     """The same draw as DuckDB text."""
     args = ", ".join([f"'{seed}'", *[f"CAST({p} AS VARCHAR)" for p in parts]])

@@ -6,15 +6,17 @@ the feature list; row-level work is map-side-combined aggregation per feature.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.expr import correlation, right_closed_bin
-from tidemark.operators.inference import multiplicities
+from tidemark.operators.inference import multiplicity_lists, weighted_sums
 from tidemark.operators.ranks import percentile_columns
-from tidemark.sources.tables import fitted
+from tidemark.sources.tables import fitted, staged
 
 # ---- fixed values: expected direction of each predictor and support regions ----
 EXPECTED_SIGN = {
@@ -175,11 +177,20 @@ def dependence_bins(attr: DataFrame) -> DataFrame:
 def rank_stability(attr: DataFrame, entity: str, reps: int, seed: int | str = 42, span: float = 3.0, cv: float = 0.30) -> DataFrame:
     """Rank and magnitude stability over entity-block resamples.
 
-    Attribution is summed once per entity; a rep only reweights those sums.
+    Attribution is summed once per entity; all reps reweight those sums together, as arrays.
     """
     per = attr.groupBy(entity, "feature").agg(F.sum(F.abs("attr")).alias("s"), F.count("attr").alias("n"))
-    w = multiplicities(attr, entity, reps, seed)
-    mag = per.join(w, entity).groupBy("rep", "feature").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("m"))
+    per = staged(per.join(multiplicity_lists(attr, entity, reps, seed, "w"), entity))
+    sums = weighted_sums(per, ["feature"], ["s", "n"], ["w"], reps)
+
+    def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                s, n = np.frombuffer(row["s"]), np.frombuffer(row["n"])
+                drawn = np.flatnonzero(n > 0)
+                yield pa.RecordBatch.from_arrays([pa.array(drawn), pa.array([row["feature"]] * len(drawn)), pa.array(s[drawn] / n[drawn])], names=["rep", "feature", "m"])
+
+    mag = fitted(sums.mapInArrow(means, "rep long, feature string, m double"))
     ranked = mag.withColumn("r", F.rank().over(Window.partitionBy("rep").orderBy(F.col("m").desc())))  # features of a rep
     cut = lambda c: F.percentile(c, F.array(F.lit(0.025), F.lit(0.975)))
     out = ranked.groupBy("feature").agg(

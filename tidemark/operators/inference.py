@@ -1,26 +1,31 @@
 """Block resampling, paired tests and multiple-comparison control.
 
-A resample never copies rows: each (rep, block) gets a multiplicity, which joins the
-score-compressed table and enters the metrics as a weight. Draws are a hash of
-(seed, rep, slot), so they do not depend on partitioning or retries. Everything after
-``resample`` works on (scheme, rep, model) rows, bounded by reps x models.
+A resample never copies rows: each block has one array with its multiplicity in every
+rep, which joins the score-compressed table once. All reps are then rolled up together,
+as arrays, along the scores, so what is shuffled grows with the distinct scores and not with
+the reps. Draws are a hash of (seed, rep, slot), so they do not depend on partitioning or
+retries. Everything after ``resample`` works on (scheme, rep, model) rows, bounded by reps x models.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.expr import unit_hash
+from tidemark.functions.expr import draw_hash, unit_hash
 from tidemark.functions.normal import two_sided_p
 from tidemark.operators import metrics as M
-from tidemark.operators.ranks import dense_index, percentiles
+from tidemark.operators.ranks import cell, dense_index, percentiles
+from tidemark.sources.tables import fitted, staged
 
 Z975 = 1.959963984540054
+#: Slices of a power of two that are rolled up apart from each other.
+CELL_BITS = 6
 
 
 def multiplicities(df: DataFrame, block: str, reps: int, seed: int | str) -> DataFrame:
@@ -28,27 +33,175 @@ def multiplicities(df: DataFrame, block: str, reps: int, seed: int | str) -> Dat
     idx = dense_index(df, block, size="_e")
     reps_col = F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))
     slots = idx.select("idx", "_e", reps_col.alias("rep"))
-    pick = slots.select("rep", (unit_hash(seed, "rep", "idx") % F.col("_e")).alias("idx"))
+    pick = slots.select("rep", (draw_hash(seed, "rep", "idx") % F.col("_e")).alias("idx"))
     idx = idx.drop("_e")
     return pick.groupBy("rep", "idx").agg(F.count("*").alias("w")).join(idx, "idx").select("rep", block, "w")
 
 
+def multiplicity_lists(df: DataFrame, block: str, reps: int, seed: int | str, name: str) -> DataFrame:
+    """(block, name): the reps that draw a block and how often, a list of at most ``reps``."""
+    drawn = F.struct(F.col("rep").cast("int").alias("rep"), F.col("w").cast("int").alias("w"))
+    return multiplicities(df, block, reps, seed).groupBy(block).agg(F.collect_list(drawn).alias(name))
+
+
+def _dense(lists: pa.Array, reps: int) -> np.ndarray:
+    """Rows of multiplicities by rep."""
+    out = np.zeros((len(lists), reps))
+    flat = lists.flatten()
+    row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    out[row, flat.field("rep").to_numpy()] = flat.field("w").to_numpy()
+    return out
+
+
+def weighted_sums(df: DataFrame, keys: Sequence[str], values: Sequence[str], lists: Sequence[str], reps: int) -> DataFrame:
+    """For each key the sums of ``values`` under every rep's multiplicities: columns of little-endian doubles.
+
+    ``lists`` (multiplied with each other) come from ``multiplicity_lists``. Tasks add up what they read, so one row for each key and
+    task is shuffled; keys must be few (models, features, slices of scores)."""
+    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        for whole in batches:
+            for part in (whole.slice(a, 512) for a in range(0, whole.num_rows, 512)):
+                w = np.prod([_dense(part.column(x), reps) for x in lists], axis=0)
+                found = [*zip(*(part.column(k).to_pylist() for k in keys))]
+                v = [np.array(part.column(x).to_pylist(), float) for x in values]
+                for k in set(found):
+                    mine = np.array([f == k for f in found])
+                    sums = np.stack([x[mine] @ w[mine] for x in v])
+                    held[k] = held[k] + sums if k in held else sums
+        yield from _rows(held)
+
+    def _rows(held: dict) -> Iterator[pa.RecordBatch]:
+        for k, sums in held.items():
+            yield pa.RecordBatch.from_arrays([*(pa.array([x], t) for x, t in zip(k, key_types)), *(pa.array([s.tobytes()], pa.binary()) for s in sums)], names=[*keys, *values])
+
+    key_types = [pa.int64() if df.schema[k].dataType.simpleString() == "bigint" else pa.string() for k in keys]
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                k, sums = tuple(row[x] for x in keys), np.stack([np.frombuffer(row[x]) for x in values])
+                held[k] = held[k] + sums if k in held else sums
+        yield from _rows(held)
+
+    schema = kinds + "".join(f", {v} binary" for v in values)
+    return df.select(*keys, *values, *lists).mapInArrow(partial, schema).repartition(*keys).mapInArrow(merge, schema)
+
+
+def _before(totals: DataFrame) -> DataFrame:
+    """(model, cell, tp, m, pos, total): sums over the lower cells of a model, and over all of them. A model's cells are in one task: they
+    are bounded by the slices of a double, whatever the number of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models: dict[str, list[tuple]] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                models.setdefault(row["model"], []).append((row["cell"], np.frombuffer(row["p"]), np.frombuffer(row["n"])))
+        for model, cells in models.items():
+            cells.sort(key=lambda c: c[0])
+            pos, total = sum(c[1] for c in cells), sum(c[2] for c in cells)
+            tp, m = np.zeros_like(pos), np.zeros_like(pos)
+            for at, p, n in cells:
+                yield pa.RecordBatch.from_arrays([pa.array([model]), pa.array([at], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (tp, m, pos, total))], names=["model", "cell", "tp", "m", "pos", "total"])
+                tp, m = tp + p, m + n
+
+    return totals.repartition("model").mapInArrow(run, "model string, cell long, tp binary, m binary, pos binary, total binary")
+
+
+class _Roll:
+    """Average precision (times positives) and wins of one cell, fed with rows of falling score."""
+
+    def __init__(self, head: dict):
+        self.tp, self.m, self.pos, total = (np.frombuffer(head[x]).copy() for x in ("tp", "m", "pos", "total"))
+        self.neg = total - self.pos
+        self.ap, self.wins = np.zeros_like(self.tp), np.zeros_like(self.tp)
+        self.score, self.p, self.n = None, None, None
+
+    def add(self, score: np.ndarray, p: np.ndarray, n: np.ndarray) -> None:
+        first = np.flatnonzero(np.append(True, score[1:] != score[:-1]))
+        p, n, score = np.add.reduceat(p, first), np.add.reduceat(n, first), score[first]
+        if self.score == score[0]:  # the last batch ended within a tie
+            p[0] += self.p
+            n[0] += self.n
+        elif self.score is not None:
+            p, n = np.vstack([self.p, p]), np.vstack([self.n, n])
+        self.score, self.p, self.n = score[-1], p[-1], n[-1]
+        self._roll(p[:-1], n[:-1])
+
+    def _roll(self, p: np.ndarray, n: np.ndarray) -> None:
+        if len(p):
+            tp, m = self.tp + np.cumsum(p, axis=0), self.m + np.cumsum(n, axis=0)
+            self.ap += (p * tp / np.maximum(m, 1)).sum(axis=0)
+            self.wins += (p * (self.neg - (m - tp) + (n - p) / 2)).sum(axis=0)
+            self.tp, self.m = tp[-1], m[-1]
+
+    def close(self, model: str) -> pa.RecordBatch:
+        if self.score is not None:
+            self._roll(self.p[None], self.n[None])
+        return pa.RecordBatch.from_arrays([pa.array([model]), *(pa.array([x.tobytes()], pa.binary()) for x in (self.ap, self.wins, self.pos, self.neg))], names=["model", "ap", "wins", "pos", "neg"])
+
+
 def resample(
     scored: DataFrame, blocks: Sequence[str], reps: int, seed: int | str = 42, scheme: str = "entity"
 ) -> DataFrame:
     """Average precision and AUC per (rep, model). Two blocks multiply their
-    multiplicities (crossed design). Draws without positives give NULL and drop out."""
-    g = scored.groupBy("model", *blocks, "score").agg(F.sum("y").alias("p"), F.count("*").alias("n"))
-    g = g.withColumn("w", F.lit(1).cast("long"))
-    on: list[str] = []
+    multiplicities (crossed design). Draws without positives give NULL and drop out.
+
+    The compressed rows get their blocks' lists once and are cut into cells by score. Cell totals (arrays over reps) give every cell what
+    lies above it; then each cell is rolled up by itself, streaming over its scores."""
+    g = scored.groupBy("model", *blocks, "score").agg(F.sum("y").cast("double").alias("p"), F.count("*").cast("double").alias("n"))
+    lists = [f"w{i}" for i in range(len(blocks))]
     for i, b in enumerate(blocks):
-        m = multiplicities(scored, b, reps, f"{seed}{b if i else ''}").withColumnRenamed("w", "_w")
-        g = g.join(m, [b, *on]).withColumn("w", F.col("w") * F.col("_w")).drop("_w")
-        on = ["rep"]
-    key = ["rep", "model"]
-    weighted = g.groupBy(*key, "score").agg(F.sum(F.col("p") * F.col("w")).alias("p"), F.sum(F.col("n") * F.col("w")).alias("n"))
-    out = M.curve(weighted, key).groupBy(*key).agg(M.average_precision().alias("ap"), M.roc_auc().alias("auc"))
-    return out.where(F.col("ap").isNotNull()).withColumn("scheme", F.lit(scheme))
+        g = g.join(multiplicity_lists(scored, b, reps, f"{seed}{b if i else ''}", lists[i]), b)
+    g = staged(g.select("model", (-cell("score", CELL_BITS)).alias("cell"), F.col("score").cast("double").alias("score"), "p", "n", *lists))
+    heads = _before(weighted_sums(g, ["model", "cell"], ["p", "n"], lists, reps))
+    sums = ["tp", "m", "pos", "total"]
+    none = lambda d, names: [F.lit(None).cast(d.schema[x].dataType).alias(x) for x in names]
+    rows = heads.select("model", "cell", F.lit(True).alias("head"), *none(g, ["score", "p", "n", *lists]), *sums).unionByName(
+        g.select("model", "cell", F.lit(False).alias("head"), "score", "p", "n", *lists, *none(heads, sums))
+    )
+
+    def roll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, model = None, None
+        for whole in batches:
+            for part in (whole.slice(a, 512) for a in range(0, whole.num_rows, 512)):
+                head = part.column("head").to_numpy(zero_copy_only=False)
+                at = [*np.flatnonzero(head).tolist(), part.num_rows]
+                spans = [(0, at[0])] + [(a + 1, b) for a, b in zip(at, at[1:])]
+                for k, (a, b) in enumerate(spans):
+                    if k:  # a head comes before its cell's rows
+                        if now is not None:
+                            yield now.close(model)
+                        first = part.slice(a - 1, 1).to_pylist()[0]
+                        now, model = _Roll(first), first["model"]
+                    if b > a:
+                        own = part.slice(a, b - a)
+                        w = np.prod([_dense(own.column(x), reps) for x in lists], axis=0)
+                        p, n = (np.array(own.column(x).to_pylist(), float)[:, None] * w for x in ("p", "n"))
+                        now.add(own.column("score").to_numpy(zero_copy_only=False), p, n)
+        if now is not None:
+            yield now.close(model)
+
+    ordered = rows.repartition("model", "cell").sortWithinPartitions("model", "cell", F.col("head").desc(), F.col("score").desc())
+    cells = ordered.mapInArrow(roll, "model string, ap binary, wins binary, pos binary, neg binary")
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models: dict[str, list] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                ap, wins, pos, neg = (np.frombuffer(row[x]) for x in ("ap", "wins", "pos", "neg"))
+                held = models.setdefault(row["model"], [0.0, 0.0, pos, neg])
+                held[0], held[1] = held[0] + ap, held[1] + wins
+        for model, (ap, wins, pos, neg) in models.items():
+            drawn = np.flatnonzero(pos > 0)
+            auc = np.where(neg[drawn] > 0, wins[drawn] / np.maximum(pos[drawn] * neg[drawn], 1), np.nan)
+            yield pa.RecordBatch.from_arrays([pa.array(drawn), pa.array([model] * len(drawn)), pa.array(ap[drawn] / pos[drawn]), pa.array(auc, from_pandas=True)], names=["rep", "model", "ap", "auc"])
+
+    out = cells.repartition("model").mapInArrow(finish, "rep long, model string, ap double, auc double")
+    return fitted(out).withColumn("scheme", F.lit(scheme))
 
 
 def observed(scored: DataFrame) -> DataFrame:

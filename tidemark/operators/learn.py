@@ -26,7 +26,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.expr import unit_hash
+from tidemark.functions.expr import draw_hash, unit_hash
 from tidemark.operators import metrics as M
 from tidemark.operators.guards import content_hash
 from tidemark.operators.inference import multiplicities
@@ -186,7 +186,7 @@ def sampled_shapley(
     base = rows.select(*keys, own.alias("own")).withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(perms - 1))))
     bg = background.select("bg", "bg_n", own.alias("other"))
     n = bg.agg(F.max("bg_n").alias("bg_n"))
-    base = base.join(F.broadcast(n), F.lit(True)).withColumn("bg", unit_hash(seed, *keys, "perm") % F.col("bg_n")).drop("bg_n")
+    base = base.join(F.broadcast(n), F.lit(True)).withColumn("bg", draw_hash(seed, *keys, "perm") % F.col("bg_n")).drop("bg_n")
     j = base.join(bg.drop("bg_n"), "bg")
     order = F.array_sort(F.array(*[F.struct(unit_hash(seed, *keys, "perm", F.lit(i)).alias("h"), F.lit(i).alias("i")) for i in range(len(f))]))
     j = j.withColumn("order", F.transform(order, lambda s: s["i"]))

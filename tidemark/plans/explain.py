@@ -9,7 +9,7 @@ from tidemark.plans import roles as R
 from tidemark.plans.registry import Book
 from tidemark.plans.resampling import REPS
 from tidemark.plans.scoring import SC, THR, VAL, val_curve
-from tidemark.functions.expr import hash_sql
+from tidemark.functions.expr import draw_sql
 
 BOOK = Book()
 COEF = {"nita": -0.8, "tlta": 0.5, "wcta": -0.3, "clca": 0.2, "cashta": -0.1, "ocf_ta": 0.4}
@@ -139,7 +139,7 @@ def q_dependence_bins(spark, d):
 
 
 @BOOK.query(A + f""", x AS (SELECT * FROM attr WHERE model='bent'), ei AS (SELECT entity, row_number() OVER (ORDER BY entity)-1 AS idx FROM (SELECT DISTINCT entity FROM x)),
-w AS (SELECT rep, entity, w FROM (SELECT rep, {hash_sql(42, 'rep', 'idx')} % (SELECT count(*) FROM ei) AS pick, count(*) AS w FROM ei, (SELECT unnest(range({REPS})) AS rep) GROUP BY 1,2) JOIN ei ON idx=pick),
+w AS (SELECT rep, entity, w FROM (SELECT rep, {draw_sql(42, 'rep', 'idx')} % (SELECT count(*) FROM ei) AS pick, count(*) AS w FROM ei, (SELECT unnest(range({REPS})) AS rep) GROUP BY 1,2) JOIN ei ON idx=pick),
 pe AS (SELECT entity, feature, sum(abs(attr)) AS s, count(*) AS n FROM x GROUP BY 1,2), m AS (SELECT rep, feature, sum(w*s)/sum(w*n) AS m FROM pe JOIN w USING (entity) GROUP BY 1,2),
 rr AS (SELECT *, rank() OVER (PARTITION BY rep ORDER BY m DESC) AS r FROM m)
 SELECT feature, round(avg(r),8) AS mean_rank, round(stddev_pop(r),8) AS sd_rank, quantile_cont(r,0.025) AS rank_lower, quantile_cont(r,0.975) AS rank_upper, round(avg(m),8) AS mean_abs, round(stddev_pop(m),8) AS sd_abs,
