@@ -69,3 +69,21 @@ def test_quality_of_odd_rows(spark):
     assert kept.columns == ["doc_id", "text", "lang"] and kept.count() == sum(r.predicted for r in got)
     assert [r.score for r in quality.scored(docs.limit(2), labels.limit(0)).collect()] == pytest.approx([0.5, 0.5])
     assert quality.scored(docs.limit(0), labels).count() == 0
+
+
+def test_batches_of_texts_give_each_text_its_own_places():
+    """Means over places equal those of the counted places, and do not depend on the other texts of a batch."""
+    import numpy as np
+    import pyarrow as pa
+
+    vectors = np.random.default_rng(0).normal(size=(quality.PLACES, quality.WIDTH)).astype(np.float32)
+    for texts in ([None, "", "a b b a", "  x  ", "word " * 5 + "é\x02", None], ["", None], ["one"], []):
+        batch = quality.Batch(pa.array(texts, pa.string()))
+        means = batch.means(vectors)
+        for i, (at, n) in enumerate(batch.counts()):
+            assert np.allclose(means[i], (n[:, None] * vectors[at]).sum(axis=0) / max(1, n.sum()), atol=1e-4)
+            assert np.allclose(quality.Batch(pa.array([texts[i]], pa.string())).means(vectors)[0], means[i], atol=1e-6)
+            words = (texts[i] or "").split()
+            chars = sum(max(0, len(w) + 2 - k + 1) for w in words for k in range(quality.SHORTEST, quality.LONGEST + 1))
+            assert n.sum() == len(words) + chars + max(0, len(words) - 1)
+            assert n[at == quality.REPEAT].sum() == sum(a == b for a, b in zip(words, words[1:]))

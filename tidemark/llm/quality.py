@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,72 +20,93 @@ REPEAT, PLACES = WORDS + PAIRS, WORDS + PAIRS + 1
 SHORTEST, LONGEST, WIDTH, SAMPLE, PASSES, STEP = 2, 4, 12, 1500, 8, 1.0
 #: A document is good from this score on (fixed).
 GOOD = 0.3
-#: Words that a worker remembers.
-REMEMBER = 300_000
-
-
-def places(word: str) -> list[int]:
-    """Hashed places of a word: itself and its character n-grams with marks for its ends; case counts."""
-    out = [zlib.crc32(word.encode("utf-8", "surrogatepass")) % WORDS]
-    marked = f"<{word}>".encode("utf-32-le", "surrogatepass")
-    n = len(marked) // 4
-    out += [zlib.crc32(marked[4 * i : 4 * (i + k)], 1) % WORDS for k in range(SHORTEST, LONGEST + 1) for i in range(n - k + 1)]
-    return out
-
-
-def pairs(h: np.ndarray) -> np.ndarray:
-    """Places of the pairs of neighbouring words; a word that follows itself has a place of its own."""
-    a, b = h[:-1], h[1:]
-    mixed = (a * np.uint64(0x9E3779B97F4A7C15) ^ b) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)
-    return np.where(a == b, REPEAT, WORDS + (mixed % np.uint64(PAIRS)).astype(np.int64))
-
-
-class Vocabulary(dict):
-    """Words seen by a worker: position -> places (flat), hash and, with vectors, the sum of the places' vectors."""
-
-    def __init__(self, vectors: np.ndarray | None = None):
-        super().__init__()
-        self.vectors = vectors
-        self.reset()
-
-    def reset(self) -> None:
-        self.clear()
-        self.flat: list[np.ndarray] = []
-        self.size, self.hash = np.zeros(1024, np.int64), np.zeros(1024, np.uint64)
-        self.sums = np.zeros((1024, 0 if self.vectors is None else self.vectors.shape[1]), np.float32)
-
-    def __missing__(self, word: str) -> int:
-        at = len(self)
-        if at == len(self.size):
-            grow = lambda x: np.concatenate([x, np.zeros_like(x)])
-            self.size, self.hash, self.sums = grow(self.size), grow(self.hash), grow(self.sums)
-        p = np.array(places(word))
-        self.size[at] = len(p)
-        self.hash[at] = zlib.crc32(word.encode("utf-8", "surrogatepass")) << 32 | zlib.adler32(word.encode("utf-8", "surrogatepass"))
-        if self.vectors is None:
-            self.flat.append(p)
-        else:
-            self.sums[at] = self.vectors[p].sum(axis=0)
-        self[word] = at
-        return at
-
-    def positions(self, text: str) -> np.ndarray:
-        if len(self) > REMEMBER:
-            self.reset()
-        found = text.split()
-        return np.fromiter(map(self.__getitem__, found), np.int64, len(found))
-
-
-def counted(text: str | None, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Places of a whole text and how often each occurs."""
-    at = vocabulary.positions(text or "")
-    if not len(at):
-        return np.zeros(0, np.int64), np.zeros(0)
-    word, n = np.unique(at, return_counts=True)
-    total = np.bincount(np.concatenate([vocabulary.flat[w] for w in word.tolist()]), np.repeat(n, vocabulary.size[word]), PLACES)
-    total += np.bincount(pairs(vocabulary.hash[at]), minlength=PLACES)
-    used = np.flatnonzero(total)
-    return used, total[used]
+_K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def _place(h: np.ndarray, n: int) -> np.ndarray:
+    return ((h ^ h >> np.uint64(29)) * _K2 >> np.uint64(32)).astype(np.int64) % n
+
+
+class Batch:
+    """The words of a batch of texts, each distinct one looked at once.
+
+    ``at`` numbers the words of all texts in a row, ``ends`` are the texts' bounds in it. A word's places are its own and those of
+    its character n-grams, with marks for its ends; case counts."""
+
+    def __init__(self, texts: pa.Array):
+        trimmed = pc.utf8_trim_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
+        lists = pc.utf8_split_whitespace(trimmed)
+        told = lists.flatten().dictionary_encode()
+        empty = pc.equal(trimmed, "").to_numpy(zero_copy_only=False)
+        bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        kept = np.ones(len(told), bool)
+        kept[bounds[:-1][empty]] = False  # a text without words has one empty piece
+        self.at = told.indices.to_numpy()[kept].astype(np.int64)
+        self.ends = np.concatenate([[0], np.cumsum(np.diff(bounds) - empty)])
+        length = pc.utf8_length(told.dictionary).to_numpy(zero_copy_only=False).astype(np.int64) + 2
+        self.begin = np.cumsum(length) - length
+        joined = "\x02" + "\x03\x02".join(told.dictionary.to_pylist()) + "\x03" if len(length) else ""
+        self.points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        self.left = np.repeat(self.begin + length, length) - np.arange(len(self.points))  # characters to the word's end
+        power = np.ones(int(length.max()) if len(length) else 1, np.uint64)
+        power[1:] = np.multiply.accumulate(np.full(len(power) - 1, _K1))
+        place = np.arange(len(self.points)) - np.repeat(self.begin, length)
+        self.hash = np.add.reduceat(self.points * power[place], self.begin) if len(length) else np.zeros(0, np.uint64)
+        self.size = 1 + sum(np.maximum(0, length - n + 1) for n in range(SHORTEST, LONGEST + 1))
+
+    def grams(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each n the n-grams' places and first characters."""
+        h = self.points * _K1
+        for n in range(2, LONGEST + 1):
+            h = (h[:-1] ^ self.points[n - 1 :]) * _K1
+            first = np.flatnonzero(self.left[: len(h)] >= n)
+            if n >= SHORTEST and len(first):
+                yield _place(h[first] + np.uint64(n), WORDS), first
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the pairs of neighbouring words of a text, and each text's bounds among them; a word that follows itself
+        has a place of its own."""
+        h = self.hash[self.at]
+        both = np.ones(max(0, len(h) - 1), bool)
+        inner = self.ends[1:-1]
+        both[inner[(inner > 0) & (inner < len(h))] - 1] = False
+        a, b = h[:-1][both], h[1:][both]
+        n = np.maximum(0, np.diff(self.ends) - 1)
+        return np.where(a == b, REPEAT, WORDS + _place(a * _K1 ^ b, PAIRS)), np.concatenate([[0], np.cumsum(n)])
+
+    def means(self, vectors: np.ndarray) -> np.ndarray:
+        """Mean vector of each text over all places of its words and pairs; zero without words."""
+        out = np.zeros((len(self.ends) - 1, vectors.shape[1]))
+        if len(self.at):
+            word = vectors[_place(self.hash, WORDS)].astype(np.float64)
+            for place, first in self.grams():
+                owner = np.searchsorted(self.begin, first, "right") - 1
+                starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+                word[owner[starts]] += np.add.reduceat(vectors[place], starts)
+            two, bounds = self.pairs()
+            some = np.flatnonzero(np.diff(self.ends))
+            out[some] = np.add.reduceat(word[self.at], self.ends[some])
+            more = np.flatnonzero(np.diff(bounds))
+            if len(more):
+                out[more] += np.add.reduceat(vectors[two], bounds[more])
+            count = np.add.reduceat(self.size[self.at], self.ends[some])
+            out[some] /= (count + np.diff(bounds)[some])[:, None]
+        return out
+
+    def counts(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of each text the places and how often each occurs."""
+        found = [(_place(self.hash, WORDS), np.arange(len(self.hash)))] + [(p, np.searchsorted(self.begin, first, "right") - 1) for p, first in self.grams()]
+        place, owner = (np.concatenate(x) for x in zip(*found))
+        place = place[np.argsort(owner, kind="stable")]
+        begin = np.cumsum(self.size) - self.size
+        two, bounds = self.pairs()
+        for i, (a, b) in enumerate(zip(self.ends, self.ends[1:])):
+            word, n = np.unique(self.at[a:b], return_counts=True)
+            size = self.size[word]
+            at = np.repeat(begin[word] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+            total = np.bincount(place[at], np.repeat(n, size), PLACES) + np.bincount(two[bounds[i] : bounds[i + 1]], minlength=PLACES)
+            used = np.flatnonzero(total)
+            yield used, total[used]
 
 
 @dataclass
@@ -138,9 +159,8 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, key: str = "do
     taken = docs.select(F.col(key).alias("k"), F.col(text).alias("x")).join(F.broadcast(chosen), "k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary()
-        for part in slices(batches, "x"):
-            got = [counted(x, vocabulary) for x in part.column("x").to_pylist()]
+        for part in slices(batches, "x", 4 << 20):
+            got = [*Batch(part.column("x")).counts()]
             blobs = [[a.astype(np.uint16).tobytes() for a, _ in got], [np.minimum(n, 65535).astype(np.uint16).tobytes() for _, n in got]]
             yield pa.RecordBatch.from_arrays([part.column("k"), part.column("y"), *(pa.array(b, pa.binary()) for b in blobs)], names=["k", "y", "at", "n"])
 
@@ -157,15 +177,8 @@ def _scores(docs: DataFrame, model: Model, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        vocabulary = Vocabulary(m.vectors)
-        for part in slices(batches, text):
-            means = np.zeros((part.num_rows, m.vectors.shape[1]), np.float32)
-            for row, x in zip(means, part.column(text).to_pylist()):
-                at = vocabulary.positions(x or "")
-                if len(at):
-                    two = pairs(vocabulary.hash[at])
-                    total = vocabulary.sums[at].sum(axis=0, dtype=np.float64) + m.vectors[two].sum(axis=0, dtype=np.float64)
-                    row[:] = total / (vocabulary.size[at].sum() + len(two))
+        for part in slices(batches, text, 4 << 20):
+            means = Batch(part.column(text)).means(m.vectors)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(m.score(means).astype(float))], names=[*names, "_score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _score double"
