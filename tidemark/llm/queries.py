@@ -72,6 +72,37 @@ SELECT d.page_id, d.size::BIGINT AS payload_bytes, d.digest AS payload_digest,
 FROM d LEFT JOIN f USING (digest)"""
 
 
+def op3_sql() -> str:
+    """Matches lie between the pieces that splitting leaves; windows are written out and counted one by one."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    runs = "[A-Za-z0-9+/_=-]+"
+    kinds = [(0, secrets.ASSIGN, 2, f"length(g) >= {secrets.LEAST_VALUE}"), (1, "AKIA[A-Z0-9]+", 0, "length(v) >= 16"), (2, "[0-9a-f]+", 0, "length(v) >= 32"), (9, runs, 0, f"length(v) >= {secrets.WINDOW}")]
+    found = " UNION ALL ".join(
+        f"""SELECT r, {k} AS k, v, st, st + length(v) AS en FROM (SELECT r, v, g, sum(length(gap)) OVER w + coalesce(sum(length(v)) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st
+  FROM (SELECT r, unnest(regexp_extract_all(t, {quoted(p)})) AS v, unnest(regexp_extract_all(t, {quoted(p)}, {g})) AS g, unnest(string_split_regex(t, {quoted(p)})) AS gap, unnest(range(len(string_split_regex(t, {quoted(p)})))) AS i FROM d)
+  WINDOW w AS (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING)) WHERE v IS NOT NULL AND {test}"""
+        for k, p, g, test in kinds
+    )
+    weights = "[" + ",".join(f"{w}::BIGINT" for w in secrets._WEIGHT) + "]"
+    n = secrets.WINDOW
+    names = "[" + ",".join(map(quoted, secrets.KINDS)) + "]"
+    written = f"{names}[k + 1] || ':' || CAST(st AS BIGINT) || ':' || CAST(en AS BIGINT)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({found}),
+c AS (SELECT r, st, v FROM f WHERE k = 9 AND regexp_matches(v, '[0-9]') AND NOT regexp_full_match(v, {quoted(secrets.ALLOW[0])}) AND NOT regexp_full_match(v, {quoted(secrets.ALLOW[1])})),
+x AS (SELECT r, st, a, substr(v, a + 1, {n}) AS x FROM (SELECT r, st, v, unnest(range(length(v) - {n - 1})) AS a FROM c)),
+h AS (SELECT r, st, a, any_value(x) AS x, sum({weights}[n + 1]) AS weight FROM (SELECT r, st, a, x, ch, count(*) AS n FROM (SELECT r, st, a, x, unnest(string_split(x, '')) AS ch FROM x) GROUP BY ALL) GROUP BY 1, 2, 3),
+hot AS (SELECT r, st, a, CASE WHEN regexp_full_match(x, '[0-9a-fA-F]+') THEN CASE WHEN regexp_matches(x, '[a-fA-F]') AND weight <= {secrets.most_weight(secrets.HEX_BITS)} THEN 3 END
+    WHEN regexp_matches(x, '[A-Z]') AND regexp_matches(x, '[a-z]') AND weight <= {secrets.most_weight(secrets.BASE64_BITS)} THEN 4 END AS k FROM h WHERE regexp_matches(x, '[0-9]')),
+j AS (SELECT *, CASE WHEN a - lag(a) OVER w <= {n} THEN 0 ELSE 1 END AS fresh FROM hot WHERE k IS NOT NULL WINDOW w AS (PARTITION BY r, st, k ORDER BY a)),
+e AS (SELECT r, k, st + min(a) AS st, st + max(a) + {n} AS en FROM (SELECT *, sum(fresh) OVER (PARTITION BY r, st, k ORDER BY a) AS island FROM j) GROUP BY r, st, k, island),
+s AS (SELECT r, k, st, en FROM f WHERE k < 9 UNION ALL SELECT r, k, st, en FROM e),
+g AS (SELECT r, count(*) FILTER (WHERE k = 0) AS n0, count(*) FILTER (WHERE k = 1) AS n1, count(*) FILTER (WHERE k = 2) AS n2,
+    string_agg({written}, ',' ORDER BY st, k) FILTER (WHERE k < 3) AS base, string_agg({written}, ',' ORDER BY st, k) AS spans FROM s GROUP BY r)
+SELECT d.doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)"""
+
+
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i FROM d),
@@ -95,4 +126,4 @@ SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, e.vec_id = c
 FROM embeddings e JOIN comp c USING (vec_id) LEFT JOIN n USING (vec_id)"""
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_line_dedup, op3_secrets, op4_metric_join, op5_decontamination, op6_language, op7_token_index, op8_quality, op9_packing, op10_simhash)}
-ORACLE_SQL = {"op1_warc": op1_sql(), "op2_line_dedup": OP2_SQL, "op4_metric_join": OP4_SQL}
+ORACLE_SQL = {"op1_warc": op1_sql(), "op2_line_dedup": OP2_SQL, "op3_secrets": op3_sql(), "op4_metric_join": OP4_SQL}
