@@ -128,3 +128,17 @@ def test_search_never_takes_work_of_other_data_or_parameters(spark, tmp_path):
     assert len(calls) == 2
     L.search(folds.withColumn("y", 1 - F.col("y")), ["x"], [{"reg": 0.1}], fit, store).collect()
     assert len(calls) == 3
+
+
+def test_disjoint_histories_give_what_overlapping_ones_give(spark):
+    day = lambda n: dt.date(2000, 1, 1) + dt.timedelta(days=n)
+    hist = [(e, day(a), day(b), f"{e}{a}", a) for e in (1, 2) for a, b in ((0, 9), (10, 10), (20, 800), (900, 899))] + [(3, day(5), day(7), "x", 1)]
+    rows = [(i, e, None if n is None else day(n), "own") for i, (e, n) in enumerate((e, n) for e in (1, 2, 3, 4, None) for n in (-1, 0, 5, 9, 10, 11, 20, 500, 800, 801, 899, 900, None))]
+    h = spark.createDataFrame(hist, "e int, lo date, hi date, v string, i int")
+    r = spark.createDataFrame(rows, "id int, e int, d date, v string")
+    for how in ("left", "inner", "left_semi", "left_anti"):
+        a, b = (pit.valid_at(r, h, ["e"], "d", "lo", "hi", how, disjoint=x) for x in (False, True))
+        assert a.columns == b.columns
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.select(a.columns).collect())), how
+    best = lambda x: sorted(map(str, pit.best_valid(r.drop("v"), h, ["e"], "d", "lo", "hi", ["id"], [F.col("lo")], ["v"], disjoint=x).select("id", "v").collect()))
+    assert best(True) == best(False)

@@ -55,12 +55,12 @@ def eligible_anytime(df: DataFrame, info: DataFrame, on: str, mask: Column) -> D
 
 
 def eligible_asof(
-    df: DataFrame, info: DataFrame, on: Sequence[str], at: str, start: str, end: str, mask: Column
+    df: DataFrame, info: DataFrame, on: Sequence[str], at: str, start: str, end: str, mask: Column, disjoint: bool = False
 ) -> DataFrame:
     missing = [c for c in (start, end) if c not in info.columns]
     if missing:
         raise KeyError(f"history lacks {missing}")
-    return valid_at(df, info.where(mask).select(*on, start, end), list(on), at, start, end, "left_semi")
+    return valid_at(df, info.where(mask).select(*on, start, end), list(on), at, start, end, "left_semi", disjoint)
 
 
 def without_keys(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -1,9 +1,9 @@
 """Point-in-time joins: as-of lookups, interval histories and forward event windows.
 
-None of them pairs all rows of an entity. As-of lookups are a merge of both sides
-into one row per (entity, instant) followed by a last-seen window over a short
-time cell, with one carried value per cell; interval lookups use (entity, year) as
-the equi key and reduce candidates with a partial aggregate.
+As-of lookups are a merge of both sides into one row per (entity, instant) followed by
+a last-seen window over a short time cell, with one carried value per cell. Lookups in
+histories whose intervals do not overlap are as-of lookups too. Only overlapping histories
+compare rows and intervals of one (entity, year), and reduce the candidates with a partial aggregate.
 """
 
 from __future__ import annotations
@@ -152,14 +152,29 @@ def valid_at(
     start: str,
     end: str,
     how: str = "left",
+    disjoint: bool = False,
 ) -> DataFrame:
     """Rows joined to every history interval (closed bounds) holding ``at``.
 
-    The interval is cut into calendar years and the year joins the equi key, so a
+    ``disjoint`` says that an entity's intervals do not overlap: then the last one to start is the only candidate, found by an as-of
+    lookup without pairs. Otherwise the interval is cut into calendar years and the year joins the equi key, so a
     pair is tested only inside one (entity, year). The span of the rows limits the
     cut of open-ended intervals.
     """
     by = list(by)
+    if disjoint:
+        rest = [c for c in history.columns if c not in (*by, start)]
+        known = history.where(F.col(start) <= F.col(end)).select(*by, F.col(start).alias("_start"), *[F.col(c).alias(f"_h_{c}") for c in rest])
+        last = nearest_event(rows, known, by, at, "_start", [f"_h_{c}" for c in rest], forward=False, keep="max")
+        hit = last.where(F.col("_start").isNotNull() & (F.col(at) <= F.col(f"_h_{end}")))
+        if how in ("left_semi", "left_anti"):
+            return rows.join(hit.select(*by, at), [*by, at], how).select(*rows.columns)
+        hit = hit.select(*[F.col(c).alias(f"_k_{c}") for c in (*by, at)], *[F.col("_start" if c == start else f"_h_{c}").alias(f"_v_{c}") for c in (start, *rest)])
+        cond = F.lit(True)
+        for c in (*by, at):
+            cond = cond & (F.col(c) == F.col(f"_k_{c}"))
+        joined = rows.join(hit, cond, how)
+        return joined.select(*rows.columns, *[F.col(f"_v_{c}").alias(c) for c in history.columns if c not in rows.columns])
     span = rows.agg(F.min(F.year(at)).alias("_y0"), F.max(F.year(at)).alias("_y1"))
     cut = history.where(F.col(start) <= F.col(end)).join(F.broadcast(span), F.lit(True)).where(
         (F.year(start) <= F.col("_y1")) & (F.year(end) >= F.col("_y0"))
@@ -194,13 +209,14 @@ def best_valid(
     order: Sequence[Column],
     take: Sequence[str],
     how: str = "left",
+    disjoint: bool = False,
 ) -> DataFrame:
-    """One valid history row per row: the smallest by ``order`` (ascending columns).
+    """One valid history row per row: the smallest by ``order`` (ascending columns). ``disjoint`` as in ``valid_at``.
 
     The choice is a min over a struct, so candidates combine before the shuffle.
     """
     slim = rows.select(*dict.fromkeys([*row_key, *by, at]))
-    pairs = valid_at(slim, history, by, at, start, end, "inner")
+    pairs = valid_at(slim, history, by, at, start, end, "inner", disjoint)
     ranked = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], *[F.col(c).alias(c) for c in take])
     best = pairs.groupBy(*row_key).agg(F.min(ranked).alias("_b")).select(
         *row_key, *[F.col(f"_b.{c}").alias(c) for c in take]

@@ -62,7 +62,7 @@ def q_asof_attribute(spark, d):
     current = h.groupBy("entity").agg(F.max_by("attr", "start").alias("current"))
     got = pit.best_valid(
         p, h.where("kind = 'F'"), ["entity"], "datadate", "start", "end", ["entity", "fyear"],
-        [-F.unix_date("start")], ["attr"],
+        [-F.unix_date("start")], ["attr"], disjoint=True,
     )
     return got.join(current, "entity", "left").select(
         "entity", "fyear", F.coalesce("attr", "current").alias("attr"), F.col("attr").isNull().cast("int").alias("from_current")
@@ -95,7 +95,7 @@ def checked(spark, d):
     )
     names = R.history(spark, d).where("kind <> 'O'").select("entity", "start", "end", F.col("attr").alias("name_key"))
     at = pit.best_valid(
-        own, names, ["entity"], "datadate", "start", "end", ["entity", "fyear"], [F.col("start")], ["name_key"]
+        own, names, ["entity"], "datadate", "start", "end", ["entity", "fyear"], [F.col("start")], ["name_key"], disjoint=True
     )
     return at.withColumns(L.key_outcomes("own_key", "name_key")).drop("datadate")
 

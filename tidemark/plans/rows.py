@@ -296,7 +296,7 @@ def q_semi_anytime(spark, d):
 def q_semi_asof(spark, d):
     p = R.panel(spark, d).select("entity", "fyear", "datadate")
     mask = F.col("attr").isin("1-URGENT", "3-MEDIUM")
-    return FL.eligible_asof(p, R.history(spark, d), ["entity"], "datadate", "start", "end", mask)
+    return FL.eligible_asof(p, R.history(spark, d), ["entity"], "datadate", "start", "end", mask, disjoint=True)
 
 
 @BOOK.query("WITH " + R.FEATURES_SQL + """ SELECT entity, fyear, split FROM features WHERE (entity, fyear) NOT IN (

@@ -65,7 +65,7 @@ def q_interval_join(spark, d):
         F.col("o_custkey").alias("entity"), F.last_day(F.to_date("o_orderdate")).alias("date")
     ).agg(F.sum(R.cents("o_totalprice")).alias("cents"))
     names = R.history(spark, d).select("entity", "start", "end", "attr")
-    out = pit.valid_at(month, names, ["entity"], "date", "start", "end", "left")
+    out = pit.valid_at(month, names, ["entity"], "date", "start", "end", "left", disjoint=True)
     return out.where(F.col("attr").isin("1-URGENT", "2-HIGH")).select("entity", "date", "cents", "attr")
 
 
