@@ -20,13 +20,13 @@ def clip_bounds(train: DataFrame, keys: list[str] | None = None, lo: float = 0.0
 
 def clip_long(df: DataFrame, bounds: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Clip to stored bounds; NULL stays NULL. Bounds hold one row per feature key."""
-    j = df.join(F.broadcast(bounds), keys or ["feature"], "left")
+    j = df.join(bounds, keys or ["feature"], "left")
     return j.withColumn("value", clip("value", "lower", "upper")).drop("lower", "upper")
 
 
 def realised_clipping(raw: DataFrame, bounds: DataFrame, drift: float = 0.02) -> DataFrame:
     """Share strictly outside the bounds per feature and split; NULL leaves the base."""
-    j = raw.join(F.broadcast(bounds), "feature")
+    j = raw.join(bounds, "feature")
     v = F.col("value")
     out = j.groupBy("feature", "split").agg(
         F.count("value").alias("n"),

@@ -86,11 +86,11 @@ def percentiles(df: DataFrame, keys: list[str], x: str, probs: list[float], bits
     ranks = F.array(*[w for p in probs for w in wanted(p)])
     inside = F.filter(ranks, lambda s: (s.r >= F.col("_before")) & (s.r < F.col("_before") + F.col("_n")))
     target = hist.select(*keys, "_cell", "_before", inside.alias("_want")).where(F.size("_want") > 0)
-    # bounded: two cells per probability and report group
-    rows = celled.join(F.broadcast(target.select(*keys, "_cell")), [*keys, "_cell"], "left_semi")
+    # two cells per probability and group: the planner broadcasts them if they are few
+    rows = celled.join(target.select(*keys, "_cell"), [*keys, "_cell"], "left_semi")
     vals = rows.groupBy(*keys, "_cell", "_x").agg(F.count("*").alias("_n"))
     w_in = Window.partitionBy(*keys, "_cell").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    vals = vals.withColumn("_upto", F.sum("_n").over(w_in)).join(F.broadcast(target), [*keys, "_cell"])
+    vals = vals.withColumn("_upto", F.sum("_n").over(w_in)).join(target, [*keys, "_cell"])
     hits = vals.select(*keys, "_x", "_n", (F.col("_before") + F.col("_upto")).alias("_end"), F.explode("_want").alias("_w"))
     hits = hits.where((F.col("_w.r") >= F.col("_end") - F.col("_n")) & (F.col("_w.r") < F.col("_end")))
     return hits.groupBy(*keys, F.col("_w.p").alias("prob")).agg(between("_x", F.max("_w.frac")).alias("value"))
