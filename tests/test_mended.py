@@ -142,3 +142,13 @@ def test_disjoint_histories_give_what_overlapping_ones_give(spark):
         assert sorted(map(str, a.collect())) == sorted(map(str, b.select(a.columns).collect())), how
     best = lambda x: sorted(map(str, pit.best_valid(r.drop("v"), h, ["e"], "d", "lo", "hi", ["id"], [F.col("lo")], ["v"], disjoint=x).select("id", "v").collect()))
     assert best(True) == best(False)
+
+
+def test_unknown_dispositions_raise(spark):
+    from tidemark.operators import linkage as K
+
+    df = spark.createDataFrame([(1, K.DISPOSITIONS[0]), (2, K.DISPOSITIONS[2])], "id int, disposition string")
+    K.require_dispositions(df)
+    for bad in (K.DISPOSITIONS[3], None):
+        with pytest.raises(ValueError, match="without a known disposition"):
+            K.require_dispositions(df.union(spark.createDataFrame([(3, bad)], "id int, disposition string")))

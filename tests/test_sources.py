@@ -54,3 +54,16 @@ def test_oversample_parity_and_weights(spark):
     w = {r.y: r.weight for r in L.class_weights(df, "y").collect()}
     assert w[1] == pytest.approx(5.0) and w[0] == pytest.approx(100 / 180)
     assert L.balanced(df, "y").agg(F.sum("w")).first()[0] == pytest.approx(100.0)
+
+
+def test_both_deflator_layouts_give_one_series(spark, tmp_path):
+    (tmp_path / "annual.csv").write_text("year,deflator\n2011,50\n2012,80\n2013,100\n")
+    (tmp_path / "quarterly.csv").write_text("observation_date,GDPDEF\n2011-01-01,40\n2011-07-01,60\n2012-04-01,80\n2013-01-01,90\n2013-10-01,110\n")
+    want = [(2011, 0.625), (2012, 1.0), (2013, 1.25)]
+    for name in ("annual.csv", "quarterly.csv"):
+        got = sorted((r.year, r.deflator) for r in S.read_deflator(spark, str(tmp_path / name), 2012).collect())
+        assert got == want
+    (tmp_path / "other.csv").write_text("a,b\n1,2\n")
+    for bad, year in (("other.csv", 2012), ("annual.csv", 1999)):
+        with pytest.raises(ValueError):
+            S.read_deflator(spark, str(tmp_path / bad), year)

@@ -209,6 +209,17 @@ def observed(scored: DataFrame) -> DataFrame:
     return c.groupBy("model").agg(M.average_precision().alias("ap"), M.roc_auc().alias("auc"))
 
 
+def metric_intervals(scored: DataFrame, block: str, reps: int, seed: int | str = 42, alpha: float = 0.05) -> DataFrame:
+    """The ranking metrics of each model with their percentile intervals over block resamples."""
+    draws = resample(scored, [block], reps, seed)
+    edge = lambda v: F.percentile(v, F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
+    ci = draws.groupBy("model").agg(F.count("*").alias("n_reps"), edge("ap").alias("_ap"), edge("auc").alias("_auc"))
+    return observed(scored).join(ci, "model").select(
+        "model", "n_reps",
+        *[x.alias(f"{name}{part}") for name, c in (("pr_auc", "ap"), ("roc_auc", "auc")) for part, x in (("", F.col(c)), ("_lower", F.col(f"_{c}")[0]), ("_upper", F.col(f"_{c}")[1]))],
+    )
+
+
 def percentile_ci(draws: DataFrame, keys: Sequence[str], value: str, alpha: float = 0.05) -> DataFrame:
     """Percentile interval over reps (a bounded group)."""
     cut = F.percentile(value, F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))

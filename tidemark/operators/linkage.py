@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.guards import require
 from tidemark.functions.expr import short_key
 from tidemark.operators.windows import period_lag
 
@@ -40,6 +41,11 @@ def classify_mismatches(
     return out.withColumn("disposition", cased).drop("_own", "_seen", "_issuers")
 
 
+def require_dispositions(classified: DataFrame, allowed: Sequence[str] = DISPOSITIONS[:3]) -> None:
+    """Raise with a few examples if a mismatch has no disposition or one outside ``allowed``."""
+    require(classified.where(~F.coalesce(F.col("disposition").isin(*allowed), F.lit(False))), "mismatches without a known disposition")
+
+
 def disposition_summary(classified: DataFrame) -> DataFrame:
     """Counts and shares for every disposition in fixed order, zero rows kept."""
     spark = classified.sparkSession

@@ -191,6 +191,18 @@ def q_winsor_apply(spark, d):
     return clip_long(long, bounds).select("entity", "fyear", "feature", r(F.col("value")).alias("value"))
 
 
+@BOOK.query("WITH " + R.FLONG_SQL + ", " + BOUNDS_SQL + """ SELECT feature, split, count(value) AS n, round(sum(CASE WHEN value IS NOT NULL THEN greatest(lower, least(upper, value)) END), 6) AS clipped_sum
+  FROM flong JOIN bounds USING (feature) GROUP BY 1,2""")
+def q_winsor_reload(spark, d):
+    """Bounds fitted on training rows, saved, reloaded and applied to every split."""
+    from tidemark.operators.fit import clip_bounds, clip_long
+    from tidemark.sources.tables import fitted
+
+    long = R.feature_long(spark, d)
+    kept = clip_long(long, fitted(clip_bounds(long.where("split = 'train'"))))
+    return kept.groupBy("feature", "split").agg(F.count("value").alias("n"), r(F.sum("value"), 6).alias("clipped_sum"))
+
+
 DIV_SQL = """CASE WHEN sic BETWEEN 0 AND 999 THEN 'A: Agriculture' WHEN sic BETWEEN 1000 AND 1499 THEN 'B: Mining'
   WHEN sic BETWEEN 1500 AND 1999 THEN 'C: Construction' WHEN sic BETWEEN 2000 AND 3999 THEN 'D: Manufacturing'
   WHEN sic BETWEEN 4000 AND 4999 THEN 'E: Transport and communication' WHEN sic BETWEEN 5000 AND 5199 THEN 'F: Wholesale'

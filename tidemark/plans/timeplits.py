@@ -175,6 +175,26 @@ def q_content_hash(spark, d):
     return G.content_hash(R.panel(spark, d), HASHED)
 
 
+LEDGER_SPECS = [("final", 365, "first run"), ("final", 182, None), ("draft", 365, "short"), ("draft", 730, "a corrected outcome window")]
+
+
+@BOOK.query(P + f""", h AS (SELECT CAST(count(*) AS VARCHAR)||'-'||CAST(sum(CAST(h AS HUGEINT)) AS VARCHAR)||'-'||CAST(bit_xor(h) AS VARCHAR) AS test_data_hash FROM (
+  SELECT CAST(CAST('0x'||substr(md5({WRITTEN}),1,15) AS UBIGINT) AS BIGINT) AS h FROM panel)),
+c(spec, horizon_days, reason) AS (VALUES {", ".join(f"('{a}',{b}," + (f"'{c}')" if c else "NULL)") for a, b, c in LEDGER_SPECS)})
+SELECT spec, 'label' AS outcome_label, horizon_days, md5('n_lines|n_orders') AS feature_hash, test_data_hash, reason, CAST(spec='draft' AS INT) AS again FROM c, h WHERE spec<>'draft' OR length(trim(coalesce(reason,'')))>=10""")
+def q_ledger(spark, d):
+    """Drafts are in the ledger; of them only the one with a reason may run again."""
+    from tidemark.sources.tables import staged
+
+    p = R.panel(spark, d)
+    ids = None
+    for spec, horizon, reason in LEDGER_SPECS:
+        one = G.evaluation_identity(p, HASHED, spec, "label", horizon, ["n_orders", "n_lines"]).withColumn("reason", F.lit(reason).cast("string"))
+        ids = one if ids is None else ids.unionByName(one)
+    ids = staged(ids)
+    return G.ledger_entries(ids, staged(ids.where("spec = 'draft'").select(*G.IDENTITY)))
+
+
 @BOOK.query("WITH " + R.FLONG_SQL + """, s AS (SELECT feature, avg(value) FILTER (split='train') AS m0, avg(value) FILTER (split='test') AS m1, stddev_pop(value) FILTER (split='train') AS sd FROM flong GROUP BY 1)
 SELECT feature, round(m0,8) AS mean_train, round(m1,8) AS mean_test, round(sd,8) AS sd_train, round(abs(m1-m0)/nullif(sd,0),8) AS shift, CAST(coalesce(abs(m1-m0)/nullif(sd,0)>0.5,false) AS INT) AS warn FROM s""")
 def q_covariate_shift(spark, d):
