@@ -48,7 +48,7 @@ def hash01(*columns: str) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a slice holds about ``limit`` bytes of ``column``, one row at least."""
     for batch in batches:
         if not batch.num_rows:

@@ -28,7 +28,7 @@ class _Words(dict):
     def __missing__(self, word: str) -> int:
         from xxhash import xxh64_intdigest
 
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 7)
         return h

@@ -62,7 +62,7 @@ def pieces(docs: DataFrame, file: str | None = None, end: int = 1, capacity: int
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text, 4 << 20):
+        for part in slices(batches, text, 2 << 20):
             out: list[tuple] = []
             for k, row, ids in zip(part.column(key).to_pylist(), part.column("row").to_pylist(), encoded(part.column(text), file, end)):
                 for n, at in enumerate(range(0, len(ids), capacity)):

@@ -159,7 +159,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, key: str = "do
     taken = docs.select(F.col(key).alias("k"), F.col(text).alias("x")).join(F.broadcast(chosen), "k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "x", 4 << 20):
+        for part in slices(batches, "x", 1 << 20):
             got = [*Batch(part.column("x")).counts()]
             blobs = [[a.astype(np.uint16).tobytes() for a, _ in got], [np.minimum(n, 65535).astype(np.uint16).tobytes() for _, n in got]]
             yield pa.RecordBatch.from_arrays([part.column("k"), part.column("y"), *(pa.array(b, pa.binary()) for b in blobs)], names=["k", "y", "at", "n"])
@@ -177,7 +177,7 @@ def _scores(docs: DataFrame, model: Model, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for part in slices(batches, text, 4 << 20):
+        for part in slices(batches, text, 1 << 20):
             means = Batch(part.column(text)).means(m.vectors)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(m.score(means).astype(float))], names=[*names, "_score"])
 

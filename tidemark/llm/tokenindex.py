@@ -154,7 +154,7 @@ def write(docs: DataFrame, folder: str, file: str | None = None, end: int = 2, k
 
         shard, path = TaskContext.get().partitionId(), None
         keys, counts, held, out = [], [], 0, None
-        for part in slices(batches, text, 4 << 20):
+        for part in slices(batches, text, 2 << 20):
             if out is None:
                 path = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}"
                 fs, at = filesystem(path)
