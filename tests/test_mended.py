@@ -152,3 +152,24 @@ def test_unknown_dispositions_raise(spark):
     for bad in (K.DISPOSITIONS[3], None):
         with pytest.raises(ValueError, match="without a known disposition"):
             K.require_dispositions(df.union(spark.createDataFrame([(3, bad)], "id int, disposition string")))
+
+
+def test_model_inputs_are_fitted_on_training_rows_and_never_missing(spark):
+    rows = [(float(i), "train") for i in range(101)] + [(None, "train"), (None, "test"), (float("nan"), "test"), (1e9, "test"), (-5.0, "test")]
+    df = spark.createDataFrame(rows, "x double, split string")
+    inputs = L.fit_inputs(df.where("split = 'train'"), ["x"])
+    assert inputs == {"x": (1.0, 99.0, 50.0)}
+    assert [r.x for r in L.prepare(df, inputs).where("split = 'test'").collect()] == [50.0, 50.0, 99.0, 1.0]
+    with pytest.raises(PySparkException, match="missing or NaN"):
+        L._ready(df, ["x"]).collect()
+    with pytest.raises(ValueError, match="no training value"):
+        L.fit_inputs(df.where("x is null"), ["x"])
+
+
+def test_oversampling_reaches_exact_parity(spark):
+    df = spark.createDataFrame([(i, int(i < 7)) for i in range(60)], "k long, y int")
+    n = {r.y: r["count"] for r in L.oversample(df, ["k"]).groupBy("y").count().collect()}
+    assert n == {0: 53, 1: 53}
+    per = [r["count"] for r in L.oversample(df, ["k"]).where("y = 1").groupBy("k").count().collect()]
+    assert sorted(per) == [7, 7, 7, 8, 8, 8, 8]
+    assert L.oversample(df.where("y = 0"), ["k"]).count() == 53

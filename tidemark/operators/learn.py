@@ -23,13 +23,15 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.expr import draw_hash, unit_hash
 from tidemark.operators import metrics as M
 from tidemark.operators.guards import content_hash
 from tidemark.operators.inference import multiplicities
+from tidemark.operators.ranks import percentile_columns
+from tidemark.operators.splits import hash_rank
 from tidemark.sources.tables import fitted, staged
 
 
@@ -56,8 +58,30 @@ def _assemble(features: Sequence[str], scale: bool):
     return [raw, StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)] if scale else [raw]
 
 
+def _known(c: str) -> Column:
+    """The column as a double; a missing or NaN input of a model raises, it never becomes a number by itself."""
+    x = F.col(c).cast("double")
+    return F.when(x.isNull() | F.isnan(x), F.raise_error(F.lit(f"model input {c} is missing or NaN")).cast("double")).otherwise(x)
+
+
 def _ready(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features})
+    return df.withColumns({c: _known(c) for c in features})
+
+
+def fit_inputs(train: DataFrame, features: Sequence[str], lo: float = 0.01, hi: float = 0.99) -> dict[str, tuple[float, float, float]]:
+    """Clip bounds and median of each feature over training rows (three numbers per feature reach the driver)."""
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in features])
+    long = train.select(F.explode(cells).alias("x")).select("x.*")
+    found = {r["feature"]: (r["lo"], r["hi"], r["mid"]) for r in percentile_columns(long, ["feature"], "value", {"lo": lo, "hi": hi, "mid": 0.5}).collect()}
+    if lost := [c for c in features if c not in found]:
+        raise ValueError(f"no training value for {lost}")
+    return found
+
+
+def prepare(df: DataFrame, inputs: dict[str, tuple[float, float, float]]) -> DataFrame:
+    """Model inputs clipped to the training bounds, missing ones at the (clipped) training median."""
+    clipped = lambda c, lo, hi: F.greatest(F.lit(lo), F.least(F.lit(hi), F.nanvl(F.col(c).cast("double"), F.lit(None))))
+    return df.withColumns({c: F.when(F.col(c).isNull() | F.isnan(F.col(c).cast("double")), F.lit(float(mid))).otherwise(clipped(c, lo, hi)) for c, (lo, hi, mid) in inputs.items()})
 
 
 def fit_logistic(train: DataFrame, features, y="y", c: float = 1.0, max_iter: int = 100, weighted: str | None = None) -> PipelineModel:
@@ -84,13 +108,14 @@ def fit_boosted(train: DataFrame, features, y="y", rounds: int = 100, depth: int
 
 
 def oversample(train: DataFrame, keys: Sequence[str], y: str = "y", seed: int | str = 42) -> DataFrame:
-    """Hashed minority copies to parity: each minority row gets the whole multiples, the
-    remainder goes to the rows with the smallest hash share."""
-    cw = class_weights(train, y).where(F.col(y) == 1).select(F.col("positive_weight").alias("_r"))
-    j = train.join(F.broadcast(cw), F.lit(True))
-    extra = unit_hash(seed, *keys) / float(2**32) < F.col("_r") - F.floor("_r")
-    copies = F.when(F.col(y) == 1, F.floor("_r") + extra.cast("int")).otherwise(1)
-    return j.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(copies, F.lit(1)).cast("long")))).drop("_r", "_copy")
+    """Minority copies to exact parity: each minority row (unique by ``keys``) gets the whole multiple, the
+    remainder goes to the first rows in hash order. Without a minority nothing is copied."""
+    rank = hash_rank(train.where(F.col(y) == 1), keys, seed, "_rank")
+    size = train.agg(F.count_if(F.col(y) == 1).alias("_n1"), F.count_if(F.col(y) == 0).alias("_n0"))
+    j = train.join(rank, list(keys), "left").join(F.broadcast(size), F.lit(True))  # one row
+    whole, rest = F.expr("_n0 div greatest(_n1, 1)"), F.col("_n0") % F.greatest("_n1", F.lit(1))
+    copies = F.when((F.col(y) == 1) & (F.col("_n0") > F.col("_n1")), whole + (F.col("_rank") <= rest).cast("int")).otherwise(1)
+    return j.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies.cast("long")))).drop("_rank", "_n1", "_n0", "_copy")
 
 
 def fit_network(train: DataFrame, features, keys, y="y", hidden: Sequence[int] = (16,), max_iter: int = 100, seed: int = 42) -> PipelineModel:
@@ -182,7 +207,7 @@ def sampled_shapley(
     features and a dense 0-based ``bg`` index with its size in ``bg_n``.
     """
     f = list(features)
-    own = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in f])
+    own = F.array(*[_known(c) for c in f])
     base = rows.select(*keys, own.alias("own")).withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(perms - 1))))
     bg = background.select("bg", "bg_n", own.alias("other"))
     n = bg.agg(F.max("bg_n").alias("bg_n"))
@@ -231,7 +256,7 @@ def local_surrogate(model: PipelineModel, cases: DataFrame, stats: dict[str, tup
     """
     f, p = list(features), len(features)
     width = 0.75 * np.sqrt(p)
-    base = cases.select(*keys, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in f])
+    base = cases.select(*keys, *[_known(c).alias(c) for c in f])
     draws = base.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     u = lambda c, t: (unit_hash(seed, *keys, "draw", F.lit(c + t)) + 0.5) / float(2**32)
     normal = {c: F.sqrt(-2 * F.ln(u(c, "a"))) * F.cos(2 * np.pi * u(c, "b")) for c in f}
