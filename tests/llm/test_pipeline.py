@@ -16,6 +16,38 @@ def test_ten_queries_and_the_pipeline_are_registered():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_pipeline_matches_a_plain_one(spark):
+    """The whole run on a small table against plain Python: every line, fingerprint pair and (document, item) pair is looked at."""
+    import numpy as np
+    import pyarrow as pa
+    from test_binary_operators import check_packing
+    from test_text_operators import component_brute, line_brute, simhash_brute
+    from tokenizers import Tokenizer
+
+    from tidemark.llm import tokens
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels", "benchmark"))
+    model = quality.learn(docs, labels)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    rows = [(d, t) for d, t in rows if model.score(quality.Batch(pa.array([t], pa.string())).means(model.vectors))[0] >= quality.GOOD]
+    rows = [(d, t) for d, _, _, t in line_brute(rows)]
+    ids = [d for d, _ in rows]
+    rows = [r for r, c in zip(rows, component_brute(ids, [simhash_brute(t) for _, t in rows], 4)) if r[0] == c]
+    items = [w for w in (decontam.words(r.text) for r in bench.collect()) if len(w)]
+
+    def leaked(text):
+        w = decontam.words(text)
+        return len(w) > 0 and any(decontam.align([(w.view(np.int64), i.view(np.int64))])[0, 1] >= 0.8 * len(i) for i in items)
+
+    rows = [(d, t) for d, t in rows if not leaked(t)]
+    plain = Tokenizer.from_file(tokens.vocabulary("word_bpe_49k.json"))
+    want = {d: [plain.encode(t, add_special_tokens=False).ids + [1]] for d, t in rows}
+    got = corpus_pipeline.run(spark, sf).collect()
+    assert {r.doc_id for r in got} == set(want) and 0 < len(want) < docs.count()
+    check_packing(got, want, 4096)
+
+
 def test_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels, bench = spark.read.parquet(f"{SF}/labels.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")

@@ -205,4 +205,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, n: int = 5,
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **how) -> DataFrame:
     """The rows of ``docs`` in which ``leaks`` finds nothing; rows with a null key stay."""
     bad = leaks(docs, benchmark, key=key, **how).select(F.col(key).alias("_bad")).where("_bad is not null").distinct()
-    return docs.join(bad, F.col(key) == F.col("_bad"), "left_anti")
+    return docs.join(bad, docs[key] == bad["_bad"], "left_anti")
