@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces that a worker remembers.
-REMEMBER = 350_000
+REMEMBER = 500_000
 #: Texts that are encoded as a whole: the beginning of a special token, which the library takes out first, the cutting mark, and
 #: (if white space makes tokens) blanks in a row or of another kind than spaces and line feeds.
 _UNSURE_DROPPED = r"<\||\x00"
