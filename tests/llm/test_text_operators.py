@@ -298,3 +298,41 @@ def test_planted_items_are_found_and_clean_texts_left(spark):
     kept = {r.doc_id for r in decontam.clean(docs, bench).collect()}
     assert kept == {d for d, _ in rows} - {d for d, _ in want if d is not None}
     assert decontam.leaks(docs.limit(0), bench).count() == 0 and decontam.leaks(docs, bench.limit(0)).count() == 0
+
+
+def test_edited_copies_without_a_run_of_five_words_are_found(spark):
+    """Against alignment of all pairs: every fifth word changed, short items, items that share most of their words."""
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = {i: some(n) for i, n in enumerate((5, 6, 7, 8, 9, 10, 14, 15, 19, 20, 25, 40, 59, 100, 3, 1))}
+    base = some(30)
+    for i in range(20, 27):  # variants: the same but for two words of their own
+        items[i] = list(base)
+        items[i][3 * (i - 20)], items[i][29] = some(2)
+    items[27] = [*base[:15], *some(15)]
+    rows = []
+    for w in items.values():
+        for kind in range(4):
+            edits = len(w) - math.ceil(0.8 * len(w) - 1e-9)
+            places = [round((e + 1) * len(w) / (edits + 1)) - 1 for e in range(edits)] if kind < 3 else rng.sample(range(len(w)), edits)
+            copy = list(w)
+            for at in sorted(set(places), reverse=True):
+                copy[at : at + 1] = [] if kind == 1 else [copy[at], *some(1)] if kind == 2 else some(1)
+            around = some(120)
+            around[60:60] = copy
+            rows.append((len(rows), " ".join(around)))
+    rows += [(len(rows) + i, " ".join(some(150))) for i in range(20)]
+    as_words = {i: decontam.words(" ".join(w)).view(np.int64) for i, w in items.items()}
+    want = {}
+    for d, t in rows:
+        w = decontam.words(t).view(np.int64)
+        for i, x in as_words.items():
+            share = decontam.align([(w, x)])[0, 1] / len(x)
+            if share >= 0.8:
+                want[d, i] = share
+    docs = spark.createDataFrame(rows, DOCS).repartition(4)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontam.leaks(docs, bench).collect()}
+    assert got == want and len(want) > 80
+    assert len([1 for d, i in want if i >= 20]) > 28

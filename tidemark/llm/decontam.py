@@ -1,7 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words."""
+"""Benchmark decontamination: n-gram seeds that edits within the threshold cannot all break, then Smith-Waterman alignment of words."""
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -58,22 +59,24 @@ def _bits(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (h >> np.uint64(64 - bits)).astype(np.int64), (h * _K2 >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def seeds(benchmark: DataFrame, n: int = 5, rare: int = 3, item: str = "item_id", text: str = "text") -> DataFrame:
-    """(gram, item): the n-grams of each item that at most ``rare`` items hold; of an item without such, its rarest. An item of
-    fewer words has one, all its words."""
+def seed_length(size: int, least: float = 0.8, n: int = 5) -> int:
+    """Words of a run that stays in any copy of an item of ``size`` words after as many edits (other, left out or put in words) as
+    leave a share of ``least``; ``n`` at most, and at most all its words."""
+    edits = size - math.ceil(least * size - 1e-9)
+    return max(1, min(n, -(-(size - edits) // (edits + 1)))) if size else 0
+
+
+def seeds(benchmark: DataFrame, least: float = 0.8, n: int = 5, item: str = "item_id", text: str = "text") -> DataFrame:
+    """(gram, item): all runs of ``seed_length`` words of each item, however many items hold them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text):
-            found = [np.unique(grams(w, min(n, len(w)))) for w in map(words, part.column(text).to_pylist())]
+            found = [np.unique(grams(w, seed_length(len(w), least, n))) for w in map(words, part.column(text).to_pylist())]
             rows = np.repeat(np.arange(part.num_rows), [len(x) for x in found])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), part.column(item).take(pa.array(rows))], names=["gram", "item"])
 
     kind = benchmark.schema[item].dataType.simpleString()
-    all_grams = benchmark.select(item, text).where(F.col(item).isNotNull()).mapInArrow(run, f"gram long, item {kind}").distinct()
-    items = all_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("items"))
-    counted = all_grams.join(items, "gram")
-    rarest = counted.groupBy(F.col("item").alias("_i")).agg(F.min("items").alias("rarest"))
-    return counted.join(rarest, F.col("item") == F.col("_i")).where((F.col("items") <= rare) | (F.col("items") == F.col("rarest"))).select("gram", "item")
+    return benchmark.select(item, text).where(F.col(item).isNotNull()).mapInArrow(run, f"gram long, item {kind}").distinct()
 
 
 def _bitmap(seeded: DataFrame, bits: int):
@@ -156,13 +159,15 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return np.stack([best >> _S, best >> _M & (1 << _M) - 1, (best & (1 << _M) - 1) - 1, end], axis=1)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, n: int = 5, rare: int = 3, bits: int = BITS, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, n: int = 5, bits: int = BITS, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
     """``key``, ``item``, similarity (share of the item's words that the best local alignment finds again, in order), score,
     first_word and last_word (in the text, the last excluded): the best passage of a document for each item with a similarity of
     ``least`` or more.
 
     Words are runs of letters, digits and underscores, lower-cased; all words of all texts are looked at. Null and empty texts hold
-    nothing, and so do items without a word. An item of fewer than ``n`` words has one seed, all its words. Null keys stay null,
+    nothing, and so do items without a word. A copy with as many edits as ``least`` leaves (for 0.8: floor(0.2 L) words changed, left out or put in) keeps a
+    run of ``seed_length`` words and is always looked at; words put in beyond that number do not lower the similarity, but a copy in
+    which they leave no such run is not found. Pairs are aligned if the passage holds enough of the item's words. Null keys stay null,
     repeated keys are one document, rows with a null item are left out. Other columns are ignored. Empty tables give an empty table."""
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,10 +177,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, n: int = 5,
 
     kind = benchmark.schema[item].dataType.simpleString()
     items = stage(benchmark.select(item, text).where(F.col(item).isNotNull()).mapInArrow(lengths, f"item {kind}, item_words array<long>"), "items")
-    seeded = stage(seeds(benchmark, n, rare, item, text), "seeds")
+    seeded = stage(seeds(benchmark, least, n, item, text), "seeds")
     held = F.size("item_words")
-    margin, shorter = items.agg(F.coalesce(F.max(held), F.lit(0)), F.collect_set(F.when(held.between(1, n - 1), held))).first()
-    found = stage(passages(docs, seeded, 2 * margin, (*sorted(shorter), n), bits, key, text), "passages")
+    margin, lengths_held = items.agg(F.coalesce(F.max(held), F.lit(0)), F.collect_set(F.when(held > 0, held))).first()
+    sizes = sorted({seed_length(size, least, n) for size in lengths_held}) or [n]
+    found = stage(passages(docs, seeded, 3 * margin, tuple(sizes), bits, key, text), "passages")
     hits = found.select("row", "at", F.explode("grams").alias("gram")).join(seeded, "gram").select("row", "at", "item").distinct()
     pairs = hits.join(found.select("row", "at", F.col(key).alias("_key"), "words"), ["row", "at"]).join(items, "item")
     key_kind = docs.schema[key].dataType.simpleString()
@@ -190,6 +196,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, n: int = 5,
                 for rows in np.split(order, cut):
                     part = batch.take(pa.array(rows))
                     table = [(np.array(a, np.int64), np.array(b, np.int64)) for a, b in zip(part.column("words").to_pylist(), part.column("item_words").to_pylist())]
+                    enough = np.array([np.isin(b, a).sum() >= least * len(b) for a, b in table])
+                    if not enough.any():
+                        continue
+                    part, table = part.filter(pa.array(enough)), [pair for pair, e in zip(table, enough) if e]
                     got = align(table)
                     share = got[:, 1] / np.array([max(1, len(b)) for _, b in table])
                     at = part.column("at").to_numpy(zero_copy_only=False)
