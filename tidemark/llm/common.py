@@ -110,3 +110,21 @@ def filesystem(uri: str):
 
     uri = re.sub(r"^file:/+", "/", uri)
     return fs.FileSystem.from_uri(f"file://{uri}" if uri.startswith("/") else uri)
+
+
+def spread_lookup(rows: DataFrame, answers: DataFrame, keys: list[str], share: int = 256, inner: bool = False) -> DataFrame:
+    """``rows`` with the columns of ``answers`` (unique by ``keys``, which are never null in it); rows without an answer get nulls, or go if ``inner``.
+
+    Keys held by more than a ``share``-th of all rows are counted first; they are fewer than ``share``, so their answers go to all tasks
+    and only the other rows are shuffled (or none, if Spark finds the answers small). ``rows`` is read twice more: stage it
+    if it is costly."""
+    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total = rows.agg(F.count(F.lit(1)).alias("_total"))
+    hot = counted.join(F.broadcast(total), F.col("_n") * share > F.col("_total")).select(*keys)  # one row against all keys
+    hot = stage(hot.join(answers, keys, "left_semi"), "hot")  # fewer than ``share`` keys
+    hot_answers = F.broadcast(answers.join(F.broadcast(hot), keys, "left_semi"))
+    kind = "inner" if inner else "left"
+    often = rows.join(hot_answers, keys, "inner")
+    seldom = rows.join(F.broadcast(hot), keys, "left_anti").join(answers, keys, kind)
+    names = [*rows.columns, *[c for c in answers.columns if c not in keys]]
+    return often.select(names).unionByName(seldom.select(names))

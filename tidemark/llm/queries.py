@@ -1,10 +1,10 @@
-"""The ten operators on their whole tables, under the driver's contract."""
+"""The operators on their whole tables, under the driver's contract."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontam, langid, linededup, metricjoin, packing, quality, secrets, simhash, tokenindex, warc
+from tidemark.llm import decontam, langid, linededup, metricjoin, packing, quality, secrets, simhash, tokenindex, urlfilter, warc
 from tidemark.llm.common import table
 from tidemark.llm.tokens import vocabulary
 
@@ -61,6 +61,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's URL."""
+    out = urlfilter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), urlfilter.rule_table(spark, urlfilter.RULES))
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op1_sql() -> str:
     return f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
@@ -103,6 +109,17 @@ g AS (SELECT r, count(*) FILTER (WHERE k = 0) AS n0, count(*) FILTER (WHERE k =
 SELECT d.doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)"""
 
 
+def op11_sql() -> str:
+    """Every URL against every rule by text comparison."""
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in urlfilter.RULES)
+    return f"""
+WITH r(rh, rp, v) AS (VALUES {rules}),
+s AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest, row_number() OVER () AS i FROM pages),
+u AS (SELECT i, page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{urlfilter._UPPER}', '{urlfilter._LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM s),
+m AS (SELECT i, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(v, length(rh || rp)) AS v FROM u JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY i)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM u LEFT JOIN m USING (i)"""
+
+
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i FROM d),
@@ -125,5 +142,5 @@ n AS (SELECT a AS vec_id, count(*) AS n_links FROM pairs GROUP BY a)
 SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
 FROM embeddings e JOIN comp c USING (vec_id) LEFT JOIN n USING (vec_id)"""
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_line_dedup, op3_secrets, op4_metric_join, op5_decontamination, op6_language, op7_token_index, op8_quality, op9_packing, op10_simhash)}
-ORACLE_SQL = {"op1_warc": op1_sql(), "op2_line_dedup": OP2_SQL, "op3_secrets": op3_sql(), "op4_metric_join": OP4_SQL}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_line_dedup, op3_secrets, op4_metric_join, op5_decontamination, op6_language, op7_token_index, op8_quality, op9_packing, op10_simhash, op11_url_filter)}
+ORACLE_SQL = {"op1_warc": op1_sql(), "op2_line_dedup": OP2_SQL, "op3_secrets": op3_sql(), "op4_metric_join": OP4_SQL, "op11_url_filter": op11_sql()}
