@@ -224,3 +224,13 @@ def test_far_vectors_are_not_replicated():
 
 def test_metric_join_of_nothing(spark):
     assert metricjoin.range_join(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_that_forgets_equals_whole_encoding(spark, monkeypatch, name):
+    monkeypatch.setattr(tokens, "REMEMBER", 150)
+    file = tokens.vocabulary(name)
+    plain, encode = Tokenizer.from_file(file), tokens.Encoder(file)
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()] + ODD
+    for x in texts * 2:
+        assert encode(x).tolist() == plain.encode(x, add_special_tokens=False).ids, repr(x[:80])

@@ -8,7 +8,9 @@ which the cuts are not certain is encoded as a whole.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,41 +24,123 @@ _UNSURE_DROPPED = r"<\||\x00"
 _UNSURE = _UNSURE_DROPPED + r"|[ \n][ \n]|[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
-class Encoder(dict):
+class Memory(dict):
+    """Ragged number arrays of pieces that were met before: piece -> place, and per place a run of each field.
+
+    When more than ``REMEMBER`` pieces are held, those go that were met in the fewest batches (half of them at least), so common
+    ones are not learned again."""
+
+    def __init__(self, **fields: type):
+        super().__init__()
+        self.fields = fields
+        self._clear()
+
+    def _clear(self) -> None:
+        self.clear()
+        self.flat = {f: np.zeros(1 << 16, t) for f, t in self.fields.items()}
+        self.begin = {f: np.zeros(1 << 14, np.int64) for f in self.fields}
+        self.met = np.zeros(1 << 14, np.int32)
+
+    def put(self, pieces: list[str], **values: tuple[np.ndarray, np.ndarray]) -> None:
+        """New pieces with (values of all in a row, how many each has) for every field."""
+        first, end = len(self), len(self) + len(pieces)
+        for f, (flat, n) in values.items():
+            begin = self.begin[f] = _room(self.begin[f], end + 1)
+            used = int(begin[first])
+            self.flat[f] = _room(self.flat[f], used + len(flat))
+            self.flat[f][used : used + len(flat)] = flat
+            begin[first + 1 : end + 1] = used + np.cumsum(n)
+        self.met = _room(self.met, end)
+        self.met[first:end] = 0
+        self.update(zip(pieces, range(first, end)))
+
+    def places(self, pieces: list[str]) -> np.ndarray:
+        """The places of a batch's distinct pieces, all held."""
+        k = np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
+        self.met[k] += 1
+        return k
+
+    def runs(self, field: str, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The field's values of the places in a row, and how many each has."""
+        first = self.begin[field][k]
+        n = self.begin[field][k + 1] - first
+        ends = np.cumsum(n)
+        return self.flat[field][np.repeat(first - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)], n
+
+    def forget(self) -> None:
+        """Make room if too many pieces are held."""
+        if len(self) <= REMEMBER:
+            return
+        often = self.met[: len(self)]
+        least = max(2, int(np.partition(often, len(often) // 2)[len(often) // 2]) + 1)
+        k = np.flatnonzero(often >= least)
+        names = [*self]
+        kept = {f: self.runs(f, k) for f in self.fields}
+        self._clear()
+        self.put([names[i] for i in k.tolist()], **kept)
+
+
+def _room(x: np.ndarray, size: int) -> np.ndarray:
+    while len(x) < size:
+        x = np.concatenate([x, np.zeros_like(x)])
+    return x
+
+
+class Encoder:
     """Ids of texts. ``dropped``: the vocabulary drops white space, so a text may be cut at every space."""
 
+    #: Pieces that are joined into one text for the library.
+    JOINED = 200
+
     def __init__(self, file: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals the cores
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(file)
-        self.dropped = len(self.tokenizer.encode(" \n ", add_special_tokens=False).ids) == 0
+        self.dropped = len(self._ids([" \n "])[0]) == 0
         self.reset()
+        # what is put between pieces: a line feed, or (where white space is dropped) a special token; pieces hold neither
+        marks = [str(t) for t in self.tokenizer.get_added_tokens_decoder().values() if t.special and str(t).startswith("<|")]
+        self.between = (marks[-1] if marks else None) if self.dropped else "\n"
+        found = self._ids([self.between])[0] if self.between else []
+        self.mark = found[0] if len(found) == 1 else None
 
     def reset(self) -> None:
-        self.clear()
-        self.flat, self.begin = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64)
-        self.used = 0
+        self.memory = Memory(ids=np.uint32)
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Remember the ids of new pieces: the library takes them as words of one text and tells each id's word."""
-        for at in range(0, len(pieces), 20_000):
-            some = pieces[at : at + 20_000]
-            got = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(got.ids, np.uint32)
-            n = np.bincount(np.array(got.word_ids, np.int64), minlength=len(some))
-            first, end = len(self), self.used + len(ids)
-            while end > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while first + len(some) >= len(self.begin):
-                self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
-            self.flat[self.used : end] = ids
-            self.begin[first + 1 : first + 1 + len(some)] = self.used + np.cumsum(n)
-            self.used = end
-            self.update(zip(some, range(first, first + len(some))))
+    def ids_of(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many pieces in a row, and how many each has: the library gets them joined, and the ids are cut at the mark between them."""
+        if self.mark is not None:
+            own = [i for i, x in enumerate(pieces) if x in (" ", "\n", "")]
+            asked = [*pieces]
+            for i in own:
+                asked[i] = "a"
+            joined = [self.between.join(asked[a : a + self.JOINED]) for a in range(0, len(asked), self.JOINED)]
+            ids = np.array([*chain.from_iterable(x for part in self._ids(joined) for x in (part, (self.mark,)))], np.uint32)
+            cuts = np.flatnonzero(ids == self.mark)
+            if len(cuts) == len(pieces):  # as many marks as pieces, or a piece holds one itself
+                n = np.diff(cuts, prepend=-1) - 1
+                flat = np.delete(ids, cuts)
+                return self._replaced(flat, n, own, [self.whole(pieces[i]) for i in own]) if own else (flat, n)
+        found = [self.whole(x) for x in pieces]
+        return np.concatenate([np.zeros(0, np.uint32), *found]), np.fromiter(map(len, found), np.int64, len(found))
+
+    @staticmethod
+    def _replaced(flat: np.ndarray, n: np.ndarray, own: list[int], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        ends = np.cumsum(n)
+        parts, done = [], 0
+        for i, v in zip(own, values):
+            parts += [flat[done : ends[i] - n[i]], v]
+            done = ends[i]
+        n = n.copy()
+        n[own] = [*map(len, values)]
+        return np.concatenate([*parts, flat[done:]]), n
 
     def _cut(self, texts: pa.Array) -> pa.ListArray:
         """The pieces of each text."""
@@ -71,16 +155,11 @@ class Encoder(dict):
         cuts = self._cut(pc.if_else(unsure, "", texts))
         told = cuts.flatten().dictionary_encode()
         pieces = told.dictionary.to_pylist()
-        if len(self) > REMEMBER:
-            self.reset()
-        if new := [x for x in pieces if x not in self]:
-            self._learn(new)
-        k = np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))[told.indices.to_numpy()]
-        first = self.begin[k]
-        n = self.begin[k + 1] - first
-        ends = np.cumsum(n)
-        ids = self.flat[np.repeat(first - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        ends = np.concatenate([[0], ends])[cuts.offsets.to_numpy() - cuts.offsets[0].as_py()]
+        self.memory.forget()
+        if new := [x for x in pieces if x not in self.memory]:
+            self.memory.put(new, ids=self.ids_of(new))
+        ids, n = self.memory.runs("ids", self.memory.places(pieces)[told.indices.to_numpy()])
+        ends = np.concatenate([[0], np.cumsum(n)])[cuts.offsets.to_numpy() - cuts.offsets[0].as_py()]
         for i, whole in enumerate(unsure.to_pylist()):
             yield self.whole(texts[i].as_py()) if whole else ids[ends[i] : ends[i + 1]]
 
