@@ -6,6 +6,7 @@ import os
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +23,60 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders of the staged tables that are still held.
+_FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _FOLDERS[out] = path
+    return out
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete the folders of staged tables. All that is made of them has to be staged itself."""
+    for df in staged:
+        context, path = df.sparkSession.sparkContext, _FOLDERS.pop(df)
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Vectors that are added in one task of a tree.
+FAN = 16
+
+
+def tree_sum(parts: DataFrame, kind: type) -> np.ndarray:
+    """The sum of dense vectors of one length: ``parts`` gives them as binary column ``v``, one at most for each of its partitions. ``FAN`` of them are added in
+    a task, then ``FAN`` of those sums, until one is left, which reaches the driver (the caller bounds its length)."""
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        at = TaskContext.get().partitionId()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([at] * batch.num_rows, pa.int64()), batch.column("v")], names=["node", "v"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for node, v in zip(batch.column("node").to_pylist(), batch.column("v")):
+                v = np.frombuffer(v.as_buffer(), kind)
+                held[node // FAN] = held[node // FAN] + v if node // FAN in held else v
+        for node, v in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([node], pa.int64()), pa.array([v.tobytes()], pa.binary())], names=["node", "v"])
+
+    schema = "node long, v binary"
+    tree, nodes = parts.select("v").mapInArrow(numbered, schema), max(2, parts.rdd.getNumPartitions())
+    while nodes > 1:
+        nodes = -(-nodes // FAN)
+        tree = tree.repartition(nodes, F.expr(f"node div {FAN}")).mapInArrow(add, schema)
+    summed = stage(tree, "sum")
+    rows = summed.collect()  # one vector
+    discard(summed)
+    return np.frombuffer(rows[0]["v"], kind) if rows else np.zeros(0, kind)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
