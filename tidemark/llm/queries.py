@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontam, langid, linededup, metricjoin, packing, quality, secrets, simhash, tokenindex, urlfilter, warc
+from tidemark.llm import convrepair, crosstoken, decontam, langid, linededup, metricjoin, packing, quality, secrets, simhash, tokenindex, urlfilter, warc
 from tidemark.llm.common import table
 from tidemark.llm.tokens import vocabulary
 
@@ -67,6 +67,16 @@ def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op12_cross_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of two tokenizers over every document, with corpus-wide counts of the linked pairs."""
+    return crosstoken.alignments(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damage and repair of every conversation."""
+    return convrepair.repair(convrepair.damage(table(spark, sf_dir, "conversations")), gone="gone")
+
+
 def op1_sql() -> str:
     return f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
@@ -142,5 +152,5 @@ n AS (SELECT a AS vec_id, count(*) AS n_links FROM pairs GROUP BY a)
 SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
 FROM embeddings e JOIN comp c USING (vec_id) LEFT JOIN n USING (vec_id)"""
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_line_dedup, op3_secrets, op4_metric_join, op5_decontamination, op6_language, op7_token_index, op8_quality, op9_packing, op10_simhash, op11_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_line_dedup, op3_secrets, op4_metric_join, op5_decontamination, op6_language, op7_token_index, op8_quality, op9_packing, op10_simhash, op11_url_filter, op12_cross_tokens, op13_conversation_repair)}
 ORACLE_SQL = {"op1_warc": op1_sql(), "op2_line_dedup": OP2_SQL, "op3_secrets": op3_sql(), "op4_metric_join": OP4_SQL, "op11_url_filter": op11_sql()}
