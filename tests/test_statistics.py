@@ -140,6 +140,47 @@ def test_block_bootstrap_weights(spark):
     assert again == pytest.approx(draws)
 
 
+@pytest.mark.parametrize("rows", [8, 1 << 20])
+def test_cells_and_ties_do_not_change_draws(spark, monkeypatch, rows):
+    """Many small cells, or one; scores that tie in more rows than a cell holds; two models over the same blocks; a crossed design."""
+    monkeypatch.setattr(I, "CELL_ROWS", rows)
+    n = 240
+    y, e, f = RNG.integers(0, 2, n), np.arange(n) // 4, np.arange(n) % 5
+    s = {"tied": np.round(RNG.normal(size=n)), "fine": RNG.normal(size=n), "flat": np.zeros(n)}
+    data = [(m, int(e[i]), int(f[i]), int(y[i]), float(s[m][i])) for m in s for i in range(n)]
+    df = spark.createDataFrame(data, "model string, e long, f long, y int, score double").repartition(5)
+    for blocks in (["e"], ["e", "f"]):
+        w = {b: {(r.rep, r[b]): r.w for r in I.multiplicities(df, b, 6, "7" + (b if i else "")).collect()} for i, b in enumerate(blocks)}
+        got = {(r.model, r.rep): (r.ap, r.auc) for r in I.resample(df, blocks, 6, 7).collect()}
+        for rep in range(6):
+            times = np.prod([[w[b].get((rep, int(v)), 0) for v in {"e": e, "f": f}[b]] for b in blocks], axis=0)
+            idx = np.repeat(np.arange(n), times)
+            for m in s:
+                ap, auc = got[m, rep]
+                pos, neg = s[m][idx][y[idx] == 1], s[m][idx][y[idx] == 0]
+                assert ap == pytest.approx(np_ap(y[idx], s[m][idx]), abs=1e-12)
+                assert auc == pytest.approx(((pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()) / (len(pos) * len(neg)), abs=1e-12)
+
+
+def test_multiplicity_matrix_equals_multiplicities(spark, monkeypatch):
+    df = spark.createDataFrame([(i * 7 - 20,) for i in range(90)] * 2, "b long")
+    want = {(r.rep, r.b): r.w for r in I.multiplicities(df, "b", 30, 5).collect()}
+    for tile in (1, 300, 1 << 20):
+        monkeypatch.setattr(I, "TILE", tile)
+        got = {r.b: np.frombuffer(r.w, np.uint8) for r in I.multiplicity_matrix(df, "b", 30, 5).collect()}
+        assert len(got) == 90 and all(w[rep] == want.get((rep, b), 0) for b, w in got.items() for rep in range(30))
+
+
+def test_weighted_sums(spark):
+    rows = [(i % 11, f"k{i % 3}", float(i), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "b long, k string, v double, u long").repartition(6)
+    m = I.multiplicity_matrix(df, "b", 9, 3)
+    w = {r.b: np.frombuffer(r.w, np.uint8).astype(float) for r in m.collect()}
+    got = {r.k: (np.frombuffer(r.v), np.frombuffer(r.u)) for r in I.weighted_sums(df, ["k"], ["v", "u"], "b", m).collect()}
+    for k in ("k0", "k1", "k2"):
+        assert np.allclose(got[k][0], sum(v * w[b] for b, kk, v, _ in rows if kk == k)) and np.allclose(got[k][1], sum(u * w[b] for b, kk, _, u in rows if kk == k))
+
+
 def test_identical_models_have_zero_delta(spark):
     df, _, _ = scored(spark, n=200)
     two = df.unionByName(df.withColumn("model", F.lit("n")))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.expr import correlation, right_closed_bin
-from tidemark.operators.inference import multiplicity_lists, weighted_sums
+from tidemark.operators.inference import multiplicity_matrix, weighted_sums
 from tidemark.operators.ranks import percentile_columns
 from tidemark.sources.tables import fitted, staged
 
@@ -180,8 +180,8 @@ def rank_stability(attr: DataFrame, entity: str, reps: int, seed: int | str = 42
     Attribution is summed once per entity; all reps reweight those sums together, as arrays.
     """
     per = attr.groupBy(entity, "feature").agg(F.sum(F.abs("attr")).alias("s"), F.count("attr").alias("n"))
-    per = staged(per.join(multiplicity_lists(attr, entity, reps, seed, "w"), entity))
-    sums = weighted_sums(per, ["feature"], ["s", "n"], ["w"], reps)
+    per = staged(per)
+    sums = weighted_sums(per, ["feature"], ["s", "n"], entity, multiplicity_matrix(per, entity, reps, seed))
 
     def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

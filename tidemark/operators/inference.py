@@ -1,14 +1,14 @@
 """Block resampling, paired tests and multiple-comparison control.
 
-A resample never copies rows: each block has one array with its multiplicity in every
-rep, which joins the score-compressed table once. All reps are then rolled up together,
-as arrays, along the scores, so what is shuffled grows with the distinct scores and not with
-the reps. Draws are a hash of (seed, rep, slot), so they do not depend on partitioning or
+A resample copies neither rows nor lists of draws: each block has one row of bytes, its multiplicity in every
+rep, which is brought once to each cell of scores that holds the block. All reps are then rolled up together,
+as matrices, along the scores. Draws are a hash of (seed, rep, slot), so they do not depend on partitioning or
 retries. Everything after ``resample`` works on (scheme, rep, model) rows, bounded by reps x models.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from itertools import combinations
 
@@ -24,8 +24,8 @@ from tidemark.operators.ranks import cell, dense_index, percentiles
 from tidemark.sources.tables import fitted, staged
 
 Z975 = 1.959963984540054
-#: Slices of a power of two that are rolled up apart from each other.
-CELL_BITS = 6
+#: Rows of compressed scores that a cell holds (about), and bytes of a task's table of multiplicities.
+CELL_ROWS, TILE = 4096, 32 << 20
 
 
 def multiplicities(df: DataFrame, block: str, reps: int, seed: int | str) -> DataFrame:
@@ -38,46 +38,91 @@ def multiplicities(df: DataFrame, block: str, reps: int, seed: int | str) -> Dat
     return pick.groupBy("rep", "idx").agg(F.count("*").alias("w")).join(idx, "idx").select("rep", block, "w")
 
 
-def multiplicity_lists(df: DataFrame, block: str, reps: int, seed: int | str, name: str) -> DataFrame:
-    """(block, name): the reps that draw a block and how often, a list of at most ``reps``."""
-    drawn = F.struct(F.col("rep").cast("int").alias("rep"), F.col("w").cast("int").alias("w"))
-    return multiplicities(df, block, reps, seed).groupBy(block).agg(F.collect_list(drawn).alias(name))
+def multiplicity_matrix(df: DataFrame, block: str, reps: int, seed: int | str) -> DataFrame:
+    """(block, w): how often each block is drawn in every rep, a byte for each. The draws are those of ``multiplicities``.
 
-
-def _dense(lists: pa.Array, reps: int) -> np.ndarray:
-    """Rows of multiplicities by rep."""
-    out = np.zeros((len(lists), reps))
-    flat = lists.flatten()
-    row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
-    out[row, flat.field("rep").to_numpy()] = flat.field("w").to_numpy()
-    return out
-
-
-def weighted_sums(df: DataFrame, keys: Sequence[str], values: Sequence[str], lists: Sequence[str], reps: int) -> DataFrame:
-    """For each key the sums of ``values`` under every rep's multiplicities: columns of little-endian doubles.
-
-    ``lists`` (multiplied with each other) come from ``multiplicity_lists``. Tasks add up what they read, so one row for each key and
-    task is shuffled; keys must be few (models, features, slices of scores)."""
-    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    Picks (4 to 10 bytes each) meet by ranges of blocks and are counted in a table of blocks x reps; a task's tables are bounded by ``TILE``."""
+    idx = staged(dense_index(df, block, size="_e"))
+    size = idx.agg(F.max("_e")).first()[0] or 0
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    span = max(1, min(TILE // reps, -(-size // (2 * parts))))
+    slots = spark.range(size).select(F.col("id").alias("idx"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    picks = slots.select("rep", (draw_hash(seed, "rep", "idx") % F.lit(size)).alias("pick"))
+    picks = picks.select(F.col("rep").cast("short"), "pick").repartition(parts, F.expr(f"pick div {span}"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tiles: dict[int, np.ndarray] = {}
+        for batch in batches:
+            rep, pick = batch.column("rep").to_numpy(), batch.column("pick").to_numpy()
+            tile = pick // span
+            for t in np.unique(tile).tolist():
+                mine = tile == t
+                if t not in tiles:
+                    tiles[t] = np.zeros((min(span, size - t * span), reps), np.uint16)
+                np.add.at(tiles[t], (pick[mine] - t * span, rep[mine]), 1)
+        for t, held in tiles.items():
+            if held.max() > 255:
+                raise OverflowError("a block was drawn more than 255 times in a rep")
+            held = held.astype(np.uint8)
+            for at in range(0, len(held), 1024):
+                part = held[at : at + 1024]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part)) + t * span), pa.array([x.tobytes() for x in part], pa.binary())], names=["idx", "w"])
+
+    tiles = picks.mapInArrow(count, "idx long, w binary")
+    return tiles.join(idx.drop("_e"), "idx").select(block, "w")
+
+
+def _matrix(column: pa.Array, kind: type = np.uint8) -> np.ndarray:
+    """Binary values of one length as rows."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
+def _binary(x: np.ndarray) -> pa.Array:
+    return pa.array([x.tobytes()], pa.binary())
+
+
+def weighted_sums(rows: DataFrame, keys: Sequence[str], values: Sequence[str], block: str, matrix: DataFrame) -> DataFrame:
+    """For each key the sums of ``values`` under every rep's multiplicities of ``block``: columns of little-endian doubles.
+
+    Each block's multiplicities meet its rows once (both sorted by block); tasks add up what they read, so one row for each key and task is
+    shuffled: keys must be few (features, heavily tied scores)."""
+    kinds = [rows.schema[k].dataType for k in keys]
+    arrow = [{"double": pa.float64(), "bigint": pa.int64(), "int": pa.int32()}.get(k.simpleString(), pa.string()) for k in kinds]
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    head = matrix.select(block, "w", *[none(rows, c) for c in (*keys, *values)])
+    both = head.unionByName(rows.select(block, F.lit(None).cast("binary").alias("w"), *keys, *values))
+    both = both.repartition(block).sortWithinPartitions(block, F.col("w").isNull())
+
+    def emitted(held: dict) -> Iterator[pa.RecordBatch]:
+        for k, sums in held.items():
+            yield pa.RecordBatch.from_arrays([*(pa.array([x], t) for x, t in zip(k, arrow)), *map(_binary, sums)], names=[*keys, *values])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, np.ndarray] = {}
+        last = None  # the multiplicities of the block that the batch before ended with
         for whole in batches:
-            for part in (whole.slice(a, 512) for a in range(0, whole.num_rows, 512)):
-                w = np.prod([_dense(part.column(x), reps) for x in lists], axis=0)
-                found = [*zip(*(part.column(k).to_pylist() for k in keys))]
-                v = [np.array(part.column(x).to_pylist(), float) for x in values]
-                for k in set(found):
-                    mine = np.array([f == k for f in found])
-                    sums = np.stack([x[mine] @ w[mine] for x in v])
-                    held[k] = held[k] + sums if k in held else sums
-        yield from _rows(held)
-
-    def _rows(held: dict) -> Iterator[pa.RecordBatch]:
-        for k, sums in held.items():
-            yield pa.RecordBatch.from_arrays([*(pa.array([x], t) for x, t in zip(k, key_types)), *(pa.array([s.tobytes()], pa.binary()) for s in sums)], names=[*keys, *values])
-
-    key_types = [pa.int64() if df.schema[k].dataType.simpleString() == "bigint" else pa.string() for k in keys]
+            for part in (whole.slice(a, 2048) for a in range(0, whole.num_rows, 2048)):
+                is_head = part.column("w").is_valid().to_numpy(zero_copy_only=False)
+                w = _matrix(part.column("w").filter(pa.array(is_head))) if is_head.any() else None
+                w = w if last is None else last[None] if w is None else np.vstack([last[None], w])
+                if w is None:
+                    continue  # blocks that were never drawn
+                at = np.cumsum(is_head) - (last is None)
+                body = np.flatnonzero(~is_head & (at >= 0))
+                if len(body):
+                    own = part.take(pa.array(body))
+                    code, names = _codes([own.column(k) for k in keys])
+                    for v, name in enumerate(values):
+                        x = own.column(name).to_numpy(zero_copy_only=False).astype(float)
+                        spread = np.zeros((len(names), len(w)))
+                        np.add.at(spread, (code, at[body]), x)
+                        sums = spread @ w
+                        for k, row in zip(names, sums):
+                            mine = held.setdefault(k, np.zeros((len(values), w.shape[1])))
+                            mine[v] += row
+                last = w[-1]
+        yield from emitted(held)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, np.ndarray] = {}
@@ -85,45 +130,32 @@ def weighted_sums(df: DataFrame, keys: Sequence[str], values: Sequence[str], lis
             for row in batch.to_pylist():
                 k, sums = tuple(row[x] for x in keys), np.stack([np.frombuffer(row[x]) for x in values])
                 held[k] = held[k] + sums if k in held else sums
-        yield from _rows(held)
-
-    schema = kinds + "".join(f", {v} binary" for v in values)
-    return df.select(*keys, *values, *lists).mapInArrow(partial, schema).repartition(*keys).mapInArrow(merge, schema)
+        yield from emitted(held)
 
+    schema = ", ".join(f"{k} {t.simpleString()}" for k, t in zip(keys, kinds)) + "".join(f", {v} binary" for v in values)
+    return both.mapInArrow(partial, schema).repartition(*keys).mapInArrow(merge, schema)
 
-def _before(totals: DataFrame) -> DataFrame:
-    """(model, cell, tp, m, pos, total): sums over the lower cells of a model, and over all of them. A model's cells are in one task: they
-    are bounded by the slices of a double, whatever the number of rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models: dict[str, list[tuple]] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                models.setdefault(row["model"], []).append((row["cell"], np.frombuffer(row["p"]), np.frombuffer(row["n"])))
-        for model, cells in models.items():
-            cells.sort(key=lambda c: c[0])
-            pos, total = sum(c[1] for c in cells), sum(c[2] for c in cells)
-            tp, m = np.zeros_like(pos), np.zeros_like(pos)
-            for at, p, n in cells:
-                yield pa.RecordBatch.from_arrays([pa.array([model]), pa.array([at], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (tp, m, pos, total))], names=["model", "cell", "tp", "m", "pos", "total"])
-                tp, m = tp + p, m + n
 
-    return totals.repartition("model").mapInArrow(run, "model string, cell long, tp binary, m binary, pos binary, total binary")
+def _codes(columns: Sequence[pa.Array]) -> tuple[np.ndarray, list[tuple]]:
+    """The number of each row's key among the distinct ones, and those."""
+    found: dict[tuple, int] = {}
+    code = [found.setdefault(k, len(found)) for k in zip(*(c.to_pylist() for c in columns))]
+    return np.array(code, np.int64), [*found]
 
 
 class _Roll:
-    """Average precision (times positives) and wins of one cell, fed with rows of falling score."""
+    """Average precision (times positives) and wins (but for those over all negatives) of one cell, fed with rows of falling score."""
 
-    def __init__(self, head: dict):
-        self.tp, self.m, self.pos, total = (np.frombuffer(head[x]).copy() for x in ("tp", "m", "pos", "total"))
-        self.neg = total - self.pos
-        self.ap, self.wins = np.zeros_like(self.tp), np.zeros_like(self.tp)
+    def __init__(self, tp: np.ndarray, m: np.ndarray):
+        self.tp, self.m = tp.copy(), m.copy()
+        self.start = tp, m
+        self.ap, self.wins = np.zeros_like(tp), np.zeros_like(tp)
         self.score, self.p, self.n = None, None, None
 
     def add(self, score: np.ndarray, p: np.ndarray, n: np.ndarray) -> None:
         first = np.flatnonzero(np.append(True, score[1:] != score[:-1]))
         p, n, score = np.add.reduceat(p, first), np.add.reduceat(n, first), score[first]
-        if self.score == score[0]:  # the last batch ended within a tie
+        if self.score == score[0]:  # the last rows ended within a tie
             p[0] += self.p
             n[0] += self.n
         elif self.score is not None:
@@ -135,13 +167,84 @@ class _Roll:
         if len(p):
             tp, m = self.tp + np.cumsum(p, axis=0), self.m + np.cumsum(n, axis=0)
             self.ap += (p * tp / np.maximum(m, 1)).sum(axis=0)
-            self.wins += (p * (self.neg - (m - tp) + (n - p) / 2)).sum(axis=0)
+            self.wins += (p * ((n - p) / 2 - (m - tp))).sum(axis=0)
             self.tp, self.m = tp[-1], m[-1]
 
     def close(self, model: str) -> pa.RecordBatch:
         if self.score is not None:
             self._roll(self.p[None], self.n[None])
-        return pa.RecordBatch.from_arrays([pa.array([model]), *(pa.array([x.tobytes()], pa.binary()) for x in (self.ap, self.wins, self.pos, self.neg))], names=["model", "ap", "wins", "pos", "neg"])
+        own = (self.tp - self.start[0], self.m - self.start[1])
+        return pa.RecordBatch.from_arrays([pa.array([model]), *map(_binary, (self.ap, self.wins, *own))], names=["model", "ap", "wins", "pos", "total"])
+
+
+class _Cells:
+    """Reads a partition sorted by cell, with the cell's multiplicities (kind 0) first, then for each model what lies above (kind 1) and its
+    rows (kind 2) by falling score. ``spans`` yields ("above", model, cell, tp, m) and ("rows", model, cell, score, p, n) with arrays of rows x reps."""
+
+    def __init__(self, blocks: int):
+        self.blocks, self.cell = blocks, None
+
+    def _open(self, cell: int) -> None:
+        self.cell = cell
+        self.parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(self.blocks)]
+        self.tables = None
+
+    def _tables(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        if self.tables is None:
+            self.tables = []
+            for parts in self.parts:
+                keys = np.concatenate([k for k, _ in parts]) if parts else np.zeros(0, np.int64)
+                order = np.argsort(keys)
+                self.tables.append((keys[order], np.concatenate([w for _, w in parts])[order] if parts else np.zeros((0, 0), np.uint8)))
+        return self.tables
+
+    def spans(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for whole in batches:
+            if not whole.num_rows:
+                continue
+            cell, kind = whole.column("cell").to_numpy(), whole.column("kind").to_numpy()
+            names = whole.column("model").fill_null("").dictionary_encode()
+            model = names.indices.to_numpy()
+            cuts = np.flatnonzero((np.diff(cell) != 0) | (np.diff(kind) != 0) | (np.diff(model) != 0)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), whole.num_rows]):
+                part, name = whole.slice(a, b - a), names.dictionary[int(model[a])].as_py()
+                if self.cell != cell[a]:
+                    self._open(int(cell[a]))
+                if kind[a] == 0:
+                    which = part.column("which").to_numpy()
+                    for i in np.unique(which).tolist():
+                        own = part.filter(pa.array(which == i))
+                        self.parts[i].append((own.column("b0").to_numpy(), _matrix(own.column("w"))))
+                elif kind[a] == 1:
+                    yield "above", name, self.cell, np.frombuffer(part.column("pv")[0].as_py()), np.frombuffer(part.column("nv")[0].as_py())
+                else:
+                    for at in range(0, part.num_rows, 256):
+                        yield from self._rows(name, part.slice(at, 256))
+
+    def _rows(self, name: str, part: pa.RecordBatch) -> Iterator[tuple]:
+        score = part.column("score").to_numpy(zero_copy_only=False)
+        summed = part.column("pv").is_valid().to_numpy(zero_copy_only=False)
+        if summed.any():  # a score whose rows were added up before
+            for i in np.flatnonzero(summed).tolist():
+                if i:
+                    yield from self._rows(name, part.slice(0, i))
+                row = part.slice(i, 1)
+                yield "rows", name, self.cell, score[i : i + 1], _matrix(row.column("pv"), np.float64), _matrix(row.column("nv"), np.float64)
+                yield from self._rows(name, part.slice(i + 1)) if i + 1 < part.num_rows else ()
+                return
+        w, known = None, np.ones(len(score), bool)
+        for i, (keys, table) in enumerate(self._tables()):
+            b = part.column(f"b{i}").to_numpy(zero_copy_only=False).astype(np.int64)
+            at = np.minimum(np.searchsorted(keys, b), max(0, len(keys) - 1))
+            found = keys[at] == b if len(keys) else np.zeros(len(b), bool)
+            known &= found  # blocks that were never drawn have no multiplicities
+            if not found.any():
+                return
+            own = table[at].astype(np.float64)
+            w = own if w is None else w * own
+        p, n = (part.column(c).to_numpy(zero_copy_only=False)[:, None] * w for c in ("p", "n"))
+        if known.any():
+            yield "rows", name, self.cell, score[known], p[known], n[known]
 
 
 def resample(
@@ -150,55 +253,88 @@ def resample(
     """Average precision and AUC per (rep, model). Two blocks multiply their
     multiplicities (crossed design). Draws without positives give NULL and drop out.
 
-    The compressed rows get their blocks' lists once and are cut into cells by score. Cell totals (arrays over reps) give every cell what
-    lies above it; then each cell is rolled up by itself, streaming over its scores."""
-    g = scored.groupBy("model", *blocks, "score").agg(F.sum("y").cast("double").alias("p"), F.count("*").cast("double").alias("n"))
-    lists = [f"w{i}" for i in range(len(blocks))]
-    for i, b in enumerate(blocks):
-        g = g.join(multiplicity_lists(scored, b, reps, f"{seed}{b if i else ''}", lists[i]), b)
-    g = staged(g.select("model", (-cell("score", CELL_BITS)).alias("cell"), F.col("score").cast("double").alias("score"), "p", "n", *lists))
-    heads = _before(weighted_sums(g, ["model", "cell"], ["p", "n"], lists, reps))
-    sums = ["tp", "m", "pos", "total"]
-    none = lambda d, names: [F.lit(None).cast(d.schema[x].dataType).alias(x) for x in names]
-    rows = heads.select("model", "cell", F.lit(True).alias("head"), *none(g, ["score", "p", "n", *lists]), *sums).unionByName(
-        g.select("model", "cell", F.lit(False).alias("head"), "score", "p", "n", *lists, *none(heads, sums))
-    )
+    The compressed rows are cut into cells by score, of about ``CELL_ROWS`` rows. A block's multiplicities (a byte a rep) are brought to each cell that
+    holds rows of it, once for all rows and models; no row carries them. Cell totals (arrays over reps) give every cell what lies above
+    it; then each cell is rolled up by itself, streaming over its scores. A score of one model that more than ``CELL_ROWS`` rows tie in is
+    added up over blocks before (with one block; in a crossed design it is held in one cell)."""
+    g = scored.groupBy("model", *blocks, F.col("score").cast("double").alias("score")).agg(F.sum("y").cast("double").alias("p"), F.count("*").cast("double").alias("n"))
+    g = staged(g.select("model", "score", "p", "n", *[F.col(b).cast("long").alias(f"b{i}") for i, b in enumerate(blocks)]))
+    bits = min(24, max(2, math.ceil(math.log2(max(1, g.count()) / CELL_ROWS))))
+    g = g.withColumn("cell", -cell("score", bits))
+    matrices = [staged(multiplicity_matrix(g, f"b{i}", reps, f"{seed}{b if i else ''}")) for i, b in enumerate(blocks)]
+    none = lambda kind, c: F.lit(None).cast(kind).alias(c)
+    own = {"cell": "long", "kind": "int", "which": "int", "model": "string", "score": "double", "p": "double", "n": "double", "b0": "long", "b1": "long", "w": "binary", "pv": "binary", "nv": "binary"}
+    shaped = lambda df, **has: df.select([has[c].cast(k).alias(c) if c in has else none(k, c) for c, k in own.items()])
+    col = F.col
+    tied = None
+    if len(blocks) == 1:
+        tied = staged(g.groupBy("model", "score").agg(F.count("*").alias("k")).where(F.col("k") > CELL_ROWS).select("model", "score"))
+        if tied.isEmpty():
+            tied = None
+    rows = g if tied is None else g.join(tied, ["model", "score"], "left_anti")
+    rows_in = shaped(rows, cell=col("cell"), kind=F.lit(2), model=col("model"), score=col("score"), p=col("p"), n=col("n"), **{f"b{i}": col(f"b{i}") for i in range(len(blocks))})
+    if tied is not None:
+        summed = weighted_sums(g.join(tied, ["model", "score"], "left_semi").select("model", "score", "p", "n", "b0"), ["model", "score"], ["p", "n"], "b0", matrices[0])
+        summed = staged(summed.withColumn("cell", -cell("score", bits)))
+        rows_in = rows_in.unionByName(shaped(summed, cell=col("cell"), kind=F.lit(2), model=col("model"), score=col("score"), pv=col("p"), nv=col("n")))
+    for i, m in enumerate(matrices):
+        met = rows.select("cell", f"b{i}").distinct().join(m, f"b{i}")
+        rows_in = rows_in.unionByName(shaped(met, cell=col("cell"), kind=F.lit(0), which=F.lit(i), b0=col(f"b{i}"), w=col("w")))
+    rows_in = staged(rows_in)
+    n_blocks = len(blocks)
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, None
+        made = lambda: pa.RecordBatch.from_arrays([pa.array([at[0]]), pa.array([at[1]], pa.int64()), *map(_binary, held)], names=["model", "cell", "pv", "nv"])
+        for _, model, c, _, p, n in _Cells(n_blocks).spans(batches):
+            sums = [p.sum(axis=0), n.sum(axis=0)]
+            if at == (model, c):
+                held = [x + y for x, y in zip(held, sums)]
+            else:
+                if at is not None:
+                    yield made()
+                at, held = (model, c), sums
+        if at is not None:
+            yield made()
+
+    def above(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, tp, m = None, 0.0, 0.0
+        for batch in batches:
+            for row in batch.to_pylist():
+                p, n = np.frombuffer(row["pv"]), np.frombuffer(row["nv"])
+                if row["model"] != model:
+                    model, tp, m = row["model"], np.zeros_like(p), np.zeros_like(n)
+                yield pa.RecordBatch.from_arrays([pa.array([model]), pa.array([row["cell"]], pa.int64()), _binary(tp), _binary(m)], names=["model", "cell", "pv", "nv"])
+                tp, m = tp + p, m + n
 
     def roll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, model = None, None
-        for whole in batches:
-            for part in (whole.slice(a, 512) for a in range(0, whole.num_rows, 512)):
-                head = part.column("head").to_numpy(zero_copy_only=False)
-                at = [*np.flatnonzero(head).tolist(), part.num_rows]
-                spans = [(0, at[0])] + [(a + 1, b) for a, b in zip(at, at[1:])]
-                for k, (a, b) in enumerate(spans):
-                    if k:  # a head comes before its cell's rows
-                        if now is not None:
-                            yield now.close(model)
-                        first = part.slice(a - 1, 1).to_pylist()[0]
-                        now, model = _Roll(first), first["model"]
-                    if b > a:
-                        own = part.slice(a, b - a)
-                        w = np.prod([_dense(own.column(x), reps) for x in lists], axis=0)
-                        p, n = (np.array(own.column(x).to_pylist(), float)[:, None] * w for x in ("p", "n"))
-                        now.add(own.column("score").to_numpy(zero_copy_only=False), p, n)
+        for what, *span in _Cells(n_blocks).spans(batches):
+            if what == "above":
+                if now is not None:
+                    yield now.close(model)
+                model, now = span[0], _Roll(span[2], span[3])
+            else:
+                now.add(*span[2:])
         if now is not None:
             yield now.close(model)
 
-    ordered = rows.repartition("model", "cell").sortWithinPartitions("model", "cell", F.col("head").desc(), F.col("score").desc())
-    cells = ordered.mapInArrow(roll, "model string, ap binary, wins binary, pos binary, neg binary")
+    in_order = lambda df: df.repartition("cell").sortWithinPartitions("cell", F.col("kind") > 0, "model", "kind", F.col("score").desc())
+    per_cell = in_order(rows_in).mapInArrow(totals, "model string, cell long, pv binary, nv binary")
+    heads = per_cell.repartition("model").sortWithinPartitions("model", "cell").mapInArrow(above, "model string, cell long, pv binary, nv binary")
+    heads_in = shaped(heads, cell=col("cell"), kind=F.lit(1), model=col("model"), pv=col("pv"), nv=col("nv"))
+    cells = in_order(rows_in.unionByName(heads_in)).mapInArrow(roll, "model string, ap binary, wins binary, pos binary, total binary")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models: dict[str, list] = {}
+        models: dict[str, np.ndarray] = {}
         for batch in batches:
             for row in batch.to_pylist():
-                ap, wins, pos, neg = (np.frombuffer(row[x]) for x in ("ap", "wins", "pos", "neg"))
-                held = models.setdefault(row["model"], [0.0, 0.0, pos, neg])
-                held[0], held[1] = held[0] + ap, held[1] + wins
-        for model, (ap, wins, pos, neg) in models.items():
-            drawn = np.flatnonzero(pos > 0)
-            auc = np.where(neg[drawn] > 0, wins[drawn] / np.maximum(pos[drawn] * neg[drawn], 1), np.nan)
-            yield pa.RecordBatch.from_arrays([pa.array(drawn), pa.array([model] * len(drawn)), pa.array(ap[drawn] / pos[drawn]), pa.array(auc, from_pandas=True)], names=["rep", "model", "ap", "auc"])
+                sums = np.stack([np.frombuffer(row[c]) for c in ("ap", "wins", "pos", "total")])
+                models[row["model"]] = models[row["model"]] + sums if row["model"] in models else sums
+        for model, (ap, wins, pos, total) in models.items():
+            drawn, neg = np.flatnonzero(pos > 0), total - pos
+            auc = np.where(neg[drawn] > 0, (wins + neg * pos)[drawn] / np.maximum(pos * neg, 1)[drawn], np.nan)
+            yield pa.RecordBatch.from_arrays([pa.array(drawn, pa.int64()), pa.array([model] * len(drawn), pa.string()), pa.array(ap[drawn] / pos[drawn], pa.float64()), pa.array(auc, pa.float64(), from_pandas=True)], names=["rep", "model", "ap", "auc"])
 
     out = cells.repartition("model").mapInArrow(finish, "rep long, model string, ap double, auc double")
     return fitted(out).withColumn("scheme", F.lit(scheme))
