@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from hashlib import md5
 from itertools import combinations
 
 import numpy as np
@@ -41,36 +42,58 @@ def multiplicities(df: DataFrame, block: str, reps: int, seed: int | str) -> Dat
 def multiplicity_matrix(df: DataFrame, block: str, reps: int, seed: int | str) -> DataFrame:
     """(block, w): how often each block is drawn in every rep, a byte for each. The draws are those of ``multiplicities``.
 
-    Picks (4 to 10 bytes each) meet by ranges of blocks and are counted in a table of blocks x reps; a task's tables are bounded by ``TILE``."""
+    Tasks draw for their slots and hand on 4 bytes a pick, by ranges of blocks; picks are counted in a table of blocks x reps for each
+    range, whose size ``TILE`` bounds."""
     idx = staged(dense_index(df, block, size="_e"))
     size = idx.agg(F.max("_e")).first()[0] or 0
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    span = max(1, min(TILE // reps, -(-size // (2 * parts))))
-    slots = spark.range(size).select(F.col("id").alias("idx"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    picks = slots.select("rep", (draw_hash(seed, "rep", "idx") % F.lit(size)).alias("pick"))
-    picks = picks.select(F.col("rep").cast("short"), "pick").repartition(parts, F.expr(f"pick div {span}"))
+    span = max(1, min(TILE // reps, -(-size // (4 * parts))))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ahead = [f"{seed}|{rep}|".encode() for rep in range(reps)]
+        for batch in batches:
+            slots = batch.column("id").to_pylist()
+            for at in range(0, len(slots), 256):
+                names = [b"%d" % i for i in slots[at : at + 256]]
+                digests = b"".join([md5(a + i).digest() for i in names for a in ahead])
+                pick = (np.frombuffer(digests, ">u8")[::2] >> np.uint64(4)).astype(np.int64) % size  # 15 hex digits
+                place = pick % span * reps + np.tile(np.arange(reps), len(names))
+                tile = pick // span
+                order = np.argsort(tile, kind="stable")
+                cuts = np.flatnonzero(np.diff(tile[order])) + 1
+                runs = np.split(place[order].astype(np.uint32), cuts)
+                yield pa.RecordBatch.from_arrays([pa.array(tile[order][np.append(0, cuts)]), pa.array([x.tobytes() for x in runs], pa.binary())], names=["tile", "places"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tiles: dict[int, np.ndarray] = {}
+        waiting: dict[int, list[np.ndarray]] = {}
+
+        def counted(t: int) -> None:
+            if t not in tiles:
+                tiles[t] = np.zeros(min(span, size - t * span) * reps, np.uint16)
+            place, n = np.unique(np.concatenate(waiting.pop(t)), return_counts=True)
+            tiles[t][place] += n.astype(np.uint16)
+
         for batch in batches:
-            rep, pick = batch.column("rep").to_numpy(), batch.column("pick").to_numpy()
-            tile = pick // span
-            for t in np.unique(tile).tolist():
-                mine = tile == t
-                if t not in tiles:
-                    tiles[t] = np.zeros((min(span, size - t * span), reps), np.uint16)
-                np.add.at(tiles[t], (pick[mine] - t * span, rep[mine]), 1)
+            for t, places in zip(batch.column("tile").to_pylist(), batch.column("places").to_pylist()):
+                held = waiting.setdefault(t, [])
+                held.append(np.frombuffer(places, np.uint32))
+                if len(held) >= 64:
+                    counted(t)
+        for t in [*waiting]:
+            counted(t)
         for t, held in tiles.items():
             if held.max() > 255:
                 raise OverflowError("a block was drawn more than 255 times in a rep")
-            held = held.astype(np.uint8)
+            held = held.astype(np.uint8).reshape(-1, reps)
             for at in range(0, len(held), 1024):
                 part = held[at : at + 1024]
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part)) + t * span), pa.array([x.tobytes() for x in part], pa.binary())], names=["idx", "w"])
 
-    tiles = picks.mapInArrow(count, "idx long, w binary")
-    return tiles.join(idx.drop("_e"), "idx").select(block, "w")
+    slots = spark.range(0, size, 1, max(1, min(4 * parts, -(-size // 256))))
+    picks = slots.mapInArrow(draw, "tile long, places binary").repartition(parts, "tile")
+    return picks.mapInArrow(count, "idx long, w binary").join(idx.drop("_e"), "idx").select(block, "w")
 
 
 def _matrix(column: pa.Array, kind: type = np.uint8) -> np.ndarray:
