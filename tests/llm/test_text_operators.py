@@ -80,6 +80,39 @@ def test_lines_go_to_the_exact_join_when_filters_are_too_large(spark):
     assert index.sieve(limit=0) is None and index.sieve() is not None
 
 
+@pytest.mark.parametrize("shards", [2, None])
+def test_full_filters_are_built_anew(spark, shards):
+    """Many more lines than a filter was made for, then a few more, then deletions: as a fresh build each time."""
+    line = lambda i: f"repeated line number {i} with enough characters to count"
+    held = lambda lines, first: [(first + d, "\n".join(map(line, lines))) for d in range(6)]
+    parts = [held(range(4), 0), held(range(4, 404), 10), held(range(404, 407), 20), held(range(2), 30)]
+    frame = lambda rows: spark.createDataFrame(rows, DOCS)
+    index, rows = linededup.LineIndex.build(frame(parts[0]), shards=shards), parts[0]
+    for part in parts[1:]:
+        index, rows = index.insert(frame(part)), rows + part
+        got = sorted([(r.doc_id, r.n_lines, r.n_dropped, r.text) for r in index.apply(frame(rows)).collect()], key=str)
+        assert got == line_brute(rows) and index.filters.where("filter is null").count() == 0
+    index, rows = index.delete(frame(parts[1]).select("doc_id")), [r for r in rows if r not in parts[1]]
+    got = sorted([(r.doc_id, r.n_lines, r.n_dropped, r.text) for r in index.apply(frame(rows)).collect()], key=str)
+    assert got == line_brute(rows)
+
+
+def test_lines_meet_their_filters_in_tasks(spark):
+    """Beyond the broadcast bound the lines go to their shard's filter; the result is the same."""
+    rows = list(texts(spark).items())
+    index = linededup.LineIndex.build(spark.createDataFrame(rows, DOCS), shards=5)
+    lost = lambda limit: {r["_doc"]: sorted(map(tuple, r.gone)) for r in index.doomed(spark.createDataFrame(rows, DOCS), limit).collect()}
+    assert lost(0) == lost(1 << 30) != {}
+
+
+def test_cuckoo_filters_fill_in_bulk():
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 5, 300, 70_000):
+        keys = np.unique(rng.integers(-(2**63), 2**63, n))
+        f = linededup.CuckooFilter.of(keys)
+        assert f.contains(keys).all() and int((f.table > 0).sum()) == len(keys)
+
+
 def test_cuckoo_filter_holds_and_forgets():
     keys = np.random.default_rng(3).integers(-(2**63), 2**63, 5000)
     f = linededup.CuckooFilter.of(keys)

@@ -19,8 +19,9 @@ from tidemark.llm.common import cells, slices, stage
 
 #: Bytes stripped at both ends of a line (fixed).
 BLANK = b" \t\n\x0b\x0c\r"
-#: Shards of the key space; bytes of all filters up to which they are sent to every task (beyond, lines go unfiltered to the exact join).
-SHARDS, BROADCAST_BYTES = 64, 64 << 20
+#: Least shards of the key space, keys of a shard (about), bytes of all filters up to which they are sent to every task (beyond, lines are
+#: brought to their shard's filter), tasks that a shard's lines are dealt to then.
+SHARDS, SHARD_KEYS, BROADCAST_BYTES, SALTS = 64, 1 << 16, 64 << 20, 8
 
 
 class CuckooFilter:
@@ -34,14 +35,34 @@ class CuckooFilter:
 
     @classmethod
     def of(cls, keys: np.ndarray) -> CuckooFilter:
-        """A filter of the keys, of twice the buckets whenever they don't fit."""
+        """A filter of the keys, of twice the buckets whenever they don't fit. Free places are filled for all keys together; those that find
+        none are added one by one."""
         buckets = max(2, int(len(keys) / (0.84 * cls.SLOTS)))
         while True:
             f = cls(buckets)
-            if all(f.add(k) for k in keys.tolist()):
+            if all(f.add(k) for k in f._fill(keys).tolist()):
                 return f
             buckets = 2 * len(f.table)
 
+    def _fill(self, keys: np.ndarray) -> np.ndarray:
+        """Put keys at their first, then at their second bucket as long as it has room; the keys that are left."""
+        for second in (False, True):
+            mark, a, b = self._all_places(keys)
+            at = b if second else a
+            order = np.argsort(at, kind="stable")
+            at, mark, keys = at[order], mark[order], keys[order]
+            slot = np.arange(len(at)) - np.searchsorted(at, at) + (self.table != 0).sum(axis=1)[at]
+            room = slot < self.SLOTS
+            self.table[at[room], slot[room]] = mark[room]
+            keys = keys[~room]
+        return keys
+
+    def _all_places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        k = keys.view(np.uint64)
+        mark = ((k >> np.uint64(48)) % np.uint64(65535) + np.uint64(1)).astype(np.int64)
+        a = (k & np.uint64(len(self.table) - 1)).astype(np.int64)
+        return mark, a, a ^ (mark * 0x5BD1E995 >> 3 & len(self.table) - 1)
+
     def _places(self, key: int) -> tuple[int, int, int]:
         key &= (1 << 64) - 1
         mark = (key >> 48) % 65535 + 1
@@ -83,12 +104,15 @@ class CuckooFilter:
         return bool((self.table[a] == mark).any() or (self.table[b] == mark).any())
 
     def contains(self, keys: np.ndarray) -> np.ndarray:
-        k = keys.view(np.uint64)
-        mark = ((k >> np.uint64(48)) % np.uint64(65535) + np.uint64(1)).astype(np.int64)
-        a = (k & np.uint64(len(self.table) - 1)).astype(np.int64)
-        b = a ^ (mark * 0x5BD1E995 >> 3 & len(self.table) - 1)
+        mark, a, b = self._all_places(keys)
         return ((self.table[a] == mark[:, None]) | (self.table[b] == mark[:, None])).any(axis=1)
 
+    @classmethod
+    def read(cls, data: bytes) -> CuckooFilter:
+        f = cls(2)
+        f.table = np.frombuffer(data, np.uint16).reshape(-1, cls.SLOTS)
+        return f
+
 
 def line_keys(data: bytes, least: int) -> tuple[list[bytes], list[bytes | None]]:
     """The lines of a text and, for each, the 128-bit hash of its key (stripped, A-Z lower-cased) or None for a
@@ -162,14 +186,12 @@ class LineIndex:
         self.copies, self.least, self.shards, self.key, self.text = copies, least, shards, key, text
 
     @classmethod
-    def build(cls, docs: DataFrame, copies: int = 5, least: int = 40, shards: int = SHARDS, key: str = "doc_id", text: str = "text") -> LineIndex:
-        """The index of a corpus. Rows with a null key hold no references."""
-        return cls._of(references(docs, least, key, text), copies, least, shards, key, text)
-
-    @classmethod
-    def _of(cls, refs: DataFrame, copies: int, least: int, shards: int, key: str, text: str) -> LineIndex:
-        refs = stage(refs, "refs")
+    def build(cls, docs: DataFrame, copies: int = 5, least: int = 40, shards: int | None = None, key: str = "doc_id", text: str = "text") -> LineIndex:
+        """The index of a corpus. Rows with a null key hold no references. Without ``shards`` there are as many as hold ``SHARD_KEYS`` keys each, ``SHARDS`` at least."""
+        refs = stage(references(docs, least, key, text), "refs")
         counts = stage(_count(refs, key), "counts")
+        if shards is None:
+            shards = max(SHARDS, -(-counts.where(F.col("n_docs") >= copies).count() // SHARD_KEYS))
         return cls(refs, counts, stage(_filters(counts, copies, shards), "filters"), copies, least, shards, key, text)
 
     def _changed(self, refs: DataFrame, moved: DataFrame) -> LineIndex:
@@ -180,10 +202,15 @@ class LineIndex:
         mark = lambda c: c.where(F.col("n_docs") >= self.copies).join(touched, ["k1", "k2"], "left_semi").select("k1", F.pmod("k2", F.lit(self.shards)).cast("int").alias("shard"))
         was, now = mark(self.counts), mark(counts)
         steps = now.exceptAll(was).withColumn("add", F.lit(True)).unionByName(was.exceptAll(now).withColumn("add", F.lit(False)))
-        return LineIndex(refs, counts, stage(self._stepped(steps), "filters"), self.copies, self.least, self.shards, self.key, self.text)
+        filters = stage(self._stepped(steps), "filters")
+        lost = filters.where("filter is null").select(F.col("shard").alias("lost"))
+        if not lost.isEmpty():  # at most as many rows as shards
+            anew = _filters(counts.join(F.broadcast(lost), F.pmod("k2", F.lit(self.shards)) == F.col("lost"), "left_semi"), self.copies, self.shards)
+            filters = stage(filters.where("filter is not null").unionByName(anew), "filters")
+        return LineIndex(refs, counts, filters, self.copies, self.least, self.shards, self.key, self.text)
 
     def _stepped(self, steps: DataFrame) -> DataFrame:
-        """Filters with the keys of ``steps`` (shard, k1, add) put in or taken out; a filter that is full is built anew from its shard's counts."""
+        """Filters with the keys of ``steps`` (shard, k1, add) put in or taken out; null for one that is full."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for (shard,), t in cells(batches, ["shard"]):
@@ -191,7 +218,7 @@ class LineIndex:
                 old = next((r["filter"] for r in rows if r["filter"] is not None), None)
                 f = CuckooFilter(2)
                 if old is not None:
-                    f.table = np.frombuffer(old, np.uint16).reshape(-1, CuckooFilter.SLOTS).copy()
+                    f.table = CuckooFilter.read(old).table.copy()
                 fits = True
                 for r in rows:
                     if r["add"] is False:
@@ -216,9 +243,8 @@ class LineIndex:
         return self._changed(stage(self.refs.join(gone, self.key, "left_anti").select(self.refs.columns), "refs"), self.refs.join(gone, self.key, "left_semi"))
 
     def sieve(self, limit: int = BROADCAST_BYTES):
-        """A mask of the hashes that the filters may hold; None if the filters are over ``limit`` bytes together or one is to be built anew."""
-        size, lost = self.filters.agg(F.coalesce(F.sum(F.octet_length("filter")), F.lit(0)), F.coalesce(F.max(F.col("filter").isNull().cast("int")), F.lit(0))).first()
-        if size > limit or lost:
+        """A mask of the hashes that the filters may hold; None if the filters are over ``limit`` bytes together."""
+        if self.filters.agg(F.coalesce(F.sum(F.octet_length("filter")), F.lit(0))).first()[0] > limit:
             return None
         held = self.filters.sparkSession.sparkContext.broadcast({r["shard"]: r["filter"] for r in self.filters.collect()})
         shards = self.shards
@@ -227,16 +253,46 @@ class LineIndex:
             found, shard = np.zeros(len(k), bool), k[:, 1] % shards
             for s in np.unique(shard).tolist():
                 if s in held.value:
-                    f, mine = CuckooFilter(2), np.flatnonzero(shard == s)
-                    f.table = np.frombuffer(held.value[s], np.uint16).reshape(-1, CuckooFilter.SLOTS)
-                    found[mine] = f.contains(np.ascontiguousarray(k[mine, 0]))
+                    mine = np.flatnonzero(shard == s)
+                    found[mine] = CuckooFilter.read(held.value[s]).contains(np.ascontiguousarray(k[mine, 0]))
             return found
 
         return mask
 
-    def doomed(self, docs: DataFrame) -> DataFrame:
-        """(key, gone): for each document the hashes of the line keys that it loses. The filters let through few lines; the exact counts decide."""
-        asked = references(docs, self.least, self.key, self.text, self.sieve()).withColumnRenamed(self.key, "_doc")
+    def _met(self, asked: DataFrame) -> DataFrame:
+        """The rows (k1, k2, _doc) whose key their shard's filter may hold: filters go to ``SALTS`` tasks for each shard, and so do the rows."""
+        kind = asked.schema["_doc"].dataType.simpleString()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, f = None, None
+            for batch in batches:
+                shard, salt = batch.column("shard").to_numpy(), batch.column("salt").to_numpy()
+                cuts = [0, *(np.flatnonzero((np.diff(shard) != 0) | (np.diff(salt) != 0)) + 1).tolist(), batch.num_rows]
+                for a, b in zip(cuts, cuts[1:]):
+                    if a == b:
+                        continue
+                    part, at = batch.slice(a, b - a), (int(shard[a]), int(salt[a]))
+                    if at != now:
+                        now, f = at, None
+                    if part.column("filter")[0].is_valid:  # a filter comes before its rows
+                        f, part = CuckooFilter.read(part.column("filter")[0].as_py()), part.slice(1)
+                    if f is not None and part.num_rows:
+                        kept = f.contains(part.column("k1").to_numpy())
+                        yield part.select(["k1", "k2", "_doc"]).filter(pa.array(kept))
+
+        none = lambda t: F.lit(None).cast(t)
+        head = self.filters.select("shard", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt"), "filter", none("long").alias("k1"), none("long").alias("k2"), none(kind).alias("_doc"))
+        body = asked.select(F.pmod("k2", F.lit(self.shards)).cast("int").alias("shard"), F.pmod(F.xxhash64("_doc"), F.lit(SALTS)).cast("int").alias("salt"), none("binary").alias("filter"), "k1", "k2", "_doc")
+        both = head.unionByName(body).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("filter").isNull())
+        return both.mapInArrow(run, f"k1 long, k2 long, _doc {kind}")
+
+    def doomed(self, docs: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+        """(key, gone): for each document the hashes of the line keys that it loses. The filters let through few lines; the exact counts decide. Filters of
+        up to ``limit`` bytes together are sent to all tasks, else the lines are brought to them."""
+        sieve = self.sieve(limit)
+        asked = references(docs, self.least, self.key, self.text, sieve).withColumnRenamed(self.key, "_doc")
+        if sieve is None:
+            asked = self._met(asked)
         hot = self.counts.where(F.col("n_docs") >= self.copies)
         lost = asked.join(hot, ["k1", "k2"]).where(F.col("_doc") < F.col("keeper")).select("_doc", F.struct("k1", "k2").alias("k")).distinct()
         return lost.groupBy("_doc").agg(F.collect_list("k").alias("gone"))
