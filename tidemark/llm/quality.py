@@ -161,17 +161,16 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, key: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "x", 1 << 20):
             got = [*Batch(part.column("x")).counts()]
-            blobs = [[a.astype(np.uint16).tobytes() for a, _ in got], [np.minimum(n, 65535).astype(np.uint16).tobytes() for _, n in got]]
+            blobs = [[a.astype(np.uint16).tobytes() for a, _ in got], [n.astype(np.uint32).tobytes() for _, n in got]]
             yield pa.RecordBatch.from_arrays([part.column("k"), part.column("y"), *(pa.array(b, pa.binary()) for b in blobs)], names=["k", "y", "at", "n"])
 
     kind = docs.schema[key].dataType.simpleString()
     got = taken.select("k", "y", "x").mapInArrow(run, f"k {kind}, y int, at binary, n binary").orderBy(F.xxhash64("k"), "at", "n").limit(2 * rows).toArrow()
-    whole = lambda b: np.frombuffer(b, np.uint16)
-    return fit([(whole(a).astype(np.int64), whole(n).astype(np.float32)) for a, n in zip(got["at"].to_pylist(), got["n"].to_pylist())], got["y"].to_pylist())
+    return fit([(np.frombuffer(a, np.uint16).astype(np.int64), np.frombuffer(n, np.uint32).astype(np.float32)) for a, n in zip(got["at"].to_pylist(), got["n"].to_pylist())], got["y"].to_pylist())
 
 
-def _scores(docs: DataFrame, model: Model, text: str) -> DataFrame:
-    """All columns of ``docs`` and _score."""
+def _scores(docs: DataFrame, model: Model, text: str, name: str = "_score") -> DataFrame:
+    """All columns of ``docs`` and the score."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 
@@ -179,9 +178,9 @@ def _scores(docs: DataFrame, model: Model, text: str) -> DataFrame:
         m = sent.value
         for part in slices(batches, text, 1 << 20):
             means = Batch(part.column(text)).means(m.vectors)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(m.score(means).astype(float))], names=[*names, "_score"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(m.score(means).astype(float))], names=[*names, name])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _score double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{name}` double"
     return docs.mapInArrow(run, schema)
 
 
@@ -197,5 +196,8 @@ def scored(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, key: str = "d
 
 def good(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """The rows of ``docs`` with a score of 0.3 or more, all their columns."""
-    out = _scores(docs.drop("_score"), learn(docs, labels, rows, key, text, label), text)
-    return out.where(F.col("_score") >= GOOD).drop("_score")
+    name = "_score"
+    while name in docs.columns:
+        name += "_"
+    out = _scores(docs, learn(docs, labels, rows, key, text, label), text, name)
+    return out.where(F.col(name) >= GOOD).drop(name)
