@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import discard, slices, stage, tree_sum
-from tidemark.llm.tokens import _UNSURE, Encoder, Memory, vocabulary
+from tidemark.llm.tokens import _UNSURE, AT_ONCE, Encoder, Memory, vocabulary
 
 #: Most id pairs that two vocabularies may be able to link: 16 bytes each are sent to every worker.
 MOST_PAIRS = 1 << 22
@@ -123,9 +123,11 @@ class Aligner:
     def _learn(self, pieces: list[str]) -> None:
         """Remember new pieces. B gets a piece without its space, which it adds, or behind a line feed."""
         first = lambda x: x[1:] if x.startswith(" ") else f"\n{x}"
-        b = self.b.encode([first(x) for x in pieces], num_threads=1)
-        b = [([self.blank] if x == " " else ids) if x.startswith(" ") else ids[2:] for x, ids in zip(pieces, b)]
-        self.memory.put(pieces, **self._tables(pieces, self.encoder.ids_of(pieces), b))
+        for at in range(0, len(pieces), 4 * AT_ONCE):
+            some = pieces[at : at + 4 * AT_ONCE]
+            b = self.b.encode([first(x) for x in some], num_threads=1)
+            b = [([self.blank] if x == " " else ids) if x.startswith(" ") else ids[2:] for x, ids in zip(some, b)]
+            self.memory.put(some, **self._tables(some, self.encoder.ids_of(some), b))
 
     def pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
         """For a batch: the offsets of each text's pieces, the number of each piece among the distinct ones, their places in the memory,

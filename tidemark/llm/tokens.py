@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces that a worker remembers.
-REMEMBER = 500_000
+#: Pieces that a worker remembers, and pieces that it hands to the library at a time.
+REMEMBER, AT_ONCE = 300_000, 10_000
 #: Texts that are encoded as a whole: the beginning of a special token, which the library takes out first, the cutting mark, and
 #: (if white space makes tokens) blanks in a row or of another kind than spaces and line feeds.
 _UNSURE_DROPPED = r"<\||\x00"
@@ -115,7 +115,12 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def ids_of(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of many pieces in a row, and how many each has: the library gets them joined, and the ids are cut at the mark between them."""
+        """Ids of many pieces in a row, and how many each has."""
+        parts = [self._some(pieces[at : at + AT_ONCE]) for at in range(0, len(pieces), AT_ONCE)]
+        return np.concatenate([np.zeros(0, np.uint32), *(ids for ids, _ in parts)]), np.concatenate([np.zeros(0, np.int64), *(n for _, n in parts)])
+
+    def _some(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for a few: the library gets them joined, and the ids are cut at the mark between them."""
         if self.mark is not None:
             own = [i for i, x in enumerate(pieces) if x in (" ", "\n", "")]
             asked = [*pieces]
