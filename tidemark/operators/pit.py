@@ -2,13 +2,13 @@
 
 As-of lookups are a merge of both sides into one row per (entity, instant) followed by
 a last-seen window over a short time cell, with one carried value per cell. Lookups in
-histories whose intervals do not overlap are as-of lookups too. Only overlapping histories
-compare rows and intervals of one (entity, year), and reduce the candidates with a partial aggregate.
+histories whose intervals do not overlap are as-of lookups too. Overlapping histories are cut into segments that
+instants meet by equality; the candidates are reduced with a partial aggregate.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -157,9 +157,9 @@ def valid_at(
     """Rows joined to every history interval (closed bounds) holding ``at``.
 
     ``disjoint`` says that an entity's intervals do not overlap: then the last one to start is the only candidate, found by an as-of
-    lookup without pairs. Otherwise the interval is cut into calendar years and the year joins the equi key, so a
-    pair is tested only inside one (entity, year). The span of the rows limits the
-    cut of open-ended intervals.
+    lookup without pairs. Otherwise intervals are cut into segments of powers of 2^``RADIX_BITS`` and an instant asks for the segment that it lies in on each
+    level: they meet by equality, once for each interval that holds the instant and never else. The span of the rows
+    limits the cut of open-ended intervals. Equal (by, at) are looked up once.
     """
     by = list(by)
     if disjoint:
@@ -175,27 +175,75 @@ def valid_at(
             cond = cond & (F.col(c) == F.col(f"_k_{c}"))
         joined = rows.join(hit, cond, how)
         return joined.select(*rows.columns, *[F.col(f"_v_{c}").alias(c) for c in history.columns if c not in rows.columns])
-    span = rows.agg(F.min(F.year(at)).alias("_y0"), F.max(F.year(at)).alias("_y1"))
-    cut = history.where(F.col(start) <= F.col(end)).join(F.broadcast(span), F.lit(True)).where(
-        (F.year(start) <= F.col("_y1")) & (F.year(end) >= F.col("_y0"))
-    )
-    cut = cut.withColumn(
-        "_year", F.explode(F.sequence(F.greatest(F.year(start), F.col("_y0")), F.least(F.year(end), F.col("_y1"))))
-    ).drop("_y0", "_y1")
-    left = rows.withColumn("_year", F.year(at)).alias("_r")
-    right = cut.alias("_h")
-    cond = F.col("_r._year") == F.col("_h._year")
-    for c in by:
-        cond = cond & (F.col(f"_r.{c}") == F.col(f"_h.{c}"))
-    cond = cond & (F.col(f"_r.{at}") >= F.col(f"_h.{start}")) & (F.col(f"_r.{at}") <= F.col(f"_h.{end}"))
-    joined = left.join(right, cond, how)
+    points = rows.select(*by, at).where(F.col(at).isNotNull()).distinct()
+    ticks = _ticks([rows.schema[at].dataType, history.schema[start].dataType, history.schema[end].dataType])
+    low, high = points.agg(F.min(ticks(F.col(at))), F.max(ticks(F.col(at)))).first()
+    low, span = (0, 0) if low is None else (low, high - low)
+    levels = max(1, -(-span.bit_length() // RADIX_BITS))
+    place = ticks(F.col(at)) - F.lit(low)
+    dealt = points.withColumn("_s", F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(place, RADIX_BITS * k).alias("at")) for k in range(levels)])))
+    first, last = F.greatest(ticks(F.col(start)) - F.lit(low), F.lit(0).cast("long")), F.least(ticks(F.col(end)) - F.lit(low), F.lit(span).cast("long"))
+    cut = history.where((F.col(start) <= F.col(end)) & (first <= last)).withColumn("_s", F.explode(_segments(first, last, levels)))
+    cut = cut.select("_s", *[F.col(c).alias(f"_h_{c}") for c in history.columns])
+    own = dealt.select("_s", *by, at)
+    pairs = own.join(cut, (own["_s"] == cut["_s"]) & _same(own, cut, by), "inner" if how not in ("left_semi", "left_anti") else "left_semi").drop("_s")
+    pairs = pairs.select(*[F.col(c).alias(f"_k_{c}") for c in (*by, at)], *[c for c in pairs.columns if c.startswith("_h_")])
     if how in ("left_semi", "left_anti"):
-        return joined.select("_r.*").drop("_year")
-    taken = set(rows.columns)
-    return joined.select(
-        *[F.col(f"_r.{c}").alias(c) for c in rows.columns],
-        *[F.col(f"_h.{c}").alias(c) for c in history.columns if c not in taken],
-    )
+        pairs = pairs.distinct()
+    cond = F.lit(True)
+    for c in (*by, at):
+        cond = cond & (rows[c] == pairs[f"_k_{c}"])
+    joined = rows.join(pairs, cond, how)
+    if how in ("left_semi", "left_anti"):
+        return joined.select(*rows.columns)
+    return joined.select(*rows.columns, *[F.col(f"_h_{c}").alias(c) for c in history.columns if c not in rows.columns])
+
+
+#: Bits by which the segments of one level are longer than those below.
+RADIX_BITS = 3
+
+
+def _ticks(kinds: Sequence[T.DataType]) -> Callable[[Column], Column]:
+    """Days if all are dates, else microseconds (of the clock for times without a zone, which no change of summer time disturbs)."""
+    if all(isinstance(k, T.DateType) for k in kinds):
+        return lambda c: F.unix_date(c).cast("long")
+    if not any(isinstance(k, T.TimestampNTZType) for k in kinds):
+        return lambda c: F.unix_micros(c.cast("timestamp"))
+
+    def clock(c: Column) -> Column:
+        c = c.cast("timestamp_ntz")
+        minutes = (F.unix_date(c.cast("date")).cast("long") * 24 + F.hour(c)) * 60 + F.minute(c)
+        return minutes * 60_000_000 + (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("long")
+
+    return clock
+
+
+def _same(left: DataFrame, right: DataFrame, by: Sequence[str]) -> Column:
+    out = F.lit(True)
+    for c in by:
+        out = out & (left[c] == right[f"_h_{c}"])
+    return out
+
+
+def _segments(first: Column, last: Column, levels: int) -> Column:
+    """The segments (level, at) that make up the whole numbers from ``first`` to ``last``: a segment of level k is 2^(RADIX_BITS k) numbers
+    long and begins at a multiple of that. Every number lies in one of them; there are fewer than 2^(RADIX_BITS + 1) on each level."""
+    none = F.array().cast("array<struct<level:int,at:bigint>>")
+    width = 1 << RADIX_BITS
+
+    def run(level: Column, a: Column, b: Column) -> Column:
+        return F.when(b > a, F.transform(F.sequence(a, b - 1), lambda i: F.struct(level.alias("level"), i.alias("at")))).otherwise(none)
+
+    def step(held: Column, level: Column) -> Column:
+        a, b = held["a"], held["b"]
+        up, down = F.shiftright(a + F.lit(width - 1), RADIX_BITS), F.shiftright(b, RADIX_BITS)
+        top = (up >= down) | (level == levels - 1)
+        own = F.when(top, run(level, a, b)).otherwise(F.concat(run(level, a, up * width), run(level, down * width, b)))
+        zero = F.lit(0).cast("long")
+        return F.struct(F.when(top, zero).otherwise(up).alias("a"), F.when(top, zero).otherwise(down).alias("b"), F.concat(held["out"], own).alias("out"))
+
+    start = F.struct(first.cast("long").alias("a"), (last + 1).cast("long").alias("b"), none.alias("out"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(levels - 1)), start, step, lambda held: held["out"])
 
 
 def best_valid(
