@@ -106,11 +106,13 @@ def op3_sql() -> str:
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 f AS ({found}),
-c AS (SELECT r, st, v FROM f WHERE k = 9 AND regexp_matches(v, '[0-9]') AND NOT regexp_full_match(v, {quoted(secrets.ALLOW[0])}) AND NOT regexp_full_match(v, {quoted(secrets.ALLOW[1])})),
+c0 AS (SELECT r, st, string_split_regex(v, {quoted(secrets.PIECE)}) AS gaps, regexp_extract_all(v, {quoted(secrets.PIECE)}) AS hits FROM f WHERE k = 9 AND regexp_matches(v, '[0-9]') AND NOT regexp_full_match(v, {quoted(secrets.ALLOW[0])}) AND v <> repeat(v[1], length(v))),
+c AS (SELECT r, st, array_to_string(list_transform(range(len(gaps)), lambda i: gaps[i + 1] || CASE WHEN hits[i + 1] IS NULL THEN '' WHEN regexp_matches(hits[i + 1], {quoted(secrets.ALLOW_WORDS)}) THEN repeat('=', length(hits[i + 1])) ELSE hits[i + 1] END), '') AS v FROM c0),
 x AS (SELECT r, st, a, substr(v, a + 1, {n}) AS x FROM (SELECT r, st, v, unnest(range(length(v) - {n - 1})) AS a FROM c)),
 h AS (SELECT r, st, a, any_value(x) AS x, sum({weights}[n + 1]) AS weight FROM (SELECT r, st, a, x, ch, count(*) AS n FROM (SELECT r, st, a, x, unnest(string_split(x, '')) AS ch FROM x) GROUP BY ALL) GROUP BY 1, 2, 3),
 hot AS (SELECT r, st, a, CASE WHEN regexp_full_match(x, '[0-9a-fA-F]+') THEN CASE WHEN regexp_matches(x, '[a-fA-F]') AND weight <= {secrets.most_weight(secrets.HEX_BITS)} THEN 3 END
-    WHEN regexp_matches(x, '[A-Z]') AND regexp_matches(x, '[a-z]') AND weight <= {secrets.most_weight(secrets.BASE64_BITS)} THEN 4 END AS k FROM h WHERE regexp_matches(x, '[0-9]')),
+    WHEN regexp_matches(x, '[A-Z]') AND regexp_matches(x, '[a-z]') THEN CASE WHEN weight <= {secrets.most_weight(secrets.BASE64_BITS)} THEN 4 END
+    WHEN (regexp_full_match(x, '[0-9a-z]+') OR regexp_full_match(x, '[0-9A-Z]+')) AND length(regexp_replace(x, '[^0-9]', '', 'g')) >= {secrets.ONE_CASE_DIGITS} AND regexp_matches(x, '[A-Za-z]') AND weight <= {secrets.most_weight(secrets.ONE_CASE_BITS)} THEN 5 END AS k FROM h WHERE regexp_matches(x, '[0-9]')),
 j AS (SELECT *, CASE WHEN a - lag(a) OVER w <= {n} THEN 0 ELSE 1 END AS fresh FROM hot WHERE k IS NOT NULL WINDOW w AS (PARTITION BY r, st, k ORDER BY a)),
 e AS (SELECT r, k, st + min(a) AS st, st + max(a) + {n} AS en FROM (SELECT *, sum(fresh) OVER (PARTITION BY r, st, k ORDER BY a) AS island FROM j) GROUP BY r, st, k, island),
 s AS (SELECT r, k, st, en FROM f WHERE k < 9 UNION ALL SELECT r, k, st, en FROM e),

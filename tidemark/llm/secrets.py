@@ -1,7 +1,7 @@
 """Secret scan with DataFrame functions only: fixed patterns and sliding-window entropy.
 
 Places count code points, ends are exclusive. Kinds, in the order used for ties: assign, access, hex (patterns), then
-entropy_hex and entropy_base64 (windows of high Shannon entropy in candidate strings).
+entropy_hex, entropy_base64 and entropy_one_case (windows of high Shannon entropy in candidate strings).
 """
 
 from __future__ import annotations
@@ -16,19 +16,22 @@ ASSIGN = r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd])|(?:[Pp][Aa][Ss][Ss][Ww][Dd])|
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 LEAST_VALUE = 8
-KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
+KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64", "entropy_one_case")
 
 #: Candidate strings: whole runs of these characters, of one window's length at least.
 WINDOW = 20
 CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{WINDOW},}}+"
-#: Least entropy (bits per character) of a window of hex digits and of one of the base64 characters.
-HEX_BITS, BASE64_BITS = 3.0, 3.9
-#: Candidates that match one of these as a whole are harmless: UUIDs, example keys, runs of one repeated sign, alphabets.
+#: Least entropy (bits per character) of a window of hex digits, of one with letters of both cases, and of one of digits and letters of one case without
+#: other signs; least digits of the last.
+HEX_BITS, BASE64_BITS, ONE_CASE_BITS, ONE_CASE_DIGITS = 3.0, 3.9, 3.6, 3
+#: Candidates that match one of these as a whole are harmless: UUIDs, runs of one repeated sign.
 ALLOW = (
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
-    r".*(EXAMPLE|example|PLACEHOLDER|placeholder|0123456789abcdef|0123456789ABCDEF|abcdefghijklmnop|ABCDEFGHIJKLMNOP).*",
     r"(.)\1*",
 )
+#: Pieces of letters and digits in a candidate that hold one of these are harmless: their characters count as ``=``, what stands beside them does not.
+ALLOW_WORDS = r"EXAMPLE|example|PLACEHOLDER|placeholder|0123456789abcdef|0123456789ABCDEF|abcdefghijklmnop|ABCDEFGHIJKLMNOP"
+PIECE = "[A-Za-z0-9]+"
 #: Entropy is kept in whole units of 2^-20 bits, so that steps in and out of a window cancel exactly.
 UNIT = 1 << 20
 _WEIGHT = [0] + [round(c * math.log2(c) * UNIT) for c in range(1, WINDOW + 1)]
@@ -77,8 +80,8 @@ def windows(candidate: Column, start: Column) -> Column:
     """array<struct<s,k,e>>: spans covered by a candidate's windows of high entropy, for each class of characters.
 
     One pass over the characters: the counts of a window and the sum of c*log2(c) change by the character that comes in and the
-    one that goes out. A window of hex digits needs a digit and a letter; any other needs a digit and letters of both
-    cases. Windows that overlap or touch are one span."""
+    one that goes out. A window of hex digits needs a digit and a letter; any other needs a digit and letters of both cases, or
+    ``ONE_CASE_DIGITS`` digits, letters of one case and no other sign. Windows of a kind that overlap or touch are one span."""
     code = F.transform(F.split(candidate, ""), F.ascii)
     weight = F.array(*[F.lit(w).cast("long") for w in _WEIGHT])
     digit = lambda c: c.between(48, 57)
@@ -92,7 +95,7 @@ def windows(candidate: Column, start: Column) -> Column:
     def scan(codes: Column, weights: Column) -> Column:
         zero = F.struct(
             F.transform(F.sequence(F.lit(0), F.lit(127)), lambda _: F.lit(0)).alias("counts"), F.lit(0).cast("long").alias("sum"),
-            *[F.lit(0).alias(n) for n in tests], *[F.lit(-1).alias(n) for n in ("s3", "e3", "s4", "e4")], _none().alias("out"),
+            *[F.lit(0).alias(n) for n in tests], *[F.lit(-1).alias(n) for n in ("s3", "e3", "s4", "e4", "s5", "e5")], _none().alias("out"),
         )
 
         def step(acc: Column, i: Column) -> Column:
@@ -110,9 +113,11 @@ def windows(candidate: Column, start: Column) -> Column:
                 is_hex = x["other"] == 0
                 hot3 = whole & is_hex & mixed & (x["digits"] < WINDOW) & (x["sum"] <= most_weight(HEX_BITS))
                 hot4 = whole & ~is_hex & mixed & (x["uppers"] > 0) & (x["lowers"] > 0) & (x["sum"] <= most_weight(BASE64_BITS))
+                one_case = (x["uppers"] == 0) != (x["lowers"] == 0)
+                hot5 = whole & ~is_hex & one_case & (x["digits"] >= ONE_CASE_DIGITS) & (x["digits"] + x["uppers"] + x["lowers"] == WINDOW) & (x["sum"] <= most_weight(ONE_CASE_BITS))
                 a, e = i - (WINDOW - 1), i + 1
                 fields, closed = [], [acc["out"]]
-                for k, hot, s0, e0 in ((3, hot3, acc["s3"], acc["e3"]), (4, hot4, acc["s4"], acc["e4"])):
+                for k, hot, s0, e0 in ((k, hot, acc[f"s{k}"], acc[f"e{k}"]) for k, hot in ((3, hot3), (4, hot4), (5, hot5))):
                     fresh = hot & ((s0 < 0) | (a > e0))
                     fields += [F.when(fresh, a).otherwise(s0).alias(f"s{k}"), F.when(hot, e).otherwise(e0).alias(f"e{k}")]
                     closed.append(F.when(fresh & (s0 >= 0), F.array(span(s0, k, e0))).otherwise(_none()))
@@ -121,19 +126,27 @@ def windows(candidate: Column, start: Column) -> Column:
             return _let(first, settle)
 
         def finish(acc: Column) -> Column:
-            return F.concat(acc["out"], *[F.when(acc[f"s{k}"] >= 0, F.array(span(acc[f"s{k}"], k, acc[f"e{k}"]))).otherwise(_none()) for k in (3, 4)])
+            return F.concat(acc["out"], *[F.when(acc[f"s{k}"] >= 0, F.array(span(acc[f"s{k}"], k, acc[f"e{k}"]))).otherwise(_none()) for k in (3, 4, 5)])
 
         return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), zero, step, finish)
 
     return _let(code, lambda codes: _let(weight, lambda weights: scan(codes, weights)))
 
 
+def _harmless_out(candidate: Column) -> Column:
+    """The candidate with ``=`` for every character of a piece that holds an allowed word; its length stays."""
+    between, found = F.split(candidate, PIECE, -1), F.regexp_extract_all(candidate, F.lit(PIECE), F.lit(0))
+    written = F.transform(found, lambda x: F.when(F.rlike(x, F.lit(ALLOW_WORDS)), F.repeat(F.lit("="), F.length(x))).otherwise(x))
+    rebuilt = F.array_join(F.zip_with(between, written, lambda g, x: F.concat(g, F.coalesce(x, F.lit("")))), "")
+    return F.when(F.rlike(candidate, F.lit(ALLOW_WORDS)), rebuilt).otherwise(candidate)
+
+
 def _entropy(text: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
     both = F.zip_with(found, _places(text, CANDIDATE), lambda c, p: F.struct(c.alias("c"), p["s"].alias("s")))
-    allowed = lambda c: F.rlike(c, F.lit(r"\A(?:" + "|".join(ALLOW[:2]) + r"|(.)\2*)\z"))
+    allowed = lambda c: F.rlike(c, F.lit(r"\A(?:" + "|".join(ALLOW) + r")\z"))
     suspect = F.filter(both, lambda x: ~allowed(x["c"]) & F.rlike(x["c"], F.lit("[0-9]")))
-    return F.flatten(F.transform(suspect, lambda x: windows(x["c"], x["s"])))
+    return F.flatten(F.transform(suspect, lambda x: windows(_harmless_out(x["c"]), x["s"])))
 
 
 def _written(spans: Column) -> Column:
