@@ -48,9 +48,10 @@ def discard(*staged: DataFrame) -> None:
 FAN = 16
 
 
-def tree_sum(parts: DataFrame, kind: type) -> np.ndarray:
+def tree_sum(parts: DataFrame, kind: type, finish: Callable[[np.ndarray], np.ndarray] = lambda v: v) -> np.ndarray | None:
     """The sum of dense vectors of one length: ``parts`` gives them as binary column ``v``, one at most for each of its partitions. ``FAN`` of them are added in
-    a task, then ``FAN`` of those sums, until one is left, which reaches the driver (the caller bounds its length)."""
+    a task, then ``FAN`` of those sums, until one is left; what ``finish`` makes of it in its task reaches the driver (the caller bounds its length). None without
+    vectors."""
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -73,10 +74,16 @@ def tree_sum(parts: DataFrame, kind: type) -> np.ndarray:
     while nodes > 1:
         nodes = -(-nodes // FAN)
         tree = tree.repartition(nodes, F.expr(f"node div {FAN}")).mapInArrow(add, schema)
-    summed = stage(tree, "sum")
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for v in batch.column("v"):
+                out = finish(np.frombuffer(v.as_buffer(), kind))
+                yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary()), pa.array([out.dtype.str])], names=["v", "kind"])
+
+    summed = stage(tree.mapInArrow(finished, "v binary, kind string"), "sum")
     rows = summed.collect()  # one vector
     discard(summed)
-    return np.frombuffer(rows[0]["v"], kind) if rows else np.zeros(0, kind)
+    return np.frombuffer(rows[0]["v"], rows[0]["kind"]) if rows else None
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -275,7 +275,8 @@ def _summed(found: DataFrame, sent) -> np.ndarray:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
 
-    return tree_sum(found.mapInArrow(dense, "v binary"), np.int64)
+    total = tree_sum(found.mapInArrow(dense, "v binary"), np.int64)
+    return np.zeros(0, np.int64) if total is None else total
 
 
 class PairCounts:
