@@ -232,6 +232,40 @@ def test_nearest_is_exact_with_many_chunks(spark):
         assert sorted(got[i]) == pytest.approx(sorted(full[i])[:5])
 
 
+@pytest.mark.parametrize("leaf,piece,lane", [(1000, 4000, 20_000), (20, 7, 30), (1, 4000, 20_000)])
+def test_nearest_over_a_split_tree(spark, monkeypatch, leaf, piece, lane):
+    """Small leaves, leaves cut into pieces, groups cut into lanes; clusters, equal points and a constant dimension."""
+    monkeypatch.setattr(K, "PIECE_ROWS", piece)
+    monkeypatch.setattr(K, "VISITS_PER_GROUP", lane)
+    pts = np.concatenate([RNG.normal(size=(150, 4)), np.repeat(RNG.normal(size=(1, 4)), 40, axis=0), RNG.normal(size=(60, 4)) * 1e-3 + 5])
+    pts[:, 3] = 2.0
+    df = spark.createDataFrame([(3 * i - 7, *map(float, p)) for i, p in enumerate(pts)], "k long, a double, b double, c double, d double").repartition(5)
+    got = {}
+    for r in K.nearest(df, "k", ["a", "b", "c", "d"], 5, chunk_rows=leaf).orderBy("key", "rank").collect():
+        got.setdefault(r.key, []).append((r.neighbour, r.distance))
+    full = np.sqrt(((pts[:, None] - pts[None]) ** 2).sum(2))
+    np.fill_diagonal(full, np.inf)
+    for i in range(len(pts)):
+        want = sorted(zip(full[i], range(len(pts))))[:5]
+        assert [d for _, d in got[3 * i - 7]] == pytest.approx([d for d, _ in want], abs=1e-15)
+        ties = [d for d, _ in sorted(zip(full[i], range(len(pts))))[4:6]]
+        if abs(ties[0] - ties[1]) > 1e-12 and len({round(d, 12) for d, _ in want}) == 5:
+            assert [k for k, _ in got[3 * i - 7]] == [3 * j - 7 for _, j in want]
+
+
+def test_nearest_of_few_rows(spark):
+    df = spark.createDataFrame([(1, 0.0), (2, 3.0), (3, 1.0)], "k long, a double")
+    got = sorted((r.key, r.rank, r.neighbour, r.distance) for r in K.nearest(df, "k", ["a"], 5).collect())
+    assert got == [(1, 1, 3, 1.0), (1, 2, 2, 3.0), (2, 1, 3, 2.0), (2, 2, 1, 3.0), (3, 1, 1, 1.0), (3, 2, 2, 2.0)]
+    assert K.nearest(df.where("k > 9"), "k", ["a"], 5).count() == 0
+
+
+def test_declared_binaries_are_checked(spark):
+    df = spark.createDataFrame([(i, int(i < 5), float(i), 0.5 if i == 7 else 1.0) for i in range(20)], "k long, y int, a double, b double")
+    with pytest.raises(ValueError, match="b"):
+        K.synthetic_minority(df, "k", "y", ["a", "b"], ["b"])
+
+
 def test_synthetic_rows_reach_parity(spark):
     data = [(i, int(i < 12), float(RNG.normal()), float(i % 2)) for i in range(60)]
     df = spark.createDataFrame(data, "k long, y int, a double, b double")
