@@ -48,39 +48,34 @@ def discard(*staged: DataFrame) -> None:
 FAN = 16
 
 
-def tree_sum(parts: DataFrame, kind: type, finish: Callable[[np.ndarray], np.ndarray] = lambda v: v) -> np.ndarray | None:
-    """The sum of dense vectors of one length: ``parts`` gives them as binary column ``v``, one at most for each of its partitions. ``FAN`` of them are added in
-    a task, then ``FAN`` of those sums, until one is left; what ``finish`` makes of it in its task reaches the driver (the caller bounds its length). None without
-    vectors."""
-
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+def vector_row(v: np.ndarray) -> pa.RecordBatch:
+    """A task's vector for ``tree_sum``, under the number of its partition."""
+    from pyspark import TaskContext
 
-        at = TaskContext.get().partitionId()
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([at] * batch.num_rows, pa.int64()), batch.column("v")], names=["node", "v"])
+    return pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([v.tobytes()], pa.binary())], names=["node", "v"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for node, v in zip(batch.column("node").to_pylist(), batch.column("v")):
-                v = np.frombuffer(v.as_buffer(), kind)
-                held[node // FAN] = held[node // FAN] + v if node // FAN in held else v
-        for node, v in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([node], pa.int64()), pa.array([v.tobytes()], pa.binary())], names=["node", "v"])
 
-    schema = "node long, v binary"
-    tree, nodes = parts.select("v").mapInArrow(numbered, schema), max(2, parts.rdd.getNumPartitions())
+def tree_sum(parts: DataFrame, kind: type, finish: Callable[[np.ndarray], np.ndarray] = lambda v: v) -> np.ndarray | None:
+    """The sum of dense vectors of one length: ``parts`` (node long, v binary) holds a ``vector_row`` at most for each of its partitions. ``FAN`` of them are added in
+    a task, then ``FAN`` of those sums, until one is left; what ``finish`` makes of it in its task reaches the driver (the caller bounds its length). None without
+    vectors."""
+    nodes = max(2, parts.rdd.getNumPartitions())
+    tree = parts
     while nodes > 1:
         nodes = -(-nodes // FAN)
-        tree = tree.repartition(nodes, F.expr(f"node div {FAN}")).mapInArrow(add, schema)
-    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for v in batch.column("v"):
-                out = finish(np.frombuffer(v.as_buffer(), kind))
-                yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary()), pa.array([out.dtype.str])], names=["v", "kind"])
-
-    summed = stage(tree.mapInArrow(finished, "v binary, kind string"), "sum")
+
+        def add(batches: Iterator[pa.RecordBatch], last: bool = nodes == 1) -> Iterator[pa.RecordBatch]:
+            held: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for node, v in zip(batch.column("node").to_pylist(), batch.column("v")):
+                    v = np.frombuffer(v.as_buffer(), kind)
+                    held[node // FAN] = held[node // FAN] + v if node // FAN in held else v
+            for node, v in held.items():
+                v = finish(v) if last else v
+                yield pa.RecordBatch.from_arrays([pa.array([node], pa.int64()), pa.array([v.tobytes()], pa.binary()), pa.array([v.dtype.str])], names=["node", "v", "kind"])
+
+        tree = tree.repartition(nodes, F.expr(f"node div {FAN}")).mapInArrow(add, "node long, v binary, kind string")
+    summed = stage(tree, "sum")
     rows = summed.collect()  # one vector
     discard(summed)
     return np.frombuffer(rows[0]["v"], rows[0]["kind"]) if rows else None

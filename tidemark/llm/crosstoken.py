@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, slices, stage, tree_sum
+from tidemark.llm.common import discard, slices, stage, tree_sum, vector_row
 from tidemark.llm.tokens import _UNSURE, AT_ONCE, Encoder, Memory, vocabulary
 
 #: Most id pairs that two vocabularies may be able to link: 16 bytes each are sent to every worker.
@@ -273,9 +273,9 @@ def _summed(found: DataFrame, sent) -> np.ndarray:
                 total = np.zeros(len(pairs.keys), np.int64) if total is None else total
                 total[slot] += counts.values.to_numpy()
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
+            yield vector_row(total)
 
-    total = tree_sum(found.mapInArrow(dense, "v binary"), np.int64)
+    total = tree_sum(found.mapInArrow(dense, "node long, v binary"), np.int64)
     return np.zeros(0, np.int64) if total is None else total
 
 
