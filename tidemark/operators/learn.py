@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from tidemark.functions.expr import draw_hash, unit_hash
 from tidemark.operators import metrics as M
 from tidemark.operators.guards import content_hash
-from tidemark.operators.inference import multiplicities
 from tidemark.operators.ranks import percentile_columns
 from tidemark.operators.splits import hash_rank
 from tidemark.sources.tables import fitted, staged
@@ -181,18 +180,24 @@ def search(
     return table.groupBy("candidate").agg(F.avg("ap").alias("mean_ap"), F.count("*").alias("n_folds"))
 
 
-def run_variants(variants: dict[str, tuple[DataFrame, Sequence[str]]], learners: dict[str, Callable], y: str = "y") -> DataFrame:
+def run_variants(variants: dict[str, tuple[DataFrame, Sequence[str]]], learners: dict[str, Callable], y: str = "y", threads: int = 4) -> DataFrame:
     """Refit under data variants: name -> (frame with split column, features). Returns one
-    long metric table keyed by (variant, model)."""
-    out = None
-    for name, (df, features) in variants.items():
-        for model_name, fit in learners.items():
-            model = fit(df.where("split = 'train'"), features, y=y)
-            tag = lambda split: score(model, df.where(F.col("split") == split), features, model_name).select(
-                F.lit(name).alias("variant"), "model", F.col(y).alias("y"), "score"
-            )
-            one = fitted(evaluate(tag("val"), tag("test"), ["variant", "model"]))  # one row
-            out = one if out is None else out.unionByName(one)
+    long metric table keyed by (variant, model). Refits run on driver threads, each one a distributed job."""
+
+    def one(job: tuple[str, str]) -> DataFrame:
+        name, model_name = job
+        df, features = variants[name]
+        model = learners[model_name](df.where("split = 'train'"), features, y=y)
+        tag = lambda split: score(model, df.where(F.col("split") == split), features, model_name).select(
+            F.lit(name).alias("variant"), "model", F.col(y).alias("y"), "score"
+        )
+        return fitted(evaluate(tag("val"), tag("test"), ["variant", "model"]))  # one row
+
+    with ThreadPoolExecutor(threads) as pool:
+        parts = [*pool.map(one, [(v, m) for v in variants for m in learners])]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out
 
 
@@ -227,27 +232,6 @@ def sampled_shapley(
     return out.groupBy(*keys, "feature").agg(F.avg("g").alias("attr"), (F.stddev_samp("g") / F.sqrt(F.count("*"))).alias("mc_error"))
 
 
-def refit_stability(train: DataFrame, features, entity: str, fit: Callable[..., PipelineModel], reps: int, y: str = "y", seed: int | str = 42) -> DataFrame:
-    """Feature importance ranks over refits on block-resampled weights."""
-    spark = train.sparkSession
-    weights = multiplicities(train, entity, reps, seed).persist()
-    train = train.persist()
-    rows = []
-    for rep in range(reps):
-        w = weights.where(F.col("rep") == rep).select(entity, F.col("w").cast("double").alias("bw"))
-        model = fit(train.join(w, entity), features, y=y, weighted="bw")
-        imp = model.stages[-1].featureImportances.toArray()
-        rank = pd.Series(-imp).rank(method="min").astype(int)
-        rows += [(rep, f, float(v), int(k)) for f, v, k in zip(features, imp, rank)]
-    weights.unpersist()
-    train.unpersist()
-    draws = spark.createDataFrame(rows, "rep int, feature string, importance double, rank int")
-    cut = F.percentile("rank", F.array(F.lit(0.025), F.lit(0.975)))
-    return draws.groupBy("feature").agg(
-        F.avg("rank").alias("mean_rank"), cut[0].alias("rank_lower"), cut[1].alias("rank_upper"), F.avg("importance").alias("mean_importance")
-    )
-
-
 def local_surrogate(model: PipelineModel, cases: DataFrame, stats: dict[str, tuple[float, float]], keys: Sequence[str], features: Sequence[str], n: int = 500, seed: int | str = 42) -> DataFrame:
     """Weighted local linear fit per chosen row.
 

@@ -108,12 +108,15 @@ def q_disjoint_entities(spark, d):
     return S.contaminated_design(R.panel(spark, d).select("entity", "fyear"), "entity", "fyear", 2000)
 
 
-@BOOK.query(P + f""", p AS (SELECT entity, fyear FROM panel), t AS (SELECT * FROM p WHERE fyear<=1997), v AS (SELECT * FROM p WHERE fyear=1998), rr AS (SELECT * FROM p WHERE fyear>=2001),
+ARMS_SQL = P + f""", p AS (SELECT entity, fyear FROM panel), t AS (SELECT * FROM p WHERE fyear<=1997), v AS (SELECT * FROM p WHERE fyear=1998), rr AS (SELECT * FROM p WHERE fyear>=2001),
 rd AS (SELECT * FROM rr WHERE entity NOT IN (SELECT entity FROM p WHERE fyear BETWEEN 1999 AND 2000)), k AS (SELECT least((SELECT count(*) FROM rd),(SELECT count(*) FROM v)) AS k),
 rs AS (SELECT entity, fyear FROM (SELECT *, row_number() OVER (ORDER BY {hash_sql(42, 'entity', 'fyear')}, entity, fyear) AS rk FROM rr), k WHERE rk<=k),
 vs AS (SELECT entity, fyear FROM (SELECT *, row_number() OVER (ORDER BY {hash_sql(42, 'entity', 'fyear')}, entity, fyear) AS rk FROM v), k WHERE rk<=k)
 SELECT a AS arm, 'T' AS block, entity, fyear FROM t, (SELECT unnest(['chronological','future_all','future_firm_disjoint','future_matched','recent_past_matched']) AS a)
-UNION ALL SELECT 'future_all','R',* FROM rr UNION ALL SELECT 'future_firm_disjoint','R',* FROM rd UNION ALL SELECT 'future_matched','R',* FROM rs UNION ALL SELECT 'recent_past_matched','V',* FROM vs""")
+UNION ALL SELECT 'future_all','R',* FROM rr UNION ALL SELECT 'future_firm_disjoint','R',* FROM rd UNION ALL SELECT 'future_matched','R',* FROM rs UNION ALL SELECT 'recent_past_matched','V',* FROM vs"""
+
+
+@BOOK.query(ARMS_SQL)
 def q_arms(spark, d):
     return S.arms(R.panel(spark, d).select("entity", "fyear"), "entity", "fyear", 1997, (1998, 1998), (1999, 2000), 2001)
 
