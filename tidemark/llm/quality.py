@@ -195,9 +195,6 @@ def scored(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, key: str = "d
 
 
 def good(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
-    """The rows of ``docs`` with a score of 0.3 or more, all their columns."""
-    name = "_score"
-    while name in docs.columns:
-        name += "_"
-    out = _scores(docs, learn(docs, labels, rows, key, text, label), text, name)
-    return out.where(F.col(name) >= GOOD).drop(name)
+    """The rows of ``docs`` with a score of 0.3 or more, all their columns but one named _score, which is dropped."""
+    out = _scores(docs.drop("_score"), learn(docs, labels, rows, key, text, label), text)
+    return out.where(F.col("_score") >= GOOD).drop("_score")
