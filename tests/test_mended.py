@@ -173,3 +173,18 @@ def test_oversampling_reaches_exact_parity(spark):
     per = [r["count"] for r in L.oversample(df, ["k"]).where("y = 1").groupBy("k").count().collect()]
     assert sorted(per) == [7, 7, 7, 8, 8, 8, 8]
     assert L.oversample(df.where("y = 0"), ["k"]).count() == 53
+
+
+@pytest.mark.parametrize("how", ["left", "left_semi"])
+@pytest.mark.parametrize("disjoint", [False, True])
+def test_histories_are_never_sent_whole(spark, how, disjoint):
+    """However small the planner takes them for: intervals are cut into segments that it does not count."""
+    day = dt.date
+    rows = spark.createDataFrame([(1, day(2001, 2, 1)), (2, day(2001, 2, 1))], "id long, at date")
+    known = spark.createDataFrame([(1, day(2001, 1, 1), day(2001, 3, 1), "a")], "id long, lo date, hi date, v string")
+    got = pit.valid_at(rows, known, ["id"], "at", "lo", "hi", how, disjoint)
+    assert sorted(r.id for r in got.collect()) == ([1, 2] if how == "left" else [1])
+    best = pit.best_valid(rows, known, ["id"], "at", "lo", "hi", ["id"], [F.col("lo")], ["v"], disjoint=disjoint)
+    assert {r.id: r.v for r in best.collect()} == {1: "a", 2: None}
+    for df in (got, best):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()

@@ -25,6 +25,12 @@ def time_cell(df: DataFrame, col: str) -> Column:
     return (days.cast("long") * 1440 + F.hour(col) * 60 + F.minute(col)).cast("long")
 
 
+def _met(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the rows, brought together by its keys. The planner does not see how many segments an interval is cut
+    into, or how much a hash table takes, and would collect such a side on the driver to send all of it to every task."""
+    return df.hint("merge")
+
+
 def nearest_event(
     anchors: DataFrame,
     events: DataFrame,
@@ -65,7 +71,7 @@ def nearest_event(
     across = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     carried = per_cell.select(*by, "_slot", *[F.last(f"_cell{n}", ignorenulls=True).over(across).alias(f"_carry{n}") for n in hits])
     near = merged.withColumns({f"_near{n}": F.last(f"_hit{n}", ignorenulls=True).over(inside) for n in hits})
-    found = near.where("_is_anchor = 1").join(carried, [*by, "_slot"])
+    found = near.where("_is_anchor = 1").join(_met(carried), [*by, "_slot"])
     found = found.withColumns({f"_best{n}": F.coalesce(f"_near{n}", f"_carry{n}") for n in hits})
     return found.select(
         *by, F.col("_t").alias(at), F.col("_best.t").alias(when), *[F.col(f"_best.{c}").alias(c) for c in payload],
@@ -96,7 +102,7 @@ def forward_label(
     cond = F.col(f"_r.{anchor}") == F.col(f"_e.{anchor}")
     for c in by:
         cond = cond & (F.col(f"_r.{c}") == F.col(f"_e.{c}"))
-    joined = rows.alias("_r").join(nxt.alias("_e"), cond, "left")
+    joined = rows.alias("_r").join(_met(nxt.alias("_e")), cond, "left")
     return joined.select(
         "_r.*",
         F.coalesce(inside, F.lit(False)).cast("int").alias(label),
@@ -133,10 +139,10 @@ def unique_forward_label(
     took = [F.min(when).alias(when)]
     if code:
         codes = events.where(F.col(when).isNotNull()).groupBy(*by, when).agg(F.min(code).alias(code))
-        reached = reached.join(codes, [*by, when])
+        reached = reached.join(_met(codes), [*by, when])
         took.append(F.min(F.when(F.col(code).isNotNull(), F.struct(when, code)))[code].alias(code))
     first = reached.groupBy(*by, anchor, *row_key).agg(*took)
-    joined = rows.join(first, [*by, anchor, *row_key], "left")
+    joined = rows.join(_met(first), [*by, anchor, *row_key], "left")
     return joined.withColumn(label, F.col(when).isNotNull().cast("int"))
 
 
@@ -168,12 +174,12 @@ def valid_at(
         last = nearest_event(rows, known, by, at, "_start", [f"_h_{c}" for c in rest], forward=False, keep="max")
         hit = last.where(F.col("_start").isNotNull() & (F.col(at) <= F.col(f"_h_{end}")))
         if how in ("left_semi", "left_anti"):
-            return rows.join(hit.select(*by, at), [*by, at], how).select(*rows.columns)
+            return rows.join(_met(hit.select(*by, at)), [*by, at], how).select(*rows.columns)
         hit = hit.select(*[F.col(c).alias(f"_k_{c}") for c in (*by, at)], *[F.col("_start" if c == start else f"_h_{c}").alias(f"_v_{c}") for c in (start, *rest)])
         cond = F.lit(True)
         for c in (*by, at):
             cond = cond & (F.col(c) == F.col(f"_k_{c}"))
-        joined = rows.join(hit, cond, how)
+        joined = rows.join(_met(hit), cond, how)
         return joined.select(*rows.columns, *[F.col(f"_v_{c}").alias(c) for c in history.columns if c not in rows.columns])
     points = rows.select(*by, at).where(F.col(at).isNotNull()).distinct()
     ticks = _ticks([rows.schema[at].dataType, history.schema[start].dataType, history.schema[end].dataType])
@@ -186,14 +192,14 @@ def valid_at(
     cut = history.where((F.col(start) <= F.col(end)) & (first <= last)).withColumn("_s", F.explode(_segments(first, last, levels)))
     cut = cut.select("_s", *[F.col(c).alias(f"_h_{c}") for c in history.columns])
     own = dealt.select("_s", *by, at)
-    pairs = own.join(cut, (own["_s"] == cut["_s"]) & _same(own, cut, by), "inner" if how not in ("left_semi", "left_anti") else "left_semi").drop("_s")
+    pairs = own.join(_met(cut), (own["_s"] == cut["_s"]) & _same(own, cut, by), "inner" if how not in ("left_semi", "left_anti") else "left_semi").drop("_s")
     pairs = pairs.select(*[F.col(c).alias(f"_k_{c}") for c in (*by, at)], *[c for c in pairs.columns if c.startswith("_h_")])
     if how in ("left_semi", "left_anti"):
         pairs = pairs.distinct()
     cond = F.lit(True)
     for c in (*by, at):
         cond = cond & (rows[c] == pairs[f"_k_{c}"])
-    joined = rows.join(pairs, cond, how)
+    joined = rows.join(_met(pairs), cond, how)
     if how in ("left_semi", "left_anti"):
         return joined.select(*rows.columns)
     return joined.select(*rows.columns, *[F.col(f"_h_{c}").alias(c) for c in history.columns if c not in rows.columns])
@@ -269,4 +275,4 @@ def best_valid(
     best = pairs.groupBy(*row_key).agg(F.min(ranked).alias("_b")).select(
         *row_key, *[F.col(f"_b.{c}").alias(c) for c in take]
     )
-    return rows.join(best, list(row_key), how)
+    return rows.join(_met(best), list(row_key), how)
