@@ -31,13 +31,14 @@ def build_panel(
     base = statements.where(
         FL.outside_ranges("sic", profile.excluded_codes) & (F.col("ta") > 0) & F.col("fyear").between(profile.start_year, profile.end_year)
     )
-    dated = FL.filing_lag(base, "datadate", "fdate", profile.max_filing_lag)
+    dated = staged(FL.filing_lag(base, "datadate", "fdate", profile.max_filing_lag))  # the lookups read their rows several times
     rank = F.when(F.col("prim") == "P", 0).otherwise(1)
-    linked = pit.best_valid(
+    linked = staged(pit.best_valid(
         dated, links.where(F.col("prim").isin("P", "C")), ["entity"], "datadate", "lo", "hi", key, [rank, F.col("lo")], ["target"], "inner"
-    )
+    ))
     kept = FL.eligible_asof(linked, names, ["entity"], "datadate", "start", "end", eligible)
-    cap = kept.withColumn("month", F.last_day("datadate")).join(snapshots, ["entity", "month"]).where(F.col("cap") > 0).drop("month")
+    cap = kept.withColumn("month", F.last_day("datadate")).join(snapshots.hint("merge"), ["entity", "month"])  # grows with the rows
+    cap = staged(cap.where(F.col("cap") > 0).drop("month"))
     reach = f"{profile.horizon_days} DAYS"
     if profile.unique_event:
         labelled = pit.unique_forward_label(cap, events, ["entity"], "fdate", "event_date", reach, ["fyear"])
