@@ -188,3 +188,39 @@ def test_histories_are_never_sent_whole(spark, how, disjoint):
     assert {r.id: r.v for r in best.collect()} == {1: "a", 2: None}
     for df in (got, best):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_draws_are_the_digests_of_their_names():
+    from hashlib import md5
+
+    heads, tails = [b"42|%d|" % i for i in (0, 9, 10, 999)] + [b"x" * 50 + b"|"], [b"%d" % i for i in (0, 7, 99, 100, 12345)]
+    want = [[int.from_bytes(md5(a + b).digest()[:8], "big") for b in tails] for a in heads]
+    assert I.md5_starts(heads, tails).tolist() == want
+
+
+@pytest.mark.parametrize("reps", [2, 40])
+def test_tied_scores_of_a_crossed_design_are_added_up_first(spark, reps, monkeypatch):
+    """No block's multiplicities are brought to a cell of scores; the draws are those of the plain table, undrawn blocks included."""
+    rows = [(m, e, t, (e * 7 + t + k) % 3 // 2, (e + 2 * t + k) % 4 / 4) for k, m in enumerate("ab") for e in range(30) for t in range(4)]
+    df = spark.createDataFrame(rows, "model string, e long, t long, y int, score double")
+    made = []
+    spans = I.weighted_sums
+    monkeypatch.setattr(I, "weighted_sums", lambda *x: made.append(x[-1]) or spans(*x))
+    got = {(r.rep, r.model): (r.ap, r.auc) for r in I.resample(df, ["e", "t"], reps).collect()}
+    assert len(made) == 1 and made[0] is not None
+    w = [{(r.rep, r[1]): r.w for r in I.multiplicities(df, c, reps, s).collect()} for c, s in (("e", "42"), ("t", "42t"))]
+    want = {}
+    for rep in range(reps):
+        for m in "ab":
+            held = [(s, y, w[0].get((rep, e), 0) * w[1].get((rep, t), 0)) for k, e, t, y, s in rows if k == m]
+            pos, neg = sum(n for _, y, n in held if y), sum(n for _, y, n in held if not y)
+            if not pos:
+                continue
+            ap = auc = tp = m_ = 0
+            for s in sorted({s for s, _, _ in held}, reverse=True):
+                p, n = sum(n for z, y, n in held if z == s and y), sum(n for z, _, n in held if z == s)
+                tp, m_ = tp + p, m_ + n
+                ap += p * tp / m_ / pos if m_ else 0
+                auc += p * (neg - (m_ - tp) + (n - p) / 2) / (pos * neg) if neg else 0
+            want[rep, m] = (pytest.approx(ap), pytest.approx(auc) if neg else None)
+    assert got == want
