@@ -76,3 +76,23 @@ def test_stage_keeps_one_of_each_group_of_near_copies(spark):
 
 def test_near_copies_of_nothing(spark):
     assert nearcopies.near_copies(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_simhash_names_candidates_and_the_sets_decide(spark, monkeypatch):
+    """The stage goes through op10's fingerprints and anchors; a link of theirs that the sets do not confirm is none."""
+    from tidemark.llm import simhash
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(400)]
+    texts = [" ".join(words), " ".join([*words[:399], "other"]), " ".join(words[200:]), "", None, "a b", " ".join(words * 2)]
+    df = spark.createDataFrame([*enumerate(texts)], DOCS)
+    fps = {r.doc_id: r.fp for r in simhash.fingerprints(df, 5).collect()}
+    made = nearcopies._sets(df, 5, nearcopies.Fraction("0.8"), nearcopies.frequencies(df), "doc_id", "text")
+    assert {r.key: r.fp for r in made.collect()} == fps and (fps[0] ^ fps[1]).bit_count() <= 4
+    seen = []
+    monkeypatch.setattr(nearcopies, "edges", lambda f, distance: seen.append(distance) or simhash.edges(f, distance))
+    want = jaccard_brute([*enumerate(texts)])
+    assert [r.component_id for r in nearcopies.near_copies(df).orderBy("doc_id").collect()] == want and seen == [4]
+    wrong = lambda f, distance: f.crossJoin(f.agg(F.min("fp").alias("b"))).select(F.col("fp").alias("a"), "b")
+    monkeypatch.setattr(nearcopies, "edges", wrong)
+    assert [r.component_id for r in nearcopies.near_copies(df).orderBy("doc_id").collect()] == want

@@ -166,7 +166,8 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, key: str = "do
 
     kind = docs.schema[key].dataType.simpleString()
     got = taken.select("k", "y", "x").mapInArrow(run, f"k {kind}, y int, at binary, n binary").orderBy(F.xxhash64("k"), "at", "n").limit(2 * rows).toArrow()
-    return fit([(np.frombuffer(a, np.uint16).astype(np.int64), np.frombuffer(n, np.uint32).astype(np.float32)) for a, n in zip(got["at"].to_pylist(), got["n"].to_pylist())], got["y"].to_pylist())
+    held = lambda c, t: [np.frombuffer(v.as_buffer(), t) for v in got[c]]
+    return fit([*zip(held("at", np.uint16), (n.astype(np.float32) for n in held("n", np.uint32)))], got["y"].to_pylist())
 
 
 def _scores(docs: DataFrame, model: Model, text: str, name: str = "_score") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import combinations, repeat
 
@@ -34,12 +34,22 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     length = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(length + 1) - 1
     starts, ends = (ends - length)[: len(words) - k + 1], ends[k - 1 :]
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(starts), 1 << 15):
-        shingles = map(joined.__getitem__, map(slice, starts[at : at + (1 << 15)].tolist(), ends[at : at + (1 << 15)].tolist()))
-        h = np.fromiter(map(xxh64_intdigest, shingles, repeat(42)), np.uint64)
+
+    def parts() -> Iterator[np.ndarray]:
+        for at in range(0, len(starts), 1 << 15):
+            shingles = map(joined.__getitem__, map(slice, starts[at : at + (1 << 15)].tolist(), ends[at : at + (1 << 15)].tolist()))
+            yield np.fromiter(map(xxh64_intdigest, shingles, repeat(42)), np.uint64)
+
+    return majority(parts())
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """The bits that are set in over half of all hashes of ``parts``; 0 without any."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in parts:
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return int(np.packbits(2 * ones > len(starts), bitorder="little").view(np.uint64)[0])
+        n += len(h)
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, width: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
