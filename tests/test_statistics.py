@@ -260,6 +260,23 @@ def test_nearest_of_few_rows(spark):
     assert K.nearest(df.where("k > 9"), "k", ["a"], 5).count() == 0
 
 
+def test_closest_points_hold_few_distances_at_a_time():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    points, ids = np.round(rng.normal(size=(4000, 6)), 1), rng.permutation(4000)
+    tracemalloc.start()
+    found = [np.concatenate(x) for x in zip(*K._closest(points, ids, points[:300], ids[:300], 5))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20  # all distances of the 300 with their six parts: 58 MB and as much again for the squares
+    for i in range(0, 300, 37):
+        far = np.sqrt(((points[i] - points) ** 2).sum(axis=1))
+        far[i] = np.inf
+        best = np.lexsort((ids, far))[:5]
+        assert found[0][i] == ids[i] and found[2][i].tolist() == ids[best].tolist() and found[1][i].tolist() == far[best].tolist()
+
+
 def test_declared_binaries_are_checked(spark):
     df = spark.createDataFrame([(i, int(i < 5), float(i), 0.5 if i == 7 else 1.0) for i in range(20)], "k long, y int, a double, b double")
     with pytest.raises(ValueError, match="b"):
