@@ -1,10 +1,12 @@
 """Archives, token index, packing and the metric join against plain Python."""
 
 import hashlib
+import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -234,3 +236,19 @@ def test_encoder_that_forgets_equals_whole_encoding(spark, monkeypatch, name):
     texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()] + ODD
     for x in texts * 2:
         assert encode(x).tolist() == plain.encode(x, add_special_tokens=False).ids, repr(x[:80])
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_words_are_encoded_once_whatever_marks_follow(name):
+    rng, plain = random.Random(3), Tokenizer.from_file(tokens.vocabulary(name))
+    encode = tokens.Encoder(tokens.vocabulary(name))
+    assert encode.parted and encode.lowers == (name == "word_bpe_49k.json")
+    signs = ["a", "B", "Te", "\u00c9", "\u0130", "\u212a", "\u0331", "H\u0331", "\u03a3", "\u0436", "\u4e2d", "7", "'s", "'", "'LL", ",", ".", "!)", "<|", "_", "-", "\u00d7", "=\u0338", " ", "\n"]
+    texts = ["".join(rng.choices(signs, k=rng.randint(1, 12))) for _ in range(3000)]
+    for text, got in zip(texts, encode.all(pa.array(texts))):
+        assert got.tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+    encode, asked = tokens.Encoder(tokens.vocabulary(name)), []
+    learn = encode.ids_of
+    encode.ids_of = lambda pieces: (asked.extend(pieces), learn(pieces))[1]
+    list(encode.all(pa.array(["a harbour, a harbour. a harbour!", "the harbour; harbour"])))
+    assert [x.strip() for x in asked].count("harbour") == 1 and not [x for x in asked if "harbour" in x and x.strip() != "harbour"]

@@ -1,7 +1,8 @@
 """Whole texts to token ids with a public vocabulary, in tasks.
 
 Both vocabularies split a text into words before they merge, so a text's ids are those of its pieces in
-a row, if it is cut only where the splitting pattern cuts anyway. Each worker remembers the ids of the
+a row, if it is cut only where the splitting pattern cuts anyway: at white space, and between a word and the ASCII marks
+behind it. Each worker remembers the ids of the
 pieces it has seen, up to a bound, and hands the new ones of a batch to the library together; a text for
 which the cuts are not certain is encoded as a whole.
 """
@@ -22,6 +23,11 @@ REMEMBER, AT_ONCE = 300_000, 10_000
 #: (if white space makes tokens) blanks in a row or of another kind than spaces and line feeds.
 _UNSURE_DROPPED = r"<\||\x00"
 _UNSURE = _UNSURE_DROPPED + r"|[ \n][ \n]|[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Upper-case letters whose NFC form may differ from that of their lower-case ones.
+_MARKED = r"[A-Z]\p{M}"
+#: Marks that part from the word before them (apostrophes do not), if a Latin letter ends it: every table knows those, and they stay one letter.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_WORD = r"[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}]\z"
 
 
 class Memory(dict):
@@ -55,9 +61,9 @@ class Memory(dict):
         self.update(zip(pieces, range(first, end)))
 
     def places(self, pieces: list[str]) -> np.ndarray:
-        """The places of a batch's distinct pieces, all held."""
+        """The places of a batch's pieces, all held; a repeated one is met once."""
         k = np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
-        self.met[k] += 1
+        self.met[k] += 1  # once for each place
         return k
 
     def runs(self, field: str, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,6 +104,11 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(file)
         self.dropped = len(self._ids([" \n "])[0]) == 0
+        plain = "ABCDEFGHIJKLMNOPQRSTUVWXYZ aB A"
+        self.lowers = self.dropped and self._ids([plain]) == self._ids([plain.lower()])
+        whole, parts = self._ids([x + end for end in _MARKS for x in ("ab" + end, "aB,")]), self._ids(["ab", "aB"])
+        rest = self._ids([x + end for end in _MARKS for x in (end, ",")])
+        self.parted = all(w == parts[i % 2] + r for i, (w, r) in enumerate(zip(whole, rest)))
         self.reset()
         # what is put between pieces: a line feed, or (where white space is dropped) a special token; pieces hold neither
         marks = [str(t) for t in self.tokenizer.get_added_tokens_decoder().values() if t.special and str(t).startswith("<|")]
@@ -153,17 +164,36 @@ class Encoder:
             return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         return pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, " ", "\x00 "), "\n", "\x00\n\x00"), "\x00")
 
+    def _distinct(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a batch's distinct pieces in a row, and how many each one's word and the marks behind it have."""
+        words = pc.utf8_rtrim(pieces, _MARKS)
+        cut = pc.and_(pc.match_substring_regex(words, _WORD), pc.not_equal(words, pieces)) if self.parted else pa.array(np.zeros(len(pieces), bool))
+        stems = pc.if_else(cut, words, pieces).dictionary_encode()
+        names = stems.dictionary.to_pylist()
+        marks = [x[n:] for x, n in zip(pieces.filter(cut).to_pylist(), pc.utf8_length(words.filter(cut)).to_pylist())]
+        if new := [x for x in dict.fromkeys(chain(names, marks, ("",))) if x not in self.memory]:
+            self.memory.put(new, ids=self.ids_of(new))
+        k = np.full((len(pieces), 2), self.memory.places([""])[0])
+        k[:, 0] = self.memory.places(names)[stems.indices.to_numpy()]
+        k[np.flatnonzero(cut.to_numpy(zero_copy_only=False)), 1] = self.memory.places(marks)
+        return self.memory.runs("ids", k.ravel())
+
     def all(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text; null counts as empty. A batch's pieces are numbered by Arrow, so only its distinct ones are looked up."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
         unsure = pc.match_substring_regex(texts, _UNSURE_DROPPED if self.dropped else _UNSURE)
-        cuts = self._cut(pc.if_else(unsure, "", texts))
+        sure = pc.if_else(unsure, "", texts)
+        if self.lowers:
+            sure = pc.if_else(pc.match_substring_regex(sure, _MARKED), sure, pc.ascii_lower(sure))
+        cuts = self._cut(sure)
         told = cuts.flatten().dictionary_encode()
-        pieces = told.dictionary.to_pylist()
         self.memory.forget()
-        if new := [x for x in pieces if x not in self.memory]:
-            self.memory.put(new, ids=self.ids_of(new))
-        ids, n = self.memory.runs("ids", self.memory.places(pieces)[told.indices.to_numpy()])
+        held, parts = self._distinct(told.dictionary)
+        lengths = parts.reshape(-1, 2).sum(axis=1)
+        at = told.indices.to_numpy()
+        n = lengths[at]
+        until = np.cumsum(n)
+        ids = held[np.repeat((np.cumsum(lengths) - lengths)[at] - until + n, n) + np.arange(int(until[-1]) if len(until) else 0)]
         ends = np.concatenate([[0], np.cumsum(n)])[cuts.offsets.to_numpy() - cuts.offsets[0].as_py()]
         for i, whole in enumerate(unsure.to_pylist()):
             yield self.whole(texts[i].as_py()) if whole else ids[ends[i] : ends[i + 1]]
