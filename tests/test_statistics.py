@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions.expr import unit_hash
 from tidemark.operators import attribution as N
 from tidemark.operators import inference as I
 from tidemark.operators import metrics as M
@@ -205,6 +206,29 @@ def test_spline_gain_dense(spark):
     assert I.spline_gain(line, "x", "s", "e", reps=59).first().p_value > 0.05
 
 
+def test_signed_sums_follow_the_hash(spark):
+    rows = [(f"é{i}" if i % 3 else None if i == 0 else str(i), float(i), float(i * i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "e string, a double, b double")
+    sign = (unit_hash(7, "rep", "e") % 2) * 2 - 1
+    want = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(12)))).groupBy("rep").agg(*[F.sum(sign * F.col(c)).alias(c) for c in ("a", "b")])
+    got = I.signed_sums(df, "e", ["a", "b"], 13, 7)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("run", [lambda df: I.spline_gain(df, "x", "s", "e", reps=3).first(), lambda df: I.out_of_fold_gain(df, "x", "s", "e"), lambda df: I.segmented(df, "x", "s", [0.25, 0.5, 0.75]).first()])
+def test_curve_rows_are_made_once(spark, run):
+    seen = spark.sparkContext.accumulator(0)
+
+    def made(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(400).selectExpr("id div 4 AS e", "sin(id) AS x", "cos(id) AS s")
+    run(df.mapInArrow(made, "e long, x double, s double"))
+    assert seen.value == 400
+
+
 def test_segmented_finds_break(spark):
     x = RNG.uniform(-1, 1, 800)
     s = 0.2 * x + 1.5 * np.clip(x - 0.25, 0, None) + RNG.normal(size=800) * 0.01
