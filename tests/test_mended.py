@@ -175,6 +175,21 @@ def test_oversampling_reaches_exact_parity(spark):
     assert L.oversample(df.where("y = 0"), ["k"]).count() == 53
 
 
+def test_network_rows_are_made_once_in_even_parts(spark, monkeypatch):
+    df = spark.range(300).selectExpr("id AS k", "sin(id) AS x", "cos(id * 3) AS z", "int(id % 3 = 0) AS y")
+    held, whole, seen = L.dealt(df, 100), L.oversample, spark.sparkContext.accumulator(0)
+    assert [*map(len, held.rdd.glom().collect())] == [pytest.approx(100, abs=5)] * 3 and L.dealt(df).rdd.getNumPartitions() == 1
+
+    def made(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(L, "oversample", lambda *a: whole(*a).select("x", "z", "y").mapInArrow(made, "x double, z double, y int"))
+    L.fit_network(df, ["x", "z"], ["k"], max_iter=2)
+    assert seen.value == 400
+
+
 @pytest.mark.parametrize("how", ["left", "left_semi"])
 @pytest.mark.parametrize("disjoint", [False, True])
 def test_histories_are_never_sent_whole(spark, how, disjoint):
