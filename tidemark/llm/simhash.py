@@ -141,7 +141,7 @@ def edges(fps: DataFrame, distance: int = 4, chunk: int = CHUNK) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in cells(batches, ["cell", "i", "j"]):
             home, fp = t["home"].to_numpy(), t["fp"].to_numpy().view(np.uint64)
-            if home.any() and len(fp) > 2:
+            if home.any() and (fp != fp[0]).any():
                 a, b = compare(fp[home], fp[~home], distance)
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
